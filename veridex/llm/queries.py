@@ -49,6 +49,12 @@ FROM q GROUP BY q.pair_id
 """
 
 
+def op6_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.llm.jaccard_forest import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridex.llm.sharding import minimax_shards
 
@@ -95,7 +101,7 @@ FROM s JOIN r USING (digest)
 
 
 def queries() -> dict:
-    return {"op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op8_sharding": op8_sharding}
+    return {"op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op6_jaccard_forest": op6_jaccard_forest, "op8_sharding": op8_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
