@@ -10,6 +10,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.llm.toxicity_crf import fitted, held_out, scored
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = scored(docs, fitted(docs, _table(spark, sf_dir, "labels")))
+    return done.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "toxic_words", "toxic_spans")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridex.llm.fingerprints import edited_pairs
 
@@ -101,7 +109,7 @@ FROM s JOIN r USING (digest)
 
 
 def queries() -> dict:
-    return {"op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op6_jaccard_forest": op6_jaccard_forest, "op8_sharding": op8_sharding}
+    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op6_jaccard_forest": op6_jaccard_forest, "op8_sharding": op8_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
