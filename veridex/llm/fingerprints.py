@@ -106,30 +106,27 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str, bins: int = BINS, bit
     return mapped(df, fn, T.StructType([T.StructField(out, T.DoubleType())]), a)
 
 
-def with_next(df: DataFrame, key: str, columns: dict[str, str], tie: list[str] = ()) -> DataFrame:
+def with_next(df: DataFrame, keys: DataFrame, key: str, columns: dict[str, str], tie: list[str] = ()) -> DataFrame:
     """Each row gets columns of the row after it in descending order of `key`; the last gets those of the first.
 
     The key's range is cut into segments by quantiles; a segment's first row also goes to the segment above it,
-    so that no task needs more than one segment. Null keys come last; ties are ordered by `tie`, nulls first.
+    so that no task needs more than one segment. keys: the same rows with at least `key`, cheap to read. Null keys come last; ties are ordered by `tie`, nulls first.
     """
     spark = df.sparkSession
     k = 4 * partitions(spark)
-    cuts = df.agg(F.percentile_approx(key, [i / k for i in range(1, k)], 100 * k)).first()[0] or []
+    cuts = keys.agg(F.percentile_approx(key, [i / k for i in range(1, k)], 100 * k)).first()[0] or []
     cuts = sorted(set(cuts))
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else None
 
     def segment(c):  # null: the lowest
         if not cuts:
             return F.lit(1)
-        at = F.lit(0)
-        step = 1 << (len(cuts).bit_length() - 1)
-        while step:
-            at = at + F.when((at + step <= len(cuts)) & (F.get(bounds, at + (step - 1)) < c), step).otherwise(0)
-            step >>= 1
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+        at = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) < c), step).otherwise(0))
         return F.when(c.isNull(), 0).otherwise(at + 1)
 
     with_segment = df.select("*", segment(F.col(key)).alias("_seg"))
-    firsts = sorted((r[0], r[1]) for r in with_segment.select("_seg", key).groupBy("_seg").agg(F.max(key)).collect())  # at most 4 x partitions + 1 rows
+    firsts = sorted((r[0], r[1]) for r in keys.select(segment(F.col(key)).alias("_seg"), key).select("_seg", key).groupBy("_seg").agg(F.max(key)).collect())  # at most 4 x partitions + 1 rows
     if not firsts:
         return df.select("*", *[F.col(c).alias(n) for n, c in columns.items()])
     above = [firsts[(i + 1) % len(firsts)][0] for i in range(len(firsts))]
@@ -147,7 +144,7 @@ def edited_pairs(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFra
     near_next, one row per row of docs. Equal doc_ids are ordered by text; an empty table gives no rows.
     """
     own = with_fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "fp", bins, bits)
-    own = with_next(own, "doc_id", {"next_text": "text", "next_fp": "fp"}, tie=["text"])
+    own = with_next(own, docs, "doc_id", {"next_text": "text", "next_fp": "fp"}, tie=["text"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.when(half > 0, F.left("next_text", half)).otherwise(""))
