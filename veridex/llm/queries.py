@@ -57,6 +57,12 @@ FROM q GROUP BY q.pair_id
 """
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.llm.hilbert_packing import packed
+
+    return packed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridex.llm.jaccard_forest import jaccard_classes
 
@@ -109,7 +115,7 @@ FROM s JOIN r USING (digest)
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op6_jaccard_forest": op6_jaccard_forest, "op8_sharding": op8_sharding}
+    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op5_packing": op5_packing, "op6_jaccard_forest": op6_jaccard_forest, "op8_sharding": op8_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
