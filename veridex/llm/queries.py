@@ -114,8 +114,15 @@ FROM s JOIN r USING (digest)
 """
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.llm.decontamination_cgk import with_leaks
+
+    found = with_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.start", "leak.length", "leak.edits")
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op5_packing": op5_packing, "op6_jaccard_forest": op6_jaccard_forest, "op8_sharding": op8_sharding}
+    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op5_packing": op5_packing, "op6_jaccard_forest": op6_jaccard_forest, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
