@@ -2,7 +2,7 @@
 
 Only documents are labelled, so tokens are labelled first: a word of a toxic document is toxic if it, or one of
 its first or last letters' features, occurs in significantly more toxic than clean documents of the sample, and
-almost never in clean ones. The field is trained on these labelled tokens. Forward-backward marginals of whole
+much less often in clean ones. The field is trained on these labelled tokens. Forward-backward marginals of whole
 texts give the offending offsets; their expected number and their noisy-or, calibrated on the sample's document
 labels, give the score.
 """
@@ -17,16 +17,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridex.llm.common import Words, lists, mapped, mix, ship, shingles
+from veridex.llm.common import Words, lists, mapped, mix, ship, shingles, slices
 
 #: At most so many labelled documents of each class are read for training, those of the least md5(doc_id).
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 5000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
+#: Of these, in the same order, as many as hold so many bytes together; what a driver needs is in proportion.
+SAMPLE_BYTES = 8 << 20
 #: Sentences end at these bytes; longer runs are cut into sequences of CHAIN words.
 _END = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 CHAIN = 128
 BUCKETS = 1 << 20
-TEMPLATES = 5
+#: The word itself, its first bytes (so many), and its last four.
+PREFIXES = (4, 5, 6, 7, 9)
+TEMPLATES = len(PREFIXES) + 2
 EPOCHS, RATE, BATCH_WORDS, CLEAN_CHAINS = 3, 0.5, 60_000, 120_000
+#: Times that a feature must be more frequent in toxic than in clean documents to mark a word.
+LEAST_RATIO = 6
 SPAN_CHANCE, LEAST_CHANCE = 0.5, 0.25
 
 
@@ -41,9 +47,9 @@ class Sequences(Words):
         self.points = np.concatenate([[0], np.cumsum(lead)])  # code points before each byte
         feats = np.empty((TEMPLATES, len(s)), np.uint64)
         feats[0] = self.hash
-        for k, m in ((1, 3), (2, 4), (3, 5)):
+        for k, m in enumerate(PREFIXES, 1):
             feats[k] = self.span(s, s + np.minimum(n, m))
-        feats[4] = self.span(e - np.minimum(n, 4), e)
+        feats[-1] = self.span(e - np.minimum(n, 4), e)
         salt = mix(np.arange(1, TEMPLATES + 1, dtype=np.uint64))
         self.feats = feats
         self.slots = (mix(feats ^ salt[:, None]) & np.uint64(BUCKETS - 1)).astype(np.int32)
@@ -67,8 +73,10 @@ class Field:
     moves: np.ndarray  # transition scores, 2 x 2
     scale: np.ndarray  # of the document score
 
-    def odds(self, x: Sequences) -> np.ndarray:
-        e = self.weights[x.slots].sum(axis=0, dtype=np.float64) + self.bias
+    def odds(self, x: Sequences | Sample) -> np.ndarray:
+        e = np.full(x.slots.shape[1], self.bias)
+        for s in x.slots:
+            e += self.weights[s]
         return np.exp(np.clip(e, -30, 30))
 
 
@@ -95,23 +103,40 @@ def forward_backward(odds: np.ndarray, heads: np.ndarray, moves: np.ndarray) ->
     return r, q
 
 
-def marginals(f: Field, x: Sequences) -> np.ndarray:
+def marginals(f: Field, x: Sequences | Sample) -> np.ndarray:
     r, q = forward_backward(f.odds(x), x.heads, f.moves)
     return r * q / (1 + r * q)
 
 
-def copy_groups(x: Words, bands: int = 4, rows: int = 2) -> np.ndarray:
-    """A group for each text; texts that share a band of MinHash values of their shingles share a group."""
-    h, n = shingles(x)
-    starts = np.cumsum(n) - n
-    root = np.arange(len(n))
-    rng = np.random.default_rng(11)
-    for _ in range(bands):
-        band = np.zeros(len(n), np.uint64)
-        for _ in range(rows):
-            band = mix(band ^ np.minimum.reduceat(h * (rng.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)), starts))
+class Sample:
+    """The sequences of many texts, made slice by slice; `feats` goes once tokens are labelled."""
+
+    def __init__(self, column: pa.Array, bands: int = 4, rows: int = 2):
+        rng = np.random.default_rng(11)
+        factors = rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        feats, slots, heads, counts, marks = [], [], [np.zeros(1, np.int64)], [], []
+        for b in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
+            x = Sequences(b.column("text"))
+            feats.append(x.feats)
+            slots.append(x.slots)
+            heads.append(x.heads[1:] + heads[-1][-1])
+            counts.append(x.counts)
+            h, n = shingles(x)
+            starts = np.cumsum(n) - n
+            marks.append(np.stack([np.bitwise_xor.reduce([mix(np.minimum.reduceat(h * f, starts) + np.uint64(j)) for j, f in enumerate(band)]) for band in factors]))
+        self.feats, self.slots = np.concatenate(feats, axis=1), np.concatenate(slots, axis=1)
+        self.heads, self.counts = np.concatenate(heads), np.concatenate(counts)
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        self.group = _grouped(np.concatenate(marks, axis=1))
+
+
+def _grouped(marks: np.ndarray) -> np.ndarray:
+    """A group for each column; columns with an equal mark in one of the rows share it."""
+    root = np.arange(marks.shape[1])
+    for band in marks:
         order = np.argsort(band, kind="stable")
-        for a, b in zip(order[:-1][band[order[1:]] == band[order[:-1]]].tolist(), order[1:][band[order[1:]] == band[order[:-1]]].tolist()):
+        same = band[order[1:]] == band[order[:-1]]
+        for a, b in zip(order[:-1][same].tolist(), order[1:][same].tolist()):
             while root[a] != a:
                 a = root[a]
             while root[b] != b:
@@ -122,13 +147,13 @@ def copy_groups(x: Words, bands: int = 4, rows: int = 2) -> np.ndarray:
     return root
 
 
-def token_labels(x: Sequences, toxic: np.ndarray) -> np.ndarray:
+def token_labels(x: Sample, toxic: np.ndarray) -> np.ndarray:
     """Label 1 for words of toxic documents with a feature that marks toxic documents significantly.
 
-    Copies of a document count as one, else each of its words would mark its kind.
+    Near copies (x.group) count as one document, else each of its words would mark its kind.
     """
     own = np.repeat(np.arange(len(toxic)), x.counts)
-    doc = copy_groups(x)[own]
+    doc = x.group[own]
     n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
     out = np.zeros(len(doc), bool)
     for f in x.feats:
@@ -140,14 +165,15 @@ def token_labels(x: Sequences, toxic: np.ndarray) -> np.ndarray:
         names, at = np.unique(g, return_inverse=True)
         df1 = np.bincount(at, toxic[d], len(names))
         df0 = np.bincount(at, ~toxic[d], len(names))
-        chance = n1 / (n1 + n0)
-        surprise = -df1 * np.log10(chance) - df0 * 2  # clean documents speak against it
-        marks = names[(surprise >= 6) & (df1 / n1 >= 20 * df0 / n0)]
+        share = n1 / (n1 + n0)
+        all_ = df1 + df0
+        gain = df1 * np.log(np.maximum(df1, 1e-9) / (all_ * share)) + df0 * np.log(np.maximum(df0, 1e-9) / (all_ * (1 - share)))  # log likelihood ratio
+        marks = names[(gain >= 14) & (df1 / n1 >= LEAST_RATIO * df0 / n0)]
         out |= np.isin(f, marks)
     return out & toxic[own]
 
 
-def trained(x: Sequences, y: np.ndarray, seed: int = 7) -> Field:
+def trained(x: Sample, y: np.ndarray, seed: int = 7) -> Field:
     """Minimise the negative log likelihood of the labelled tokens by AdaGrad over batches of chains."""
     rng = np.random.default_rng(seed)
     f = Field(np.zeros(BUCKETS, np.float64), -4.0, np.zeros((2, 2)), np.zeros(3))
@@ -219,19 +245,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fitted(docs: DataFrame, labels: DataFrame) -> Field | None:
     """The field learned from labelled rows outside the held-out fold; None without labels of both kinds.
 
-    The sample is bounded by SAMPLE_TOXIC and SAMPLE_CLEAN. Of several labels for one document the highest counts.
+    The sample is bounded by SAMPLE_TOXIC, SAMPLE_CLEAN and SAMPLE_BYTES. Of several labels for one document the highest counts.
     """
     some = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     pick = lambda kind, n: some.filter(F.col("_toxic") == kind).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n)
     chosen = F.broadcast(pick(1, SAMPLE_TOXIC).unionAll(pick(0, SAMPLE_CLEAN)))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_toxic").dropDuplicates(["doc_id"]).toArrow()
+    sizes = docs.select("doc_id", F.octet_length("text").alias("n")).join(chosen, "doc_id").groupBy("doc_id").agg(F.max("n"), F.first("_toxic")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).collect()
+    most = np.cumsum([r[1] or 0 for r in sizes]) <= SAMPLE_BYTES
+    kept = F.broadcast(docs.sparkSession.createDataFrame([(r[0], int(r[2])) for r, m in zip(sizes, most) if m], T.StructType([docs.schema["doc_id"], T.StructField("_toxic", T.IntegerType())])))
+    rows = docs.select("doc_id", "text").join(kept, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_toxic").dropDuplicates(["doc_id"]).toArrow()
     toxic = rows.column("_toxic").to_numpy() == 1
     if not toxic.any() or toxic.all():
         return None
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")  # the same model however rows arrive
-    x = Sequences(rows.column("text").combine_chunks().take(pa.array(order)))
+    x = Sample(rows.column("text").combine_chunks().take(pa.array(order)))
     toxic = toxic[order]
-    f = trained(x, token_labels(x, toxic).astype(np.int64))
+    y = token_labels(x, toxic).astype(np.int64)
+    x.feats = None
+    f = trained(x, y)
     f.scale = _calibrated(_evidence(marginals(f, x), x.first), toxic.astype(float))
     return f
 
