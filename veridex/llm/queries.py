@@ -57,6 +57,49 @@ FROM q GROUP BY q.pair_id
 """
 
 
+#: Rules of the URL query, and host labels whose pages make up its list.
+RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+BAD_LABELS = ["spam-farm", "cheap-pills"]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.llm.url_bloom import Rule, canonical, host_and_path, judged
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = host_and_path()
+    bad = host.rlike(r"(^|\.)(" + "|".join(BAD_LABELS) + r")(\.|$)")
+    listed = pages.filter(bad).select(canonical(host, path).alias("key"))
+    return judged(pages, listed, [Rule(*r) for r in RULES]).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP4_SQL = r"""
+WITH r(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+l AS (SELECT DISTINCT host || regexp_replace(path, '/+$', '') AS key FROM q WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)(\.|$)')),
+m AS (SELECT q.page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM q JOIN r ON (q.host = r.host OR ends_with(q.host, '.' || r.host)) AND starts_with(q.path, r.path) GROUP BY q.page_id)
+SELECT q.page_id, q.host, q.path, m.rule, coalesce(m.verdict, CASE WHEN l.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN m USING (page_id) LEFT JOIN l ON l.key = q.host || regexp_replace(q.path, '/+$', '')
+"""
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM q
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridex.llm.hilbert_packing import packed
 
@@ -122,8 +165,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op5_packing": op5_packing, "op6_jaccard_forest": op6_jaccard_forest, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op4_url_filter": op4_url_filter, "op5_packing": op5_packing, "op6_jaccard_forest": op6_jaccard_forest, "op7_warc": op7_warc, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_preference": OP3_SQL, "op8_sharding": OP8_SQL}
+    return {"op3_chat_preference": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL, "op8_sharding": OP8_SQL}
