@@ -25,11 +25,12 @@ from veridex.llm.common import Words, lists, mapped, mix, ship
 
 EDITS = 0.2
 RECALL = 0.99
-SAMPLED = 2
-MOST_REPETITIONS = 64
+SAMPLED = 3
+MOST_REPETITIONS = 200
 CLASS_RATIO = 1.25
 #: Items are scanned for in blocks of at most so many words, which bounds what is broadcast; one pass a block.
 BLOCK_WORDS = 1_000_000
+_FOLD = np.uint64(64 - 18)
 _PAD = np.uint64(0x5DEECE66D1234567)
 
 
@@ -50,7 +51,8 @@ def sampled_keys(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, places
     padded = np.append(words, _PAD)
     wanted = set(places.tolist())
     for j in range(int(places[-1]) + 1):
-        w = np.where(at < ends, padded[np.minimum(at, len(words))], _PAD)
+        w = padded[np.minimum(at, len(words))]
+        w[at >= ends] = _PAD
         if j in wanted:
             key = mix(key ^ w)
         at += _bits(w, j, seed)
@@ -83,6 +85,8 @@ class Searcher:
             if not self.classes or n >= CLASS_RATIO * self.classes[-1].size:
                 self.classes.append(WindowClass(n, []))
             self.classes[-1].items.append(i)
+        member = [mix(np.unique(w) ^ mix(np.uint64(i))) for i, w in enumerate(self.words)]
+        self.member = np.unique(np.concatenate(member)) if member else np.zeros(0, np.uint64)  # (item, word of it)
         for c in self.classes:
             c.gram = max(1, min(3, min(len(self.words[i]) // (allowed_edits(len(self.words[i])) + 1) for i in c.items)))
             self._place(c)
@@ -93,11 +97,14 @@ class Searcher:
         found: dict[int, set[int]] = {}
         for i in c.items:
             w, k = self.words[i], allowed_edits(len(self.words[i]))
-            for o, g in enumerate(grams(w, c.gram).tolist()):
+            for o, g in enumerate(mix(grams(w, c.gram)).tolist()):
                 found.setdefault(g, set()).update(range(max(0, o - k), o + k + 1))
         names = sorted(found)
         c.grams = np.array(names, np.uint64)
         c.shifts = [np.array(sorted(found[g]), np.int64) for g in names]
+        c.maybe_gram, c.maybe_word = np.zeros(1 << 18, bool), np.zeros(1 << 18, bool)  # never false for those of the class
+        c.maybe_gram[c.grams >> _FOLD] = True
+        c.maybe_word[np.concatenate([self.words[i] for i in c.items]) >> _FOLD] = True
 
     def _embed_items(self, c: WindowClass, words: list[np.ndarray], draw: tuple[int, np.ndarray]) -> np.ndarray:
         size = np.array([min(len(w), c.size) for w in words])
@@ -126,11 +133,12 @@ class Searcher:
             c.keys.append((keys[order], np.array(c.items)[order]))
         c.recall = float(hit.mean())
 
-    def _starts(self, c: WindowClass, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words at which a window of the class is worth embedding, and the end of their text."""
-        g = grams(h, c.gram)
-        at = np.searchsorted(c.grams, g)
-        hit = np.flatnonzero(c.grams[np.minimum(at, len(c.grams) - 1)] == g)
+    def _starts(self, c: WindowClass, g: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words at which a window of the class is worth embedding, and the end of their text. g: grams of h."""
+        hit = np.flatnonzero(c.maybe_gram[g >> _FOLD])
+        at = np.zeros(len(g), np.int64)
+        at[hit] = np.minimum(np.searchsorted(c.grams, g[hit]), len(c.grams) - 1)
+        hit = hit[c.grams[at[hit]] == g[hit]]
         if not len(hit):
             return hit, hit
         doc = np.searchsorted(first, hit, side="right") - 1
@@ -142,14 +150,35 @@ class Searcher:
         p = np.repeat(hit, size) - np.concatenate([c.shifts[k] for k in code.tolist()])
         doc = np.repeat(doc, size)
         p, keep = np.unique(np.maximum(p, first[doc]), return_index=True)
-        return p, first[doc[keep] + 1]
+        ends = first[doc[keep] + 1]
+        seen = np.concatenate([[0], np.cumsum(c.maybe_word[h >> _FOLD])])
+        n, m = c.size, max(len(self.words[i]) for i in c.items)
+        ok = seen[np.minimum(p + m + allowed_edits(m), ends)] - seen[p] >= n - allowed_edits(n)
+        return p[ok], ends[ok]
+
+    def _enough_words(self, h: np.ndarray, p: np.ndarray, ends: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Whether so many of the window's words are the item's as at most the allowed edits leave; no match fails."""
+        n = np.array([len(w) for w in self.words])[items]
+        most = np.array([allowed_edits(len(w)) for w in self.words])[items]
+        salt = mix(items.astype(np.uint64))
+        stop = np.minimum(p + n + most, ends)
+        have = np.zeros(len(p), np.int64)
+        for j in range(int((stop - p).max()) if len(p) else 0):
+            live = np.flatnonzero((p + j < stop) & (have < n - most))
+            k = mix(h[p[live] + j] ^ salt[live])
+            at = np.minimum(np.searchsorted(self.member, k), len(self.member) - 1)
+            have[live] += self.member[at] == k
+        return have >= n - most
 
     def find(self, x: Words) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, edits): the best match of each item in each text of x."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         h, first = x.hash, x.first
+        runs: dict[int, np.ndarray] = {}
         for c in self.classes:
-            starts, ends = self._starts(c, h, first)
+            if c.gram not in runs:
+                runs[c.gram] = mix(grams(h, c.gram))
+            starts, ends = self._starts(c, runs[c.gram], h, first)
             if not len(starts):
                 continue
             pairs = []
@@ -164,7 +193,9 @@ class Searcher:
                     pairs.append(np.unique(w * len(self.ids) + items[at]))
             if not pairs:
                 continue
-            for w, i in zip(*(v.tolist() for v in np.divmod(np.unique(np.concatenate(pairs)), len(self.ids)))):
+            w, i = np.divmod(np.unique(np.concatenate(pairs)), len(self.ids))
+            ok = self._enough_words(h, starts[w], ends[w], i)
+            for w, i in zip(w[ok].tolist(), i[ok].tolist()):
                 item, p, end = self.words[i], int(starts[w]), int(ends[w])
                 most = allowed_edits(len(item))
                 doc = int(np.searchsorted(first, p, side="right") - 1)
