@@ -164,8 +164,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.start", "leak.length", "leak.edits")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.llm.html_gbt import main_texts
+
+    return main_texts(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op4_url_filter": op4_url_filter, "op5_packing": op5_packing, "op6_jaccard_forest": op6_jaccard_forest, "op7_warc": op7_warc, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination}
+    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op4_url_filter": op4_url_filter, "op5_packing": op5_packing, "op6_jaccard_forest": op6_jaccard_forest, "op7_warc": op7_warc, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_html_extraction": op10_html_extraction}
 
 
 def oracle_sql() -> dict[str, str]:
