@@ -98,7 +98,8 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
         for b in slices(batches, "html"):
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([deflated(x.encode()) for x in b.column("html").to_pylist()], pa.binary())], names=schema.names)
 
-    full = rows.mapInArrow(deflate, schema).join(again.withColumnsRenamed({"page_id": "_p", "payload_digest": "_d"}), (F.col("page_id") == F.col("_p")) & (F.col("payload_digest") == F.col("_d")), "left").drop("_p", "_d")
+    # a merge join even where the other side is small: its exchange keeps the two Python steps in different stages
+    full = rows.mapInArrow(deflate, schema).join(again.withColumnsRenamed({"page_id": "_p", "payload_digest": "_d"}).hint("merge"), (F.col("page_id") == F.col("_p")) & (F.col("payload_digest") == F.col("_d")), "left").drop("_p", "_d")
     id_kind = pages.schema["page_id"].dataType
     index = T.StructType([T.StructField("file", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("page_id", id_kind), T.StructField("url", T.StringType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType())])
 
