@@ -23,7 +23,7 @@ from veridex.llm.common import binaries, partitions, ship, slices, written
 LENGTH = 2048
 END = 1
 DIMS, CURVE_BITS = 4, 12
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 #: A text with none of these has only Latin letters, digits, white space and single full stops and commas.
 _OTHER = re.compile(r"[^0-9A-Za-zÀ-ÖØ-öø-ɏ \n.,]|[.,][.,]")
 #: A text with none of these can be cut by _PIECES, which says for its characters what the tokenizer's pattern says.
@@ -165,6 +165,7 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
             n = np.array([len(x) // 2 for x in raw])
             ids = np.frombuffer(b"".join(raw), np.uint16)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(curve_keys(ids, n, proj)), binaries(ids, n)], names=schema.names)
+        enc.known.clear()  # the worker lives on and other stages need its memory
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ from veridex.llm.components import components
 TREES, LEVELS = 16, 8
 DEPTHS = (6, 5, 4)
 SMALL = 48
-BLOCK_TEXTS, BLOCK_BYTES = 1024, 8 << 20
+BLOCK_TEXTS, BLOCK_BYTES = 512, 8 << 20
 THRESHOLD = 0.8
 RECALL = 0.998
 
@@ -231,7 +231,7 @@ def _links_at(docs: DataFrame, reps: DataFrame, depth: int, before: int, thresho
     some = rows.alias("x").join(involved.alias("y"), (F.col("x.node") == F.col("y.node")) & F.col("x.rep").eqNullSafe(F.col("y.rep")), "left_semi")
     texts = written(some.groupBy("node").agg(F.first("text").alias("text")), "involved")
 
-    pairs = members.filter(F.col("n") <= SMALL).select("tree", "prefix", "node", "labels").groupBy("tree", "prefix").applyInArrow(_pairs_of(depth, before), _PAIRS)
+    pairs = written(members.filter(F.col("n") <= SMALL).select("tree", "prefix", "node", "labels").groupBy("tree", "prefix").applyInArrow(_pairs_of(depth, before), _PAIRS), "pairs")  # written: one Python step a stage bounds memory
     small = written(_verify(pairs, texts, threshold), "links")
 
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("mass") / BLOCK_BYTES)).cast("int")
@@ -247,6 +247,7 @@ def _links_at(docs: DataFrame, reps: DataFrame, depth: int, before: int, thresho
     one = small.agg(F.count("*"), F.sum(1 / chance)).first()
     two = hot.agg(F.sum("links"), F.sum("weight")).first()
     removed(spark, members)
+    removed(spark, pairs)
     removed(spark, texts)
     return {"edges": edges, "counts": counts}, one[0] + (two[0] or 0) // 2, (one[1] or 0.0) + (two[1] or 0.0)
 
