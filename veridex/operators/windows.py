@@ -18,7 +18,8 @@ def ttl_hits(reads: DataFrame, ttl_seconds: int) -> DataFrame:
     Every read refreshes its entry, so only the read before matters; capacity is not limited here.
     """
     w = Window.partitionBy("key").orderBy("ts", "id")
-    age = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    age = at - F.lag(at).over(w)
     return reads.select("id", F.coalesce(age < ttl_seconds * 1_000_000, F.lit(False)).alias("hit"))
 
 
