@@ -13,7 +13,10 @@ from veridex.functions.rates import floor_rank, rate, rate_or_zero, rounded
 
 LATENCY_WINDOW = 2000
 _SALTS = 64
-HIT = F.col("classification") != "miss"
+
+
+def hit() -> Column:
+    return F.col("classification") != "miss"
 
 
 def is_class(name: str) -> Column:
@@ -35,9 +38,9 @@ def last_latencies(records: DataFrame, keep: int = LATENCY_WINDOW) -> DataFrame:
 def counts() -> list[Column]:
     live = F.col("test_type") != "image"
     return [
-        F.count("*").alias("total_frames"), F.count_if(HIT).alias("detections"), F.count_if(is_class("correct")).alias("correct"), F.count_if(is_class("incorrect")).alias("incorrect"),
-        F.count_if(live & HIT).alias("live_detections"), F.count_if(live & is_class("correct")).alias("live_correct"),
-        F.count_if(~live & HIT).alias("image_detections"), F.count_if(~live & is_class("correct")).alias("image_correct"), F.min("id").alias("first_id"),
+        F.count("*").alias("total_frames"), F.count_if(hit()).alias("detections"), F.count_if(is_class("correct")).alias("correct"), F.count_if(is_class("incorrect")).alias("incorrect"),
+        F.count_if(live & hit()).alias("live_detections"), F.count_if(live & is_class("correct")).alias("live_correct"),
+        F.count_if(~live & hit()).alias("image_detections"), F.count_if(~live & is_class("correct")).alias("image_correct"), F.min("id").alias("first_id"),
     ]
 
 
@@ -61,7 +64,7 @@ def ranking_sets(records: DataFrame) -> DataFrame:
     """The overall, live and image rankings in one pass over grouping sets."""
     r = records.withColumn("is_image", F.col("test_type") == "image")
     g = r.groupingSets([["engine"], ["engine", "is_image"]], "engine", "is_image")
-    return g.agg(F.count("*").alias("total_frames"), F.count_if(HIT).alias("detections"), F.count_if(is_class("correct")).alias("correct"))
+    return g.agg(F.count("*").alias("total_frames"), F.count_if(hit()).alias("detections"), F.count_if(is_class("correct")).alias("correct"))
 
 
 def angle_matrix(records: DataFrame) -> DataFrame:
@@ -79,24 +82,24 @@ def angle_grid(records: DataFrame, angles: list[int]) -> DataFrame:
 def image_summary(records: DataFrame, variant: str | None = None) -> DataFrame:
     r = records.filter("test_type = 'image'")
     r = r.filter(F.col("variant") == variant) if variant else r
-    g = r.groupBy("engine").agg(F.count("*").alias("total"), F.count_if(HIT).alias("detected"), F.count_if(is_class("correct")).alias("correct"), F.sum(F.when(HIT, F.col("detection_time_ms"))).alias("ms"))
+    g = r.groupBy("engine").agg(F.count("*").alias("total"), F.count_if(hit()).alias("detected"), F.count_if(is_class("correct")).alias("correct"), F.sum(F.when(hit(), F.col("detection_time_ms"))).alias("ms"))
     return g.select("engine", "total", rate_or_zero(F.col("detected"), F.col("total"), 100).alias("detection_rate"), rate(F.col("correct"), F.col("detected"), 100).alias("accuracy"), rounded(F.try_divide(F.col("ms"), F.col("detected"))).alias("avg_latency"))
 
 
 def hits_by_image(records: DataFrame) -> DataFrame:
     """Engines that found something in an image variant, in the order of their first hit."""
-    first = records.filter(HIT).groupBy("image_id", "variant", "engine").agg(F.min("id").alias("id"))
+    first = records.filter(hit()).groupBy("image_id", "variant", "engine").agg(F.min("id").alias("id"))
     return first.groupBy("image_id", "variant").agg(F.array_sort(F.collect_list(F.struct("id", "engine"))).alias("e")).select("image_id", "variant", F.array_join(F.col("e.engine"), ",").alias("engines"))
 
 
 def missed_images(records: DataFrame) -> DataFrame:
-    return records.groupBy("image_id").agg(F.bool_and(~HIT).alias("m")).filter("m").select("image_id")
+    return records.groupBy("image_id").agg(F.bool_and(~hit()).alias("m")).filter("m").select("image_id")
 
 
 def partial_hit_images(records: DataFrame) -> DataFrame:
     """Nothing found in the original (or no original), but in some variant."""
-    original = F.bool_and(F.when(F.col("variant") == "original", ~HIT))
-    return records.groupBy("image_id").agg(F.coalesce(original, F.lit(True)).alias("m"), F.bool_or(HIT).alias("h")).filter("m and h").select("image_id")
+    original = F.bool_and(F.when(F.col("variant") == "original", ~hit()))
+    return records.groupBy("image_id").agg(F.coalesce(original, F.lit(True)).alias("m"), F.bool_or(hit()).alias("h")).filter("m and h").select("image_id")
 
 
 def without(records: DataFrame, ids: DataFrame, key: str = "image_id") -> DataFrame:
@@ -105,12 +108,12 @@ def without(records: DataFrame, ids: DataFrame, key: str = "image_id") -> DataFr
 
 
 def first_correct_engine(records: DataFrame) -> DataFrame:
-    g = records.filter(HIT).groupBy("session_id", "engine").agg(F.count_if(is_class("correct")).alias("c"), F.max_by("detection_time_ms", "id").alias("ms"))
+    g = records.filter(hit()).groupBy("session_id", "engine").agg(F.count_if(is_class("correct")).alias("c"), F.max_by("detection_time_ms", "id").alias("ms"))
     return g.filter("c > 0").groupBy("session_id").agg(F.min_by("engine", F.struct("ms", "engine")).alias("engine"), F.min("ms").alias("latency"))
 
 
 def latest_detection(records: DataFrame) -> DataFrame:
-    return records.filter(HIT).groupBy("session_id", "engine").agg(F.max_by("barcode_value", "id").alias("last_value"), F.max_by("detection_time_ms", "id").alias("last_latency"))
+    return records.filter(hit()).groupBy("session_id", "engine").agg(F.max_by("barcode_value", "id").alias("last_value"), F.max_by("detection_time_ms", "id").alias("last_latency"))
 
 
 def without_repeats(records: DataFrame) -> DataFrame:
@@ -137,7 +140,7 @@ def best_so_far(records: DataFrame) -> DataFrame:
 
 
 def engine_metrics(records: DataFrame) -> DataFrame:
-    g = records.groupBy("engine").agg(F.count("*").alias("attempts"), F.count_if(HIT).alias("detections"), F.coalesce(F.sum("detection_time_ms"), F.lit(0)).alias("total_ms"))
+    g = records.groupBy("engine").agg(F.count("*").alias("attempts"), F.count_if(hit()).alias("detections"), F.coalesce(F.sum("detection_time_ms"), F.lit(0)).alias("total_ms"))
     return g.select("*", rate_or_zero(F.col("detections"), F.col("attempts")).alias("ratio"), rate_or_zero(F.col("total_ms"), F.col("attempts")).alias("avg_ms"))
 
 
@@ -160,7 +163,7 @@ def weighted_floor_rank(records: DataFrame, percent: int) -> DataFrame:
 
 def derived_rates(records: DataFrame) -> DataFrame:
     """Service rates over all records, 0 where nothing was counted."""
-    g = records.agg(F.count("*").alias("n"), F.count_if(HIT).alias("d"), F.count_if(is_class("correct")).alias("c"), F.count_if(is_class("incorrect")).alias("i"))
+    g = records.agg(F.count("*").alias("n"), F.count_if(hit()).alias("d"), F.count_if(is_class("correct")).alias("c"), F.count_if(is_class("incorrect")).alias("i"))
     return g.select(rate_or_zero(F.col("d"), F.col("n")).alias("detection_rate"), rate_or_zero(F.col("c"), F.col("d")).alias("success_rate"), rate_or_zero(F.col("i"), F.col("n")).alias("error_rate"))
 
 

@@ -152,7 +152,7 @@ def condition_labels(spark, sf_dir):
     V,
 )
 def display_texts(spark, sf_dir):
-    g = _bench(spark, sf_dir).groupBy("engine").agg(F.count_if("success").alias("s"), F.count("*").alias("n"), F.min(F.when(~R.HIT, F.col("detection_time_ms"))).alias("m"), F.max("detection_time_ms").alias("w"))
+    g = _bench(spark, sf_dir).groupBy("engine").agg(F.count_if("success").alias("s"), F.count("*").alias("n"), F.min(F.when(~R.hit(), F.col("detection_time_ms"))).alias("m"), F.max("detection_time_ms").alias("w"))
     return g.select("engine", percent_text(rate(F.col("s"), F.col("n"), 100)).alias("accuracy_text"), millis_text(F.col("m")).alias("miss_text"), millis_text(F.col("w")).alias("worst_text"))
 
 
