@@ -23,7 +23,7 @@ from veridex.llm.common import binaries, partitions, ship, slices, written
 LENGTH = 2048
 END = 1
 DIMS, CURVE_BITS = 4, 12
-CACHE_WORDS = 300_000
+CACHE_WORDS, KEPT_LETTERS = 400_000, 8
 #: A text with none of these has only Latin letters, digits, white space and single full stops and commas.
 _OTHER = re.compile(r"[^0-9A-Za-zÀ-ÖØ-öø-ɏ \n.,]|[.,][.,]")
 #: A text with none of these can be cut by _PIECES, which says for its characters what the tokenizer's pattern says.
@@ -80,6 +80,12 @@ class Encoder:
         for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
             self.known[w] = np.array(e.ids, np.uint16).tobytes()
 
+    def forget(self) -> None:
+        """Keep short words only, which come again soonest."""
+        self.known = {w: x for w, x in self.known.items() if len(w) <= KEPT_LETTERS}
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         parts = [pieces(t) for t in texts]
@@ -87,8 +93,8 @@ class Encoder:
         new = need.difference(self.known)
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = need
+                self.forget()
+                new = need.difference(self.known)
             self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
@@ -165,7 +171,7 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
             n = np.array([len(x) // 2 for x in raw])
             ids = np.frombuffer(b"".join(raw), np.uint16)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(curve_keys(ids, n, proj)), binaries(ids, n)], names=schema.names)
-        enc.known.clear()  # the worker lives on and other stages need its memory
+        enc.forget()  # the worker lives on and other stages need its memory
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 

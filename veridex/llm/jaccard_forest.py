@@ -23,7 +23,7 @@ from veridex.llm.components import components
 TREES, LEVELS = 16, 8
 DEPTHS = (6, 5, 4)
 SMALL = 48
-BLOCK_TEXTS, BLOCK_BYTES = 512, 8 << 20
+BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
 THRESHOLD = 0.8
 RECALL = 0.998
 
@@ -54,8 +54,12 @@ def found_chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | flo
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
-    h, n = shingles(Words(column))
-    return [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
+    """The set of shingles of each text, made a slice of texts at a time."""
+    out = []
+    for b in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
+        h, n = shingles(Words(b.column("text")))
+        out += [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
+    return out
 
 
 def _allowed(p: np.ndarray, q: np.ndarray, tree: int, depth: int, before: int) -> np.ndarray:
@@ -221,23 +225,25 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 def _links_at(docs: DataFrame, reps: DataFrame, depth: int, before: int, threshold: float) -> tuple[dict, int, float]:
     spark = docs.sparkSession
     prefix = F.shiftrightunsigned("label", 8 * (LEVELS - depth))
-    entries = reps.select("node", "rep", "bytes", "labels", F.posexplode("labels").alias("tree", "label")).withColumn("prefix", prefix)
+    entries = reps.select("node", "bytes", F.posexplode("labels").alias("tree", "label")).select("node", "bytes", "tree", prefix.alias("prefix"))
     full = entries.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.sum("bytes").alias("mass")).filter("n > 1")
-    members = written(entries.drop("label").join(full, ["tree", "prefix"]), "members")
+    members = written(entries.drop("bytes").join(full, ["tree", "prefix"]), "members")  # few of the entries
 
-    involved = members.select("node", "rep").distinct()
+    involved = members.select("node").distinct()
+    some_reps = written(reps.join(involved, "node", "left_semi").select("node", "rep", "labels"), "involved")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").alias("rep"), node_of(text).alias("node"), text.alias("text"))
-    some = rows.alias("x").join(involved.alias("y"), (F.col("x.node") == F.col("y.node")) & F.col("x.rep").eqNullSafe(F.col("y.rep")), "left_semi")
-    texts = written(some.groupBy("node").agg(F.first("text").alias("text")), "involved")
+    some = rows.alias("x").join(some_reps.select("node", "rep").alias("y"), (F.col("x.node") == F.col("y.node")) & F.col("x.rep").eqNullSafe(F.col("y.rep")), "left_semi")
+    texts = written(some.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    labels = some_reps.select("node", "labels")
 
-    pairs = written(members.filter(F.col("n") <= SMALL).select("tree", "prefix", "node", "labels").groupBy("tree", "prefix").applyInArrow(_pairs_of(depth, before), _PAIRS), "pairs")  # written: one Python step a stage bounds memory
+    pairs = written(members.filter(F.col("n") <= SMALL).select("tree", "prefix", "node").join(labels, "node").groupBy("tree", "prefix").applyInArrow(_pairs_of(depth, before), _PAIRS), "pairs")  # written: one Python step a stage bounds memory
     small = written(_verify(pairs, texts, threshold), "links")
 
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("mass") / BLOCK_BYTES)).cast("int")
-    large = members.filter(F.col("n") > SMALL).select("tree", "prefix", "node", "labels", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(depth)), F.col("blocks")).cast("int"))
-    large = large.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("tree", "prefix", "node", "labels", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    cells = large.join(texts, "node").groupBy("tree", "prefix", "i", "j").applyInArrow(_block_links(depth, before, threshold), _BLOCKS)
+    large = members.filter(F.col("n") > SMALL).select("tree", "prefix", "node", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(depth)), F.col("blocks")).cast("int"))
+    large = large.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("tree", "prefix", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cells = large.join(texts.join(labels, "node"), "node").groupBy("tree", "prefix", "i", "j").applyInArrow(_block_links(depth, before, threshold), _BLOCKS)
     hot = written(cells, "blocks")
 
     ends = F.explode(F.array("a", "b"))
@@ -248,6 +254,7 @@ def _links_at(docs: DataFrame, reps: DataFrame, depth: int, before: int, thresho
     two = hot.agg(F.sum("links"), F.sum("weight")).first()
     removed(spark, members)
     removed(spark, pairs)
+    removed(spark, some_reps)
     removed(spark, texts)
     return {"edges": edges, "counts": counts}, one[0] + (two[0] or 0) // 2, (one[1] or 0.0) + (two[1] or 0.0)
 
