@@ -123,8 +123,8 @@ def judged(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
     rows = rows.withColumns({"_key": canonical(h, p), "rule": rule_of(h, p, rules, lambda r: F.lit(r.name)), "_rule": rule_of(h, p, rules, lambda r: F.lit(r.verdict))})
     keys = listed.select("key").filter("key is not null")
     seen = possible(rows, "_key", built(keys, "key"), "_possible")
-    exact = keys.distinct().withColumn("_listed", F.lit(True))
-    hits = seen.filter("_possible").join(exact.hint("shuffle_hash"), F.col("_key") == F.col("key"), "left").drop("key")
+    exact = keys.select(F.col("key").alias("_list_key")).distinct().withColumn("_listed", F.lit(True))
+    hits = seen.filter("_possible").join(exact.hint("shuffle_hash"), F.col("_key") == F.col("_list_key"), "left").drop("_list_key")
     rest = seen.filter("not _possible").withColumn("_listed", F.lit(None).cast("boolean"))
     verdict = F.coalesce(F.col("_rule"), F.when(F.col("_listed"), "block").otherwise("allow"))
     return hits.unionByName(rest).withColumn("verdict", verdict).drop("_key", "_rule", "_possible", "_listed")
