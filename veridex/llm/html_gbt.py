@@ -29,7 +29,9 @@ _TAG_ID = {t: i for i, t in enumerate(BLOCKS)}
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: What a start tag closes first, and where the search for it ends.
 _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tbody": (("thead", "tbody"), ("table",)), "tfoot": (("thead", "tbody"), ("table",))}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: The rest of a tag with its quotes; possessive, so that it never goes back.
+_REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|aria-label|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STOPS = re.compile(r"[.!?,;:]")
@@ -98,18 +100,26 @@ class Dom:
             lt = html.find("<", at)
             if lt < 0:
                 break
-            m = _TAG.match(html, lt)
-            if m is None:  # a bare '<' is text
-                nxt = html.find("<", lt + 1)
+            m = _NAME.match(html, lt)
+            if m is None and html.startswith(("<!", "<?"), lt):
+                text(at, lt)
+                comment = html.startswith("<!--", lt)
+                end = html.find("-->" if comment else ">", lt + (4 if comment else 2))
+                at = n if end < 0 else end + (3 if comment else 1)
+                continue
+            gt = -1 if m is None else html.find(">", m.end())
+            if gt < 0:  # a bare '<' is text
+                nxt = html.find("<", lt + 1) if m is None else n
                 text(at, nxt if nxt > 0 else n)
                 at = nxt if nxt > 0 else n
                 continue
             text(at, lt)
-            at = m.end()
-            name = m[2] or m[5]
-            if name is None:
-                continue
-            name, closing = name.lower(), bool(m[1] or m[4])
+            if html.find('"', m.end(), gt) >= 0 or html.find("'", m.end(), gt) >= 0:
+                rest = _REST.match(html, m.end())
+                gt = rest.end() - 1 if rest else gt  # quotes that don't close are not quotes
+            attributes, at = html[m.end() : gt], gt + 1
+            name = m[2]
+            name, closing = name.lower(), bool(m[1])
             if name in SKIPPED:
                 if closing:
                     if name in skip:
@@ -120,7 +130,7 @@ class Dom:
                     if end:
                         gt = html.find(">", at)
                         at = gt + 1 if gt >= 0 else n
-                elif not (m[3] or m[6] or "").rstrip().endswith("/"):
+                elif not attributes.rstrip().endswith("/"):
                     skip.append(name)
                 run += 1
                 continue
@@ -157,7 +167,7 @@ class Dom:
                         del stack[k:]
                         break
             link = False
-            stack.append((name, self.node(page, stack[-1][1], name, len(stack), m[3] or m[6] or "")))
+            stack.append((name, self.node(page, stack[-1][1], name, len(stack), attributes)))
         else:
             return
         text(at, n)
