@@ -25,19 +25,20 @@ def groups(obs: DataFrame) -> DataFrame:
         obs = obs.withColumn("engine_confidence", F.lit(None).cast("double"))
     o = obs.withColumn("payload", F.trim("value")).filter("payload <> ''")
     o = o.withColumn("class", F.when(F.col("format").isin(dims.FUSION_2D_FORMATS), "2D").otherwise("1D")).withColumn("w", _weight())
-    per = o.groupBy("image_id", "class", "payload", "format").agg(
-        F.sum("w").alias("w"), F.min("ord").alias("first"), F.min_by("value", "ord").alias("value"), F.collect_set("engine").alias("engines"), F.collect_set("variant").alias("variants"),
-        F.count("*").alias("n"), F.min("decode_ms").alias("fastest"), F.max("engine_confidence").alias("own"),
-    )
-    bonus = F.when(F.col("format") == "EAN-13", 0.1).when(F.col("format") == "EAN-8", 0.05).otherwise(0.0)
-    score = F.when(F.col("w").isNotNull(), F.struct(F.col("w") + bonus, -F.col("first")))
-    g = per.groupBy("image_id", "class", "payload").agg(
-        F.min_by("value", "first").alias("value"), F.coalesce(F.max_by("format", score), F.lit("UNKNOWN")).alias("format"), F.min("first").alias("first_ord"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("engines")))).alias("engines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("variants")))).alias("variants"),
-        F.sum("n").alias("observations"), F.min("fastest").alias("fastest_ms"), F.max("own").alias("engine_score"),
-        F.transform(F.array_sort(F.collect_list(F.struct("first", "format"))), lambda s: s["format"]).alias("formats"),
-    )
-    return g.withColumn("agreement", F.size("engines"))
+    # fixed-width buffers first, so that rows are combined in hash maps before the one list of each payload is made
+    per = o.groupBy("image_id", "class", "payload", "value", "format", "engine", "variant").agg(F.min("ord").alias("first"), F.sum("w").alias("w"), F.count("*").alias("n"), F.min("decode_ms").alias("fastest"), F.max("engine_confidence").alias("own"))
+    g = per.groupBy("image_id", "class", "payload").agg(F.array_sort(F.collect_list(F.struct("first", "value", "format", "engine", "variant", "w", "n", "fastest", "own"))).alias("r"))
+    r = F.col("r")
+    named = lambda c: F.transform(r, lambda x: x[c])
+    g = g.select("image_id", "class", "payload", "r", F.array_distinct(named("format")).alias("formats"))
+    bonus = lambda f: F.when(f == "EAN-13", 0.1).when(f == "EAN-8", 0.05).otherwise(0.0)
+    total = lambda f: F.aggregate(F.filter(r, lambda x: x["format"] == f), F.lit(0.0), lambda acc, x: acc + x["w"]) + bonus(f)
+    scores = F.transform(F.filter("formats", lambda f: f != "UNKNOWN"), lambda f, i: F.struct(total(f).alias("score"), (-i).alias("early"), f.alias("format")))
+    return g.select(
+        "image_id", "class", "payload", F.get(r, 0)["value"].alias("value"), F.coalesce(F.array_max(scores)["format"], F.lit("UNKNOWN")).alias("format"), F.get(r, 0)["first"].alias("first_ord"),
+        F.array_sort(F.array_distinct(named("engine"))).alias("engines"), F.array_sort(F.array_distinct(F.filter(named("variant"), lambda v: v != ""))).alias("variants"),
+        F.aggregate(r, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]).alias("observations"), F.array_min(named("fastest")).alias("fastest_ms"), F.array_max(named("own")).alias("engine_score"), "formats",
+    ).withColumn("agreement", F.size("engines"))
 
 
 def with_confidence(g: DataFrame) -> DataFrame:
