@@ -42,9 +42,20 @@ FROM {part}""",
 }
 
 
+#: Views whose rows take much work each.
+HEAVY = {"observations", "label_text"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out if the files make fewer tasks than there are cores; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, sql = VIEWS[name]
-    return spark.sql(sql, **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+    base = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.sql(sql, **{table: spread(base) if name in HEAVY else base})
 
 
 def with_views(sql: str, *names: str) -> str:
