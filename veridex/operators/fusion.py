@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veridex import dims
 from veridex.functions import formats as fmt
+from veridex.functions.net import let
 
 
 def _weight() -> Column:
@@ -27,18 +28,24 @@ def groups(obs: DataFrame) -> DataFrame:
     o = o.withColumn("class", F.when(F.col("format").isin(dims.FUSION_2D_FORMATS), "2D").otherwise("1D")).withColumn("w", _weight())
     # fixed-width buffers first, so that rows are combined in hash maps before the one list of each payload is made
     per = o.groupBy("image_id", "class", "payload", "value", "format", "engine", "variant").agg(F.min("ord").alias("first"), F.sum("w").alias("w"), F.count("*").alias("n"), F.min("decode_ms").alias("fastest"), F.max("engine_confidence").alias("own"))
-    g = per.groupBy("image_id", "class", "payload").agg(F.array_sort(F.collect_list(F.struct("first", "value", "format", "engine", "variant", "w", "n", "fastest", "own"))).alias("r"))
-    r = F.col("r")
+    listed = F.collect_list(F.struct("first", "value", "format", "engine", "variant", "w", "n", "fastest", "own"))
+    g = per.groupBy("image_id", "class", "payload").agg(listed.alias("r")).select("image_id", "class", "payload", let(F.array_sort("r"), _summary).alias("s"))
+    return g.select("image_id", "class", "payload", "s.*").withColumn("agreement", F.size("engines"))
+
+
+def _summary(r: Column) -> Column:
+    """What the combined observations of one payload, in order, say together."""
     named = lambda c: F.transform(r, lambda x: x[c])
-    g = g.select("image_id", "class", "payload", "r", F.array_distinct(named("format")).alias("formats"))
     bonus = lambda f: F.when(f == "EAN-13", 0.1).when(f == "EAN-8", 0.05).otherwise(0.0)
     total = lambda f: F.aggregate(F.filter(r, lambda x: x["format"] == f), F.lit(0.0), lambda acc, x: acc + x["w"]) + bonus(f)
-    scores = F.transform(F.filter("formats", lambda f: f != "UNKNOWN"), lambda f, i: F.struct(total(f).alias("score"), (-i).alias("early"), f.alias("format")))
-    return g.select(
-        "image_id", "class", "payload", F.get(r, 0)["value"].alias("value"), F.coalesce(F.array_max(scores)["format"], F.lit("UNKNOWN")).alias("format"), F.get(r, 0)["first"].alias("first_ord"),
+    score = lambda f, i: F.struct(total(f).alias("score"), (-i).alias("early"), f.alias("format"))
+    scores = F.transform(F.filter(F.array_distinct(named("format")), lambda f: f != "UNKNOWN"), score)
+    return F.struct(
+        F.get(r, 0)["value"].alias("value"), F.coalesce(F.array_max(scores)["format"], F.lit("UNKNOWN")).alias("format"), F.get(r, 0)["first"].alias("first_ord"),
         F.array_sort(F.array_distinct(named("engine"))).alias("engines"), F.array_sort(F.array_distinct(F.filter(named("variant"), lambda v: v != ""))).alias("variants"),
-        F.aggregate(r, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]).alias("observations"), F.array_min(named("fastest")).alias("fastest_ms"), F.array_max(named("own")).alias("engine_score"), "formats",
-    ).withColumn("agreement", F.size("engines"))
+        F.aggregate(r, F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]).alias("observations"), F.array_min(named("fastest")).alias("fastest_ms"),
+        F.array_max(named("own")).alias("engine_score"), F.array_distinct(named("format")).alias("formats"),
+    )
 
 
 def with_confidence(g: DataFrame) -> DataFrame:
