@@ -226,6 +226,18 @@ def test_near_copies(spark, corpus):
     assert jaccard_forest.jaccard_classes(empty(spark)).count() == 0
 
 
+def test_near_copies_of_odd_ids(spark):
+    """Null and repeated ids over different texts: one row of each class stays, whatever its id."""
+    rng = np.random.default_rng(21)
+    a, b, c, d, e = (prose(rng, 120) for _ in range(5))
+    near = lambda t: t + " tail"
+    rows = [(None, a), (None, b), (7, c), (7, d), (3, e), (None, near(e)), (None, near(c)), (9, near(b)), (7, c), (None, a)]
+    kept = jaccard_forest.without_near_copies(frame(spark, rows))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, a), (9, near(b)), (7, c), (7, d), (3, e)])
+    assert "node" in kept.columns and len(kept.columns) == len(frame(spark, rows).columns)
+    assert [tuple(r) for r in jaccard_forest.without_near_copies(spark.createDataFrame([(None, a), (None, near(a))], "doc_id bigint, text string")).select("doc_id").collect()] == [(None,)]
+
+
 def test_hot_group(spark, monkeypatch):
     """A group too large for pairs goes through blocks and loses no link."""
     monkeypatch.setattr(jaccard_forest, "SMALL", 6)

@@ -198,6 +198,12 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     text. Null reads as empty text; a text of fewer than five words has one shingle; texts without words link to
     equal ones only. Null doc_ids count as the greatest. An empty table gives no rows.
     """
+    sig, nodes = _grouped(docs, threshold, recall)
+    return sig.select("doc_id", "node").join(nodes.select("node", "class_id", "n_links", "n_copies"), "node").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _grouped(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node), and of every node: rep (its least doc_id), component, class_id, n_links, n_copies."""
     spark = docs.sparkSession
     sig = written(signatures(docs), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bytes", "labels"))
@@ -218,8 +224,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     per = per.groupBy("node").agg(F.sum("links").alias("n_links"))
     nodes = reps.select("node", "rep", "copies").join(labels, "node", "left").join(per, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.filter("n_links > 0").groupBy("component").agg(F.min("rep").alias("class_id"))
-    nodes = nodes.join(least, "component", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
-    return sig.select("doc_id", "node").join(nodes, "node").select("doc_id", "class_id", "n_links", "n_copies")
+    nodes = nodes.join(least, "component", "left").select("node", "rep", "component", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
+    return sig.select("doc_id", "node"), nodes
 
 
 def _links_at(docs: DataFrame, reps: DataFrame, depth: int, before: int, threshold: float) -> tuple[dict, int, float]:
@@ -260,9 +266,21 @@ def _links_at(docs: DataFrame, reps: DataFrame, depth: int, before: int, thresho
 
 
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one row of each class: that of its least doc_id. All columns stay as they are."""
-    found = written(jaccard_classes(docs.select("doc_id", "text"), threshold), "classes")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """docs with one row of each class: that of its least doc_id (null last), then of the least digest.
+
+    Ids may be null or repeated over different texts; of rows equal in doc_id and text one stays. All columns stay
+    as they are.
+    """
+    sig, nodes = _grouped(docs.select("doc_id", "text"), threshold, RECALL)
+    first = nodes.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"))
+    stays = F.col("node").eqNullSafe(F.col("first.node")) & F.col("doc_id").eqNullSafe(F.col("first.rep"))
+    rows = sig.join(nodes.select("node", "component", "n_copies").join(first, "component"), "node").select("doc_id", "node", "n_copies", stays.alias("stays"))
+    found = written(rows.filter("not stays or n_copies > 1"), "classes")
+    gone = found.filter("not stays").select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")).distinct()
+    node = node_of(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (node == gone["gone_node"]), "left_anti")
+    repeated = found.filter("stays").groupBy("doc_id", "node").count().filter("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    digest = "_digest_of_near_copies"
+    return kept.withColumn(digest, node_of(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", digest]).drop(digest)
