@@ -256,6 +256,24 @@ def test_hot_group(spark, monkeypatch):
     assert sum(n for _, n in got.values()) >= 0.99 * sum(n for _, n in want.values()) and all(got[i][1] <= want[i][1] for i in want)
 
 
+def test_links_at_the_threshold(spark):
+    """Pairs that meet only below 6 bytes are found although a hot group of very similar texts has most of the links."""
+    rng = np.random.default_rng(31)
+    texts = []
+    for _ in range(3000):
+        w = prose(rng, 49).split()
+        texts += [" ".join(w), " ".join([*w[:-5], *prose(rng, 5).split()])]  # 40 of 50 shingles
+    label = jaccard_forest.labels_of(pa.array(texts)).view(np.uint64)
+    meet = lambda d: (label[::2] >> np.uint64(64 - 8 * d) == label[1::2] >> np.uint64(64 - 8 * d)).any(axis=1)
+    hard = np.flatnonzero(meet(5) & ~meet(6) & [jaccard(sets(a), sets(b)) >= 0.8 for a, b in zip(texts[::2], texts[1::2])])[:4].tolist()
+    assert hard
+    base = prose(rng, 300)
+    rows = list(enumerate([texts[2 * k + j] for k in hard for j in (0, 1)] + [f"{base} x{i}" for i in range(90)]))
+    got = {r.doc_id: r.n_links for r in jaccard_forest.jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i in range(2 * len(hard))] == [1] * (2 * len(hard))
+    assert all(jaccard_forest.found_chance(t, jaccard_forest.depth_for(t, 0.998)) >= 0.998 for t in (0.5, 0.7, 0.8, 0.95))
+
+
 def test_warc(spark, tmp_path):
     body = "x" * 99
     pages = [(5, "http://a/1", body), (3, "http://a/2", body), (9, None, "é" * 60), (1, "http://b/\n x", "é" * 60), (4, "u", None), (2, "u", "é" * 60), (7, "v" * 70_000, "<p>" + "long " * 50_000), (1, "http://b/\n x", "é" * 60), (None, "n", "é" * 60)]

@@ -1,9 +1,8 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Every distinct text gets TREES labels of LEVELS MinHash bytes. In each tree the labels form a sorted trie; texts
-whose labels share a prefix are candidates. The matched prefix starts at DEPTHS[0] bytes and is shortened until
-the recall that the verified links imply (each link weighs one over its chance of being found) reaches the
-target. Each candidate is verified once, in the first tree where it meets, on its exact sets of word shingles.
+whose labels share a prefix are candidates. The prefix is the longest by which two texts exactly as similar as the
+threshold meet with the target recall, so that no link's chance depends on the rest of the table. Each candidate is verified once, in the first tree where it meets, on its exact sets of word shingles.
 
 A subtree of more than SMALL texts is never turned into pairs: its texts are dealt into blocks, and each pair of
 blocks is verified inside one task, which returns link counts and a spanning forest of its links only.
@@ -21,7 +20,6 @@ from veridex.llm.common import Words, binaries, lists, mapped, mix, raw, removed
 from veridex.llm.components import components
 
 TREES, LEVELS = 16, 8
-DEPTHS = (6, 5, 4)
 SMALL = 48
 BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
 THRESHOLD = 0.8
@@ -53,6 +51,11 @@ def found_chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | flo
     return 1 - (1 - s**depth) ** TREES
 
 
+def depth_for(threshold: float, recall: float) -> int:
+    """The longest prefix that finds pairs at the threshold itself, thus all above it, with the target recall."""
+    return next((d for d in range(LEVELS, 1, -1) if found_chance(threshold, d) >= recall), 1)
+
+
 def _sets(column: pa.Array) -> list[np.ndarray]:
     """The set of shingles of each text, made a slice of texts at a time."""
     out = []
@@ -62,17 +65,13 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _allowed(p: np.ndarray, q: np.ndarray, tree: int, depth: int, before: int) -> np.ndarray:
-    """Pairs (rows of p, rows of q: labels) whose first common prefix of `depth` bytes is in `tree`, and none of `before` bytes."""
+def _allowed(p: np.ndarray, q: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    """Pairs (rows of p, rows of q: labels) whose first common prefix of `depth` bytes is in `tree`."""
     cut = lambda x, d: x.view(np.uint64) >> np.uint64(8 * (LEVELS - d))
     a, b = cut(p, depth), cut(q, depth)
     ok = a[:, None, tree] == b[None, :, tree]
     for t in range(tree):
         ok &= a[:, None, t] != b[None, :, t]
-    if before:
-        a, b = cut(p, before), cut(q, before)
-        for t in range(TREES):
-            ok &= a[:, None, t] != b[None, :, t]
     return ok
 
 
@@ -81,14 +80,14 @@ def _labels(column: pa.Array) -> np.ndarray:
 
 
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-_BLOCKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("links", T.LongType()), T.StructField("weight", T.DoubleType())])
+_BLOCKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("links", T.LongType())])
 
 
-def _pairs_of(depth: int, before: int):
+def _pairs_of(depth: int):
     def run(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
         p = _labels(table.column("labels").combine_chunks())
-        ok = _allowed(p, p, table.column("tree")[0].as_py(), depth, before)
+        ok = _allowed(p, p, table.column("tree")[0].as_py(), depth)
         i, j = np.nonzero(np.triu(ok, 1))
         a, b = nodes[i], nodes[j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -96,8 +95,8 @@ def _pairs_of(depth: int, before: int):
     return run
 
 
-def _block_links(depth: int, before: int, threshold: float):
-    """Of one pair of blocks: (node, its links, their weights), and edges (a, b) that span the links."""
+def _block_links(depth: int, threshold: float):
+    """Of one pair of blocks: (node, its links), and edges (a, b) that span the links."""
 
     def run(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
@@ -110,7 +109,6 @@ def _block_links(depth: int, before: int, threshold: float):
         words, code = np.unique(np.concatenate([sets[k] for k in right]), return_inverse=True) if len(right) else (np.zeros(0, np.uint64), None)
         starts = np.cumsum(size[right]) - size[right]
         count = np.zeros(len(nodes), np.int64)
-        weight = np.zeros(len(nodes))
         root = np.arange(len(nodes))
 
         def top(k):
@@ -122,7 +120,7 @@ def _block_links(depth: int, before: int, threshold: float):
         edges = []
         if len(right):
             flag = np.zeros(len(words), bool)
-            ok = _allowed(p[left], p[right], tree, depth, before)
+            ok = _allowed(p[left], p[right], tree, depth)
             if i_ == j_:
                 ok &= nodes[left][:, None] < nodes[right][None, :]
             for r, k in enumerate(left.tolist()):
@@ -137,11 +135,9 @@ def _block_links(depth: int, before: int, threshold: float):
                 both = np.add.reduceat(flag[code].astype(np.int32), starts)[some]
                 s = both / (size[k] + size[right[some]] - both)
                 hit = s >= threshold
-                for m, x in zip(right[some[hit]].tolist(), s[hit].tolist()):
-                    w = 1 / found_chance(x, depth)
+                for m in right[some[hit]].tolist():
                     count[k] += 1
                     count[m] += 1
-                    weight[k] += w
                     ra, rb = top(k), top(m)
                     if ra != rb:
                         root[rb] = ra
@@ -149,8 +145,7 @@ def _block_links(depth: int, before: int, threshold: float):
         some = np.flatnonzero(count)
         a = np.concatenate([nodes[some], np.array([e[0] for e in edges], np.int64)])
         b = np.concatenate([nodes[some], np.array([e[1] for e in edges], np.int64)])
-        tail = np.zeros(len(edges))
-        return pa.table({"a": a, "b": b, "links": np.concatenate([count[some], tail.astype(np.int64)]), "weight": np.concatenate([weight[some], tail])})
+        return pa.table({"a": a, "b": b, "links": np.concatenate([count[some], np.zeros(len(edges), np.int64)])})
 
     return run
 
@@ -208,18 +203,7 @@ def _grouped(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFram
     sig = written(signatures(docs), "signatures")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bytes", "labels"))
     reps = written(sig.groupBy("node").agg(best.alias("r"), F.count("*").alias("copies")).select("node", F.col("r.doc_id").alias("rep"), "copies", F.col("r.bytes").alias("bytes"), F.col("r.labels").alias("labels")), "texts")
-    links, counts, before = None, None, 0
-    for depth in DEPTHS:
-        some, n, weight = _links_at(docs, reps, depth, before, threshold)
-        links = [*(links or []), some]
-        counts = (counts[0] + n, counts[1] + weight) if counts else (n, weight)
-        if found_chance(threshold, depth) >= recall or counts[0] and counts[0] / counts[1] >= recall:
-            break
-        before = depth
-    edges = links[0]["edges"]
-    per = links[0]["counts"]
-    for x in links[1:]:
-        edges, per = edges.union(x["edges"]), per.union(x["counts"])
+    edges, per = _links_at(docs, reps, depth_for(threshold, recall), threshold)
     labels = components(edges)
     per = per.groupBy("node").agg(F.sum("links").alias("n_links"))
     nodes = reps.select("node", "rep", "copies").join(labels, "node", "left").join(per, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -228,7 +212,8 @@ def _grouped(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFram
     return sig.select("doc_id", "node"), nodes
 
 
-def _links_at(docs: DataFrame, reps: DataFrame, depth: int, before: int, threshold: float) -> tuple[dict, int, float]:
+def _links_at(docs: DataFrame, reps: DataFrame, depth: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that span the links, and (node, links), to be summed."""
     spark = docs.sparkSession
     prefix = F.shiftrightunsigned("label", 8 * (LEVELS - depth))
     entries = reps.select("node", "bytes", F.posexplode("labels").alias("tree", "label")).select("node", "bytes", "tree", prefix.alias("prefix"))
@@ -243,26 +228,23 @@ def _links_at(docs: DataFrame, reps: DataFrame, depth: int, before: int, thresho
     texts = written(some.groupBy("node").agg(F.first("text").alias("text")), "texts")
     labels = some_reps.select("node", "labels")
 
-    pairs = written(members.filter(F.col("n") <= SMALL).select("tree", "prefix", "node").join(labels, "node").groupBy("tree", "prefix").applyInArrow(_pairs_of(depth, before), _PAIRS), "pairs")  # written: one Python step a stage bounds memory
+    pairs = written(members.filter(F.col("n") <= SMALL).select("tree", "prefix", "node").join(labels, "node").groupBy("tree", "prefix").applyInArrow(_pairs_of(depth), _PAIRS), "pairs")  # written: one Python step a stage bounds memory
     small = written(_verify(pairs, texts, threshold), "links")
 
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("mass") / BLOCK_BYTES)).cast("int")
     large = members.filter(F.col("n") > SMALL).select("tree", "prefix", "node", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(depth)), F.col("blocks")).cast("int"))
     large = large.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("tree", "prefix", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    cells = large.join(texts.join(labels, "node"), "node").groupBy("tree", "prefix", "i", "j").applyInArrow(_block_links(depth, before, threshold), _BLOCKS)
+    cells = large.join(texts.join(labels, "node"), "node").groupBy("tree", "prefix", "i", "j").applyInArrow(_block_links(depth, threshold), _BLOCKS)
     hot = written(cells, "blocks")
 
     ends = F.explode(F.array("a", "b"))
     counts = small.select(ends.alias("node"), F.lit(1).cast("long").alias("links")).union(hot.filter("links > 0").select(F.col("a").alias("node"), "links"))
     edges = small.select("a", "b").union(hot.filter("links = 0").select("a", "b"))
-    chance = 1 - F.pow(1 - F.pow(F.col("similarity") + (1 - F.col("similarity")) / 256, F.lit(float(depth))), F.lit(float(TREES)))
-    one = small.agg(F.count("*"), F.sum(1 / chance)).first()
-    two = hot.agg(F.sum("links"), F.sum("weight")).first()
     removed(spark, members)
     removed(spark, pairs)
     removed(spark, some_reps)
     removed(spark, texts)
-    return {"edges": edges, "counts": counts}, one[0] + (two[0] or 0) // 2, (one[1] or 0.0) + (two[1] or 0.0)
+    return edges, counts
 
 
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
