@@ -363,6 +363,30 @@ def test_decontamination(spark):
 EDIT = decontamination_cgk.EDITS
 
 
+def test_long_items(monkeypatch):
+    """Edited items of 200 to 500 words are all found when the repetitions end below the target."""
+    monkeypatch.setattr(decontamination_cgk, "MOST_REPETITIONS", 3)
+    rng = np.random.default_rng(14)
+    items = [(i, prose(rng, n)) for i, n in enumerate((200, 300, 500))]
+    s = decontamination_cgk.Searcher(items)
+    texts = []
+    for k in range(30):
+        w = items[k % 3][1].split()
+        for j in range(int(EDIT * len(w))):
+            at, what = int(rng.integers(len(w))), j % 3
+            w[at : at + (what > 0)] = [] if what == 2 else [f"typo{k}x{j}"]
+        texts.append(" ".join([*prose(rng, 60).split(), *w, *prose(rng, 40).split()]))
+    x = Words(pa.array(texts))
+    got = {(d, i): (p, n, e) for d, i, p, n, e in s.find(x)}
+    assert {(d, i) for d, i in got} == {(d, d % 3) for d in range(30)}
+    for d in range(3):
+        h, item = x.hash[x.first[d] : x.first[d + 1]], s.words[d]
+        most = decontamination_cgk.allowed_edits(len(item))
+        want = [decontamination_cgk.prefix_distance(item, h[p : p + len(item) + most], most) for p in range(54, 67)]
+        e, p, n = min((v[0], p, v[1]) for p, v in enumerate(want, 54) if v)
+        assert got[d, d] == (x.first[d] + p, n, e)
+
+
 def test_prefix_distance():
     rng = np.random.default_rng(2)
     for _ in range(200):

@@ -4,7 +4,9 @@ Texts and items are sequences of words (lower-cased). An item of n words matches
 distance over words is at most EDITS * n. The CGK walk copies a window word by word into a longer string, where
 a random bit of the word at hand decides whether the walk moves on; it turns few edits into few differing places.
 Each repetition draws a walk and samples SAMPLED places of the embedding; equal samples make a candidate. The
-number of repetitions is raised until simulated edits of the items are found with the target recall.
+number of repetitions is raised until simulated edits of the items are found with the target recall. A class of
+long items for which MOST_REPETITIONS don't do is searched exactly instead: a match with k edits shares at least
+n - 2 - 3k of the item's n - 2 runs of three words, and every text that does is aligned with the item.
 
 Items of similar length share a window size (the smallest of their class; their first words are embedded).
 Windows are embedded only where a match of that class can start: with k edits a matching window keeps a run of
@@ -67,6 +69,7 @@ class WindowClass:
     keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted keys and their items
     grams: np.ndarray | None = None
     shifts: list[np.ndarray] = field(default_factory=list)
+    owners: list[np.ndarray] | None = None  # the items that have each gram, if the class is searched exactly
 
 
 class Searcher:
@@ -127,11 +130,50 @@ class Searcher:
             draw = (int(rng.integers(1, 1 << 30)), places)
             c.draws.append(draw)
             hit |= self._embed_items(c, variants, draw) == self._embed_items(c, [self.words[i] for i in some], draw)[owner]
+        if hit.mean() < recall:
+            self._exact(c)
+            return
         for draw in c.draws:
             keys = self._embed_items(c, [self.words[i] for i in c.items], draw)
             order = np.argsort(keys, kind="stable")
             c.keys.append((keys[order], np.array(c.items)[order]))
-        c.recall = float(hit.mean())
+
+    def _exact(self, c: WindowClass) -> None:
+        c.draws = []
+        found: dict[int, set[int]] = {}
+        for i in c.items:
+            for g in mix(grams(self.words[i], c.gram)).tolist():
+                found.setdefault(g, set()).add(i)
+        c.owners = [np.array(sorted(found[g]), np.int64) for g in c.grams.tolist()]
+
+    def _find_exactly(self, c: WindowClass, g: np.ndarray, x: Words, best: dict) -> None:
+        """Add the best match of each item of the class in each text to best."""
+        h, first = x.hash, x.first
+        hit = np.flatnonzero(c.maybe_gram[g >> _FOLD])
+        at = np.minimum(np.searchsorted(c.grams, g[hit]), len(c.grams) - 1)
+        hit, at = hit[c.grams[at] == g[hit]], at[c.grams[at] == g[hit]]
+        doc = np.searchsorted(first, hit, side="right") - 1
+        whole = hit + c.gram <= first[doc + 1]
+        hit, doc, at = hit[whole], doc[whole], at[whole]
+        if not len(hit):
+            return
+        size = np.array([len(o) for o in c.owners])[at]
+        pair = np.repeat(doc, size) * len(self.ids) + np.concatenate([c.owners[k] for k in at.tolist()])
+        hit = np.repeat(hit, size)
+        order = np.argsort(pair, kind="stable")
+        pair, hit = pair[order], hit[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(pair)) + 1, [len(pair)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            d, i = divmod(int(pair[a]), len(self.ids))
+            item = self.words[i]
+            n, most = len(item), allowed_edits(len(item))
+            if b - a < max(1, n - c.gram + 1 - c.gram * most):
+                continue
+            lo, hi = max(int(first[d]), int(hit[a]) - n - most), min(int(first[d + 1]), int(hit[b - 1]) + n + most)
+            far = start_distances(item, h[lo:hi])
+            if int(far.min()) <= most:
+                p = lo + int(far.argmin())
+                best[d, i] = (int(far.min()), p, prefix_distance(item, h[p : min(hi, p + n + most)], most)[1])
 
     def _starts(self, c: WindowClass, g: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words at which a window of the class is worth embedding, and the end of their text. g: grams of h."""
@@ -178,6 +220,9 @@ class Searcher:
         for c in self.classes:
             if c.gram not in runs:
                 runs[c.gram] = mix(grams(h, c.gram))
+            if c.owners is not None:
+                self._find_exactly(c, runs[c.gram], x, best)
+                continue
             starts, ends = self._starts(c, runs[c.gram], h, first)
             if not len(starts):
                 continue
@@ -261,6 +306,19 @@ def prefix_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int,
     return (got[0], got[2]) if got[0] <= most else None
 
 
+def start_distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Of each place of text: the least edit distance of item to a part of text that begins there."""
+    back = text[::-1]
+    steps = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)  # of the item's end so far to parts that end anywhere
+    for k, w in enumerate(item[::-1], 1):
+        new = np.empty_like(row)
+        new[0] = k
+        np.minimum(row[:-1] + (back != w), row[1:] + 1, out=new[1:])
+        row = np.minimum.accumulate(new - steps) + steps
+    return row[:0:-1]
+
+
 def _blocks(benchmark: DataFrame):
     """Distinct items in blocks of bounded size, in the order of item_id; one block is on the driver at a time."""
     rows = benchmark.select("item_id", "text").filter("text is not null").distinct().orderBy("item_id", "text")
