@@ -423,3 +423,27 @@ def test_extraction(spark, model):
     assert len(got) == len(rows) and text[0] == "The title of it First par & more text here. Second, with inline words. And one more sentence, so it goes on."
     assert text[1] == text[2] == "" and all(r.n_chars == len(r.text) for r in got) and text[8].endswith("word and more,")
     assert html_gbt.main_texts(df.limit(0), model).count() == 0
+
+
+def test_unclosed_elements_keep_the_article():
+    """Optional end tags of a head, and elements without text that never end, don't take the rest of the page."""
+
+    def read(html):
+        dom = html_gbt.Dom()
+        dom.add(html)
+        return " ".join(" ".join(t for *_, t in dom.pieces[0]).split())
+
+    assert read("<html><head><title>x</title><meta charset=u><p>Article one.</p>") == "Article one."
+    assert read("<html><head><title>x</title>Text of it") == "Text of it"
+    assert read("<head><noscript><img src=x></noscript><title>x</title></head><body><p>a</p>") == "a"
+    assert read("<head><noscript><p>no</p></noscript><link><p>a</p>") == "a"
+    for t in ("button", "select", "noscript", "template", "svg", "object", "canvas", "video"):
+        assert read(f"<div><{t}>Share<p>One.</p><section>two</section></div><article>three</article>") == "One. two three", t
+        assert read(f"<div><{t}>Share</div><article>One</article><{t}>no</{t}><p>two</p>") == "One two", t
+        assert read(f"<div><{t}>Share</div><article>One</article><p>two</{t}></p>") == "One two", t
+        assert read(f"<p>a</p><{t}>no</{t}><p>b</p>") == "a b", t
+        assert read(f"<head><{t}><p>a</p></head><p>b</p>") == "a b", t
+    assert read("<p>a</p><button><div>no</div></button><svg><foreignObject><p>no</p></foreignObject></svg><template><p>no</p></template><p>b</p>") == "a b"
+    assert read("<p>a</p><svg><template><svg></svg></template><p>b</p>") == "a b"
+    for t in ("<svg>", "<svg><p>", "<button>"):
+        read(t * 20_000)

@@ -24,6 +24,10 @@ BLOCKS = "html body article section main nav header footer aside div p h1 h2 h3
 #: Elements whose content is never text of the page.
 SKIPPED = frozenset("head script style noscript template title svg math iframe object select button textarea canvas audio video datalist xmp noembed noframes".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Start tags that a head may hold; any other ends it.
+_IN_HEAD = frozenset("head base basefont bgsound link meta title style script noscript template noframes".split())
+_OPENINGS = re.compile(r"<(/?)(noscript|template|svg|math|object|select|button|canvas|audio|video|datalist)(?=[\s/>])", re.I)
+_NESTING = frozenset(("template", "svg", "math", "object"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TAG_ID = {t: i for i, t in enumerate(BLOCKS)}
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -83,9 +87,14 @@ class Dom:
         self.pieces.append(pieces)
         stack = [("html", self.node(page, -1, "html", 0, ""))]
         skip: list[str] = []  # open elements without text
+        inner: list[str] = []  # blocks open in them
+        ended: set[int] | None = None  # where elements start that have an end tag
+        loose = False  # the outermost open element without text has no end tag
         run, link, at, n = 0, False, 0, len(html)
 
         def text(a: int, b: int) -> None:
+            if skip == ["head"] and b > a and not html[a:b].isspace():
+                skip.clear()  # text can't be in a head
             if b > a and not skip:
                 s = html[a:b]
                 k = stack[-1][1]
@@ -120,6 +129,8 @@ class Dom:
             attributes, at = html[m.end() : gt], gt + 1
             name = m[2]
             name, closing = name.lower(), bool(m[1])
+            if skip and skip[0] == "head" and (name not in _IN_HEAD if not closing else name in ("body", "html")) and (len(skip) == 1 or loose):
+                skip.clear()
             if name in SKIPPED:
                 if closing:
                     if name in skip:
@@ -131,11 +142,27 @@ class Dom:
                         gt = html.find(">", at)
                         at = gt + 1 if gt >= 0 else n
                 elif not attributes.rstrip().endswith("/"):
-                    skip.append(name)
+                    if ended is None:
+                        ended = _ended(html)
+                    if not skip:
+                        inner.clear()
+                    if not skip or skip == ["head"]:
+                        loose = name != "head" and lt not in ended
+                    if name == "head" or lt in ended or not skip or skip == ["head"]:
+                        skip.append(name)
                 run += 1
                 continue
             if name == "body" and not closing:
                 skip.clear()
+            if skip and name in _TAG_ID and skip[0] != "head":
+                if closing and name in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(name) :]
+                elif loose or closing and any(name == t for t, _ in stack[1:]) or not closing and skip[0] in ("svg", "math") and "foreignobject" not in inner:
+                    skip.clear()  # a block ends what it encloses, and what can't hold it
+                elif not closing:
+                    inner.append(name)
+            elif skip and name == "foreignobject" and not closing:
+                inner.append(name)
             if skip:
                 continue
             if name not in _TAG_ID:
@@ -173,6 +200,21 @@ class Dom:
         text(at, n)
 
 
+def _ended(html: str) -> set[int]:
+    """Where the elements without text start that have an end tag of their own."""
+    out, opened = set(), {}
+    for m in _OPENINGS.finditer(html):
+        name = m[2].lower()
+        starts = opened.setdefault(name, [])
+        if not m[1]:
+            if name not in _NESTING:
+                starts.clear()  # can't hold itself: the earlier one was never ended
+            starts.append(m.start())
+        elif starts:
+            out.add(starts.pop())
+    return out
+
+
 def attribute_kinds(attributes: str) -> int:
     out = 0
     for name, value in _ATTRIBUTE.findall(attributes):
