@@ -106,3 +106,21 @@ def test_decoders(spark):
 
     got = {r.engine: r for r in frames.observations(df, {"ok": lambda i: [("v", "EAN-13")], "broken": broken}).collect()}
     assert got["ok"].value == "v" and got["broken"].error == "no"
+
+
+def test_streams_are_drained_to_files(spark):
+    """The table of a stream is read from files, not from rows collected to the driver."""
+    import os
+
+    import pytest
+
+    from veridex.plans import stream_queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    events = spark.read.parquet(f"{data}/events.parquet")
+    out = stream_queries.stream_race_state(spark, data)
+    assert out.inputFiles() and out.count() == events.count()
+    hours = stream_queries.stream_latency_windows(spark, data)
+    assert hours.inputFiles() and hours.groupBy().sum("n").first()[0] == events.filter("value is not null").count()

@@ -22,11 +22,18 @@ def _frames(spark, sf_dir, stream: bool):
 
 
 def _drained(spark, df, mode: str = "append"):
+    """The stream's whole table, written below the checkpoint folder by the executors; a replayed batch changes nothing."""
     name = f"t{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/")
+    table = f"{shared}/{name}-table"
+    spark.createDataFrame([], df.schema).write.parquet(f"{table}/batch=-1")
+
+    def write(batch, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={0 if mode == 'complete' else number}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(f"{table}/batch=*")
 
 
 @query()
