@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
+import re
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,46 +12,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from veridex import shipping
+
 SHINGLE_WORDS = 5
 SLICE_BYTES = 1 << 20
-_shipped: set[str] = set()
 
 
 # --- session ---------------------------------------------------------------------------------
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this subpackage to the executors once per application, and keep batches of texts small."""
+    """Send the library to the executors, and keep batches of texts small for the rest of the session."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default suits narrow rows
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    here = os.path.dirname(os.path.abspath(__file__))
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        z.writestr("veridex/__init__.py", "")
-        for name in sorted(os.listdir(here)):
-            if name.endswith(".py"):
-                z.write(os.path.join(here, name), f"veridex/llm/{name}")
-    path = os.path.join(tempfile.mkdtemp(prefix="veridex"), "veridex_llm.zip")
-    with open(path, "wb") as f:
-        f.write(data.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one for tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="veridex-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    shipping.ship(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veridex/{name}-{uuid.uuid4().hex}"
+    return f"{shipping.shared_dir(spark)}/veridex/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -65,12 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table made by written() that no later plan reads."""
+def removed(spark: SparkSession, df: DataFrame | None) -> None:
+    """Delete the tables made by written() that df is read from, once no later plan reads them; others stay."""
     jvm = spark._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
+        if re.search(r"/veridex/[^/]+-[0-9a-f]{32}$", parent):
+            path = jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -232,3 +208,11 @@ def mapped(df: DataFrame, fn, extra: StructType, *texts: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(b.columns) + list(fn(b)), names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def kept_rows(df: DataFrame, judge, condition: str, made: list[str]) -> DataFrame:
+    """The rows of df for which judge(df) fulfils the condition, with df's own columns, even those named as judge's."""
+    names = {n.lower() for n in made}
+    aside = {c: f"_own_{c}" for c in df.columns if c.lower() in names}
+    out = judge(df.withColumnsRenamed(aside)).filter(condition)
+    return out.select(*[(out[f"`{aside[c]}`"].alias(c) if c in aside else out[f"`{c}`"]) for c in df.columns])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridex.llm.common import Words, lists, mapped, mix, ship, shingles, slices
+from veridex.llm.common import Words, kept_rows, lists, mapped, mix, ship, shingles, slices
 
 #: At most so many labelled documents of each class are read for training, those of the least md5(doc_id).
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
@@ -34,6 +34,7 @@ EPOCHS, RATE, BATCH_WORDS, CLEAN_CHAINS = 3, 0.5, 60_000, 120_000
 #: Times that a feature must be more frequent in toxic than in clean documents to mark a word.
 LEAST_RATIO = 6
 SPAN_CHANCE, LEAST_CHANCE = 0.5, 0.25
+MADE = ["toxicity", "toxic_words", "toxic_spans"]
 
 
 class Sequences(Words):
@@ -242,24 +243,42 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _fitting(sizes: list[tuple], most: int) -> list:
+    """Ids of the texts that fit, in the given order, into `most` bytes together; longer ones are passed over.
+
+    If none fits, the shortest is taken, so that a kind of label is never lost.
+    """
+    out, left = [], most
+    for doc_id, size in sizes:
+        if size <= left:
+            out.append(doc_id)
+            left -= size
+    return out or [i for i, _ in sorted(sizes, key=lambda r: r[1])[:1]]
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> Field | None:
-    """The field learned from labelled rows outside the held-out fold; None without labels of both kinds.
+    """The field learned from labelled rows outside the held-out fold; None without labelled texts of both kinds.
 
-    The sample is bounded by SAMPLE_TOXIC, SAMPLE_CLEAN and SAMPLE_BYTES. Of several labels for one document the highest counts.
+    The sample is bounded by SAMPLE_TOXIC, SAMPLE_CLEAN and SAMPLE_BYTES, which the kinds share as they share rows.
+    Of several labels for one document the highest counts, of several texts the shortest. Rows without doc_id or
+    label teach nothing.
     """
-    some = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    pick = lambda kind, n: some.filter(F.col("_toxic") == kind).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n)
-    chosen = F.broadcast(pick(1, SAMPLE_TOXIC).unionAll(pick(0, SAMPLE_CLEAN)))
-    sizes = docs.select("doc_id", F.octet_length("text").alias("n")).join(chosen, "doc_id").groupBy("doc_id").agg(F.max("n"), F.first("_toxic")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).collect()
-    most = np.cumsum([r[1] or 0 for r in sizes]) <= SAMPLE_BYTES
-    kept = F.broadcast(docs.sparkSession.createDataFrame([(r[0], int(r[2])) for r, m in zip(sizes, most) if m], T.StructType([docs.schema["doc_id"], T.StructField("_toxic", T.IntegerType())])))
-    rows = docs.select("doc_id", "text").join(kept, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_toxic").dropDuplicates(["doc_id"]).toArrow()
-    toxic = rows.column("_toxic").to_numpy() == 1
-    if not toxic.any() or toxic.all():
+    some = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("_toxic"))
+    order = (F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id"))
+    pick = lambda kind, n: some.filter(F.col("_toxic") == kind).orderBy(*order).limit(n)
+    chosen = F.broadcast(pick(True, SAMPLE_TOXIC).unionAll(pick(False, SAMPLE_CLEAN)))
+    text = F.coalesce("text", F.lit(""))
+    sizes = docs.select("doc_id", F.octet_length(text).alias("n")).join(chosen, "doc_id").groupBy("doc_id", "_toxic").agg(F.min("n")).orderBy(*order).collect()
+    toxic_bytes = SAMPLE_BYTES * SAMPLE_TOXIC // (SAMPLE_TOXIC + SAMPLE_CLEAN)
+    ids = [(i, y) for y, most in ((True, toxic_bytes), (False, SAMPLE_BYTES - toxic_bytes)) for i in _fitting([(r[0], r[2]) for r in sizes if r[1] == y], most)]
+    if len({y for _, y in ids}) < 2:
         return None
+    kept = F.broadcast(docs.sparkSession.createDataFrame(ids, T.StructType([docs.schema["doc_id"], T.StructField("_toxic", T.BooleanType())])))
+    least = F.min(F.struct(F.octet_length("text").alias("n"), "text"))
+    rows = docs.select("doc_id", text.alias("text")).join(kept, "doc_id").groupBy("doc_id", "_toxic").agg(least.alias("t")).select("doc_id", "_toxic", "t.text").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")  # the same model however rows arrive
+    toxic = np.asarray(rows.column("_toxic").to_numpy(), bool)[order]
     x = Sample(rows.column("text").combine_chunks().take(pa.array(order)))
-    toxic = toxic[order]
     y = token_labels(x, toxic).astype(np.int64)
     x.feats = None
     f = trained(x, y)
@@ -275,9 +294,9 @@ def scored(docs: DataFrame, field: Field | None) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())])
-    extra = T.StructType([T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_words", T.DoubleType()), T.StructField("toxic_spans", T.ArrayType(span))])
+    extra = T.StructType([T.StructField(n, k) for n, k in zip(MADE, (T.DoubleType(), T.DoubleType(), T.ArrayType(span)))])
     if field is None:
-        return docs.select("*", *[F.lit(0.0).alias(n) for n in ("toxicity", "toxic_words")], F.array().cast(extra[2].dataType).alias("toxic_spans"))
+        return docs.drop(*MADE).select("*", *[F.lit(0.0).alias(n) for n in MADE[:2]], F.array().cast(extra[2].dataType).alias(MADE[2]))
     shared = spark.sparkContext.broadcast(field)
 
     def fn(b):
@@ -296,9 +315,8 @@ def scored(docs: DataFrame, field: Field | None) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs whose score is under 0.5; all columns stay as they are."""
-    names = docs.columns
+    """docs whose score is under 0.5; all columns stay as they are, also those named like a score's."""
     field = fitted(docs, labels)
     if field is None:
         return docs
-    return scored(docs, field).filter("toxicity < 0.5").select(*[f"`{c}`" for c in names])
+    return kept_rows(docs, lambda d: scored(d, field), "toxicity < 0.5", MADE)
