@@ -66,7 +66,22 @@ def preference_pairs(turns: DataFrame, loss_role: str = "assistant") -> DataFram
     )
 
 
+def turns_alone(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
+    """The rows of preference_pairs for turns of no known conversation: each is a chosen completion of its own.
+
+    turns: role, text. They are never gathered, so any number of them does no harm.
+    """
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    one = turns.select(F.array(F.struct(empty("role").alias("role"), empty("text").alias("text"))).alias("a"))
+    none = F.lit(None).cast("bigint")
+    return one.select(
+        none.alias("pair_id"), none.alias("chosen_id"), none.alias("rejected_id"), F.lit(0).alias("prompt_turns"), F.lit("").alias("prompt"), _joined(F.col("a")).alias("chosen"), F.lit("").alias("rejected"),
+        _spans(F.col("a"), loss_role).alias("chosen_spans"), F.expr("array()").cast("array<struct<start:int,length:int>>").alias("rejected_spans"),
+    )
+
+
 def neighbours(conversations: DataFrame) -> DataFrame:
-    """Pair conversations 2k (chosen) and 2k + 1 (rejected); every conversation is in one pair. Null ids pair up alone."""
+    """Pair conversations 2k (chosen) and 2k + 1 (rejected); every conversation with an id is in one pair."""
+    conversations = conversations.filter("conv_id is not null")
     k = F.floor(F.col("conv_id") / 2).cast("long")
     return conversations.select(k.alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 1, "rejected").otherwise("chosen").alias("side"), "conv_id", "turn", "role", "text")

@@ -25,9 +25,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veridex.llm.chat_preference import neighbours, preference_pairs
+    from veridex.llm.chat_preference import neighbours, preference_pairs, turns_alone
 
-    done = preference_pairs(neighbours(_table(spark, sf_dir, "conversations")))
+    turns = _table(spark, sf_dir, "conversations")
+    done = preference_pairs(neighbours(turns)).unionByName(turns_alone(turns.filter("conv_id is null")))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), ",")
     return done.select("pair_id", "chosen_id", "rejected_id", "prompt_turns", "prompt", "chosen", "rejected", spans("chosen_spans").alias("chosen_spans"), spans("rejected_spans").alias("rejected_spans"))
 
@@ -36,7 +37,7 @@ OP3_SQL = r"""
 WITH t AS (
   SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
-  FROM conversations
+  FROM conversations WHERE conv_id IS NOT NULL
 ), m AS (
   SELECT a.pair_id, a.k, (b.k IS NOT NULL AND a.role = b.role AND a.text = b.text) AS same
   FROM (SELECT * FROM t WHERE side = 0) a LEFT JOIN (SELECT * FROM t WHERE side = 1) b ON a.pair_id = b.pair_id AND a.k = b.k
@@ -54,6 +55,10 @@ SELECT q.pair_id, min(conv_id) FILTER (side = 0) AS chosen_id, min(conv_id) FILT
   coalesce((SELECT string_agg(CAST(pos + length(role) + 5 AS BIGINT) || '+' || CAST(length(text) + 8 AS BIGINT), ',' ORDER BY k) FROM s WHERE s.pair_id = q.pair_id AND s.side = 0 AND role = 'assistant'), '') AS chosen_spans,
   coalesce((SELECT string_agg(CAST(pos + length(role) + 5 AS BIGINT) || '+' || CAST(length(text) + 8 AS BIGINT), ',' ORDER BY k) FROM s WHERE s.pair_id = q.pair_id AND s.side = 1 AND role = 'assistant'), '') AS rejected_spans
 FROM q GROUP BY q.pair_id
+UNION ALL
+SELECT NULL, NULL, NULL, 0, '', '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '',
+  CASE WHEN role = 'assistant' THEN (length(role) + 5) || '+' || (length(coalesce(text, '')) + 8) ELSE '' END, ''
+FROM conversations WHERE conv_id IS NULL
 """
 
 
