@@ -20,6 +20,7 @@ from veridex.llm.common import Words, mapped, mix, partitions, ship, shingles
 
 BINS = 512
 BITS = 4
+PER_SEGMENT = 20
 _NONE = np.uint64(2**64 - 1)
 
 
@@ -106,33 +107,49 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str, bins: int = BINS, bit
     return mapped(df, fn, T.StructType([T.StructField(out, T.DoubleType())]), a)
 
 
+def _bounds(keys: DataFrame, key: str, segments: int) -> list:
+    """Rising values of the key that cut its range into about so many equal parts; they decide balance only.
+
+    Taken from the rows of least hash, PER_SEGMENT for each part.
+    """
+    some = keys.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(PER_SEGMENT * segments)
+    found = sorted(r[0] for r in some.collect())
+    return found[PER_SEGMENT::PER_SEGMENT]
+
+
+def _segments(bounds: list):
+    """A column function: how many bounds lie below the key, plus one; 0 for null."""
+    index = np.array(bounds) if bounds and isinstance(bounds[0], int) else np.array(bounds, object)
+
+    @F.arrow_udf(T.IntegerType())
+    def segment(c: pa.Array) -> pa.Array:
+        null = np.asarray(c.is_null())
+        values = c.drop_null()
+        values = values.to_numpy(zero_copy_only=False) if pa.types.is_integer(values.type) else np.array(values.to_pylist() + [None], object)[:-1]
+        out = np.zeros(len(c), np.int32)
+        out[~null] = np.searchsorted(index, values, "left") + 1
+        return pa.array(out)
+
+    return segment
+
+
 def with_next(df: DataFrame, keys: DataFrame, key: str, columns: dict[str, str], tie: list[str] = ()) -> DataFrame:
     """Each row gets columns of the row after it in descending order of `key`; the last gets those of the first.
 
-    The key's range is cut into segments by quantiles; a segment's first row also goes to the segment above it,
-    so that no task needs more than one segment. keys: the same rows with at least `key`, cheap to read. Null keys come last; ties are ordered by `tie`, nulls first.
+    The key's range is cut into segments; a segment's first row also goes to the segment above it, so that no task
+    needs more than one segment. keys: the same rows with at least `key`, cheap to read. The key may be of any
+    sortable type, strings in the order of their bytes. Null keys come last; ties are ordered by `tie`, nulls first.
     """
     spark = df.sparkSession
-    k = 4 * partitions(spark)
-    cuts = keys.agg(F.percentile_approx(key, [i / k for i in range(1, k)], 100 * k)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-
-    def segment(c):  # null: the lowest
-        if not cuts:
-            return F.lit(1)
-        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-        at = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) < c), step).otherwise(0))
-        return F.when(c.isNull(), 0).otherwise(at + 1)
-
-    with_segment = df.select("*", segment(F.col(key)).alias("_seg"))
-    firsts = sorted((r[0], r[1]) for r in keys.select(segment(F.col(key)).alias("_seg"), key).select("_seg", key).groupBy("_seg").agg(F.max(key)).collect())  # at most 4 x partitions + 1 rows
+    ship(spark)
+    segment = _segments(_bounds(keys, key, 4 * partitions(spark)))
+    firsts = sorted((r[0], r[1]) for r in keys.select(segment(F.col(key)).alias("_seg"), key).groupBy("_seg").agg(F.max(key)).collect())  # a row each segment
     if not firsts:
         return df.select("*", *[F.col(c).alias(n) for n, c in columns.items()])
     above = [firsts[(i + 1) % len(firsts)][0] for i in range(len(firsts))]
     small = spark.createDataFrame([(s, m, t) for (s, m), t in zip(firsts, above)], T.StructType([T.StructField("_seg", T.IntegerType()), T.StructField("_max", df.schema[key].dataType), T.StructField("_to", T.IntegerType())]))
     place = lambda s, g: F.struct(F.col(s).alias("_at"), F.lit(g).alias("_guest"))
-    rows = with_segment.join(F.broadcast(small), "_seg").withColumn("_place", F.explode(F.when(F.col(key).eqNullSafe(F.col("_max")), F.array(place("_seg", 0), place("_to", 1))).otherwise(F.array(place("_seg", 0)))))
+    rows = df.withColumn("_seg", segment(F.col(key))).join(F.broadcast(small), "_seg").withColumn("_place", F.explode(F.when(F.col(key).eqNullSafe(F.col("_max")), F.array(place("_seg", 0), place("_to", 1))).otherwise(F.array(place("_seg", 0)))))
     over = Window.partitionBy("_place._at").orderBy(F.col("_place._guest"), F.col(key).desc_nulls_last(), *[F.col(c) for c in tie])
     return rows.select(*df.columns, "_place", *[F.lead(c).over(over).alias(n) for n, c in columns.items()]).filter("_place._guest = 0").drop("_place")
 
