@@ -1,8 +1,8 @@
 """URL filter: rules first, else a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
 The filter has blocks of 256 bits (eight words of 32, one bit set in each), so a lookup touches one cache line.
-It is built on the executors, merged block by block, and never larger than MOST_BLOCKS blocks; beyond that it
-only passes more URLs. What it passes goes to an exact join with the list, which removes false positives.
+It is built on the executors, merged block by block, and never larger than a given number of blocks; beyond that
+it only passes more URLs. What it passes goes to an exact join with the list, which removes false positives.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,11 +70,11 @@ def _words(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block.astype(np.int64), (np.uint32(1) << bit.astype(np.uint32))
 
 
-def built(keys: DataFrame, key: str) -> np.ndarray:
-    """The filter of the distinct values of a column: blocks x 8 words."""
+def built(keys: DataFrame, key: str, most_blocks: int = MOST_BLOCKS) -> np.ndarray:
+    """The filter of the distinct values of a column: at most `most_blocks` blocks x 8 words."""
     ship(keys.sparkSession)
     n = keys.agg(F.approx_count_distinct(key)).first()[0]
-    blocks = int(min(MOST_BLOCKS, max(1, -(-n * BITS_PER_URL // 256))))
+    blocks = int(min(most_blocks, max(1, -(-n * BITS_PER_URL // 256))))
     names = [f"w{i}" for i in range(8)]
     schema = T.StructType([T.StructField("block", T.IntegerType()), *[T.StructField(w, T.IntegerType()) for w in names]])
 
@@ -87,42 +87,42 @@ def built(keys: DataFrame, key: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(own[some, i].view(np.int32)) for i in range(8)]], names=schema.names)
 
     parts = keys.select(F.xxhash64(key)).mapInArrow(run, schema)
-    rows = parts.groupBy("block").agg(*[F.bit_or(w).alias(w) for w in names]).collect()  # at most MOST_BLOCKS rows
+    rows = parts.groupBy("block").agg(*[F.bit_or(w).alias(w) for w in names]).collect()  # at most most_blocks rows
     out = np.zeros((blocks, 8), np.uint32)
     for r in rows:
         out[r[0]] = np.array(r[1:], np.int32).view(np.uint32)
     return out
 
 
-def possible(df: DataFrame, key: str, bloom: np.ndarray, out: str = "possible") -> DataFrame:
-    """df with a boolean: whether the filter passes the key. Never false for a listed key."""
-    spark = df.sparkSession
+def passes(spark: SparkSession, bloom: np.ndarray, key: Column) -> Column:
+    """Whether the filter passes the key; never false for a listed key. Only hashes of keys go to Python."""
     shared = spark.sparkContext.broadcast(bloom)
-    df = df.select(*[f"`{c}`" for c in df.columns if c != out], F.xxhash64(key).alias("_hash"))
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField(out, T.BooleanType())])
 
-    def run(batches):
+    @F.arrow_udf(T.BooleanType())
+    def passed(h: pa.Array) -> pa.Array:
         f = shared.value
-        for b in batches:
-            at, mask = _words(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False), len(f))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(((f[at] & mask) == mask).all(axis=1))], names=schema.names)
+        at, mask = _words(h.to_numpy(zero_copy_only=False), len(f))
+        return pa.array(((f[at] & mask) == mask).all(axis=1))
 
-    return df.mapInArrow(run, schema)
+    return passed(F.xxhash64(key))
 
 
-def judged(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
+def judged(pages: DataFrame, listed: DataFrame, rules: list[Rule], most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """pages (page_id, url) with host, path, rule and verdict for every row.
 
-    listed: a column `key` of canonical URLs (nulls and repeats do no harm). A rule's verdict wins; without one a
+    listed: a column `key` of canonical URLs (nulls and repeats do no harm). Beyond some two million of them for
+    each MOST_BLOCKS, raise most_blocks (32 bytes each are broadcast), or more URLs go to the join. A rule's verdict wins; without one a
     listed URL is blocked, others are allowed. Null or malformed URLs have empty host and path, match no rule and
     are allowed unless the empty key is listed. Other columns stay.
     """
     host, path = host_and_path()
+    ship(pages.sparkSession)
     rows = pages.drop("host", "path", "rule", "verdict", "_key", "_rule").withColumns({"host": host, "path": path})
     h, p = F.col("host"), F.col("path")
     rows = rows.withColumns({"_key": canonical(h, p), "rule": rule_of(h, p, rules, lambda r: F.lit(r.name)), "_rule": rule_of(h, p, rules, lambda r: F.lit(r.verdict))})
     keys = listed.select("key").filter("key is not null")
-    seen = possible(rows, "_key", built(keys, "key"), "_possible")
+    bloom = built(keys, "key", most_blocks)
+    seen = rows.withColumn("_possible", passes(pages.sparkSession, bloom, F.col("_key")))
     exact = keys.select(F.col("key").alias("_list_key")).distinct().withColumn("_listed", F.lit(True))
     hits = seen.filter("_possible").join(exact.hint("shuffle_hash"), F.col("_key") == F.col("_list_key"), "left").drop("_list_key")
     rest = seen.filter("not _possible").withColumn("_listed", F.lit(None).cast("boolean"))
