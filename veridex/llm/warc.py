@@ -23,6 +23,7 @@ from veridex.llm.common import fresh_path, partitions, ship, slices, written
 #: Equal payloads under so many bytes are not revisits.
 LEAST_REVISIT = 100
 LEVEL = 4
+SALTS = 32
 RANGE_BYTES, GAP_BYTES = 8 << 20, 64 << 10
 _HEAD = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff"
 
@@ -41,17 +42,20 @@ def _stored(data: bytes, last: bool) -> bytes:
     return b"".join(out)
 
 
-def record(page_id, url: str | None, digest: str, payload_bytes: int, stream: bytes | None, refers_to) -> bytes:
-    """One gzip member: a response with its payload, or a revisit (stream is None) without."""
+def record(page_id, url: str | None, digest: str, payload_bytes: int, stream: bytes | None, refers_to, place: str = "") -> bytes:
+    """One gzip member: a response with its payload, or a revisit (stream is None) without.
+
+    place: what no other record has; the record's id is made from it, as pages may repeat.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
     kind = "response" if stream is not None else "revisit"
     target = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>", f"WARC-Page-ID: {page_id}", f"WARC-Target-URI: {target}", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (payload_bytes if stream is not None else 0)}",
     ]
     if stream is None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     start, end = "\r\n".join(head).encode() + b"\r\n\r\n" + http, b"\r\n\r\n"
     crc, size = zlib.crc32(start), len(start) + len(end)
     if stream is not None:
@@ -82,7 +86,10 @@ def revisits(keys: DataFrame) -> DataFrame:
     """page_id, refers_to of pages that repeat an equal payload; keys: page_id, payload_digest, payload_bytes."""
     large = keys.filter((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull())
     firsts = large.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    return large.join(firsts, "payload_digest").filter("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    # the pages of a very common payload are dealt over SALTS keys
+    large = large.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    firsts = firsts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return large.join(firsts, ["payload_digest", "_salt"]).filter("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def archived(pages: DataFrame, folder: str) -> DataFrame:
@@ -115,7 +122,7 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
                 out = system.open_output_stream(path, compression=None)
             offsets, lengths, kinds = [], [], []
             for page_id, url, digest, size, stream, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload_digest", "payload_bytes", "stream", "refers_to"))):
-                made = record(page_id, url, digest, size, None if first is not None else stream, first)
+                made = record(page_id, url, digest, size, None if first is not None else stream, first, f"{name}#{at}")
                 out.write(made)
                 offsets.append(at)
                 lengths.append(len(made))
@@ -164,7 +171,7 @@ def read_records(index: DataFrame) -> DataFrame:
                         if hashlib.sha256(payload).hexdigest() != named:
                             raise ValueError(f"{files[j]} at {offsets[j]}: the payload doesn't fit its digest")
                     else:
-                        first = warc["WARC-Refers-To"][10:-1]
+                        first = warc["WARC-Refers-To-Page-ID"]
                     rows.append((int(http["Content-Length"]), named, warc["WARC-Type"], first))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([b.column("page_id").slice(k, m - k), pa.array(cols[0], pa.int64()), *[pa.array(c, pa.string()) for c in cols[1:]]], names=schema.names)
