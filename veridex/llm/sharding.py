@@ -1,23 +1,29 @@
 """Minimax contiguous partition of ordered atomic groups into shards; DataFrame operations only.
 
-Groups of equal texts are put in the order of their digest, which also splits them into cells of a fixed count.
-The smallest capacity for which a greedy walk needs at most `shards` shards is found by binary search. The walk
-first runs over the cells' totals; only cells in which a cut may fall are read group by group.
+Groups of equal texts are put in the order of their digest, and ranges of digests (units) are summed up by Spark.
+The smallest capacity for which a greedy walk needs at most `shards` shards is found by binary search over the
+units, once as if cuts could fall anywhere inside a unit and once as if only between units; the true capacity lies
+between. Units in which a cut may fall are split by further digits until none is left that holds several groups.
+So the driver sees sums of units only, never the groups.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridex.llm.common import written
+from veridex.llm.common import removed, written
 
 SHARDS = 8
+#: Hex digits of the first units and of each split; units split at a time. The driver gets at most 16 ** CELL_DIGITS
+#: units, and SPLIT_UNITS * 16 ** SPLIT_DIGITS more in each round.
 CELL_DIGITS = 3
+SPLIT_DIGITS = 2
+SPLIT_UNITS = 64
 SLOT_DIGITS = 3
-FETCH_CELLS = 64
 
 
 def text_size(text: str) -> Column:
@@ -32,100 +38,77 @@ def _cell(c: str | Column, digits: int) -> Column:
     return F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
 
 
-class Groups:
-    """Ordered atomic groups: the totals of every cell, and single cells on demand."""
-
-    def __init__(self, groups: DataFrame, digits: int = CELL_DIGITS):
-        self.digits = digits
-        self.groups = groups.select("digest", "bytes", _cell("digest", digits).alias("cell"))
-        rows = sorted(tuple(r) for r in self.groups.groupBy("cell").agg(F.sum("bytes"), F.max("bytes")).collect())  # at most 16 ** digits rows
-        self.cells = [r[0] for r in rows]
-        self.ends = []
-        for r in rows:
-            self.ends.append((self.ends[-1] if self.ends else 0) + r[1])
-        self.total = self.ends[-1] if rows else 0
-        self.largest = max((r[2] for r in rows), default=0)
-        self.seen: dict[int, list[tuple[int, str]]] = {}
-
-    def fetch(self, wanted: list[int]) -> None:
-        wanted = [i for i in dict.fromkeys(wanted) if i not in self.seen]
-        for at in range(0, len(wanted), FETCH_CELLS):
-            some = wanted[at : at + FETCH_CELLS]
-            got: dict[int, list] = {self.cells[i]: [] for i in some}
-            cells = [self.cells[i] for i in some]
-            near = (F.col("digest") >= f"{min(cells):0{self.digits}x}") & (F.col("digest") < f"{max(cells):0{self.digits}x}g")  # reaches the scan
-            for r in self.groups.filter(near & F.col("cell").isin(cells)).select("cell", "digest", "bytes").collect():
-                got[r[0]].append((r[1], r[2]))
-            for i in some:
-                end, out = self.ends[i - 1] if i else 0, []
-                for d, b in sorted(got[self.cells[i]]):
-                    end += b
-                    out.append((end, d))
-                self.seen[i] = out
-
-    def cut(self, most: int) -> tuple[int, str] | int:
-        """The last group that ends at or before `most`; or the cell that must be read to tell."""
-        i = bisect_right(self.ends, most)  # the cell in which a group ends beyond it
-        if i in self.seen:
-            k = bisect_right(self.seen[i], (most, "g"))
-            if k:
-                return self.seen[i][k - 1]
-        elif i < len(self.ends) and most > (self.ends[i - 1] if i else 0):
-            return i
-        if not i:
-            return 0, ""
-        return self.ends[i - 1], f"end of {i - 1}"
-
-    def greedy(self, capacity: int, shards: int) -> tuple[bool, list[tuple[int, str]]]:
+class Units:
+    """Ranges of the ordered groups: digest prefix, bytes, number of groups, largest group."""
+
+    def __init__(self, groups: DataFrame):
+        self.groups = groups
+        self._put(self._summed(groups, CELL_DIGITS))
+
+    def _summed(self, groups: DataFrame, digits: int) -> list[tuple]:
+        rows = groups.groupBy(F.substring("digest", 1, digits).alias("unit")).agg(F.sum("bytes"), F.count("*"), F.max("bytes"))
+        return [tuple(r) for r in rows.collect()]  # bounded: see SPLIT_UNITS
+
+    def _put(self, units: list[tuple]) -> None:
+        self.units = sorted(units)
+        self.ends = list(accumulate(u[1] for u in self.units))
+        self.total = self.ends[-1] if units else 0
+        self.largest = max((u[3] for u in units), default=0)
+
+    def split(self, some: list[int]) -> None:
+        """Put the parts of these units in their place."""
+        gone = {self.units[i][0] for i in some}
+        parts = []
+        for digits in {len(p) for p in gone}:
+            names = sorted(p for p in gone if len(p) == digits)
+            near = (F.col("digest") >= names[0]) & (F.col("digest") < names[-1] + "g")  # reaches the scan
+            parts += self._summed(self.groups.filter(near & F.substring("digest", 1, digits).isin(names)), digits + SPLIT_DIGITS)
+        self._put([u for u in self.units if u[0] not in gone] + parts)
+
+    def reach(self, most: int, anywhere: bool) -> int:
+        """Where the last group ends that ends at or before `most`; for a cut inside a unit `most` itself or the unit's start."""
+        i = bisect_right(self.ends, most)
+        start = self.ends[i - 1] if i else 0
+        return most if anywhere and i < len(self.ends) and self.units[i][2] > 1 else start
+
+    def walk(self, capacity: int, shards: int, anywhere: bool) -> list[int] | None:
+        """Cuts of the greedy walk; None if `shards` shards don't do."""
         cuts, start = [], 0
         for _ in range(shards):
             if start + capacity >= self.total:
-                return True, cuts
-            found = self.cut(start + capacity)
-            if isinstance(found, int):
-                self.fetch([found])
-                found = self.cut(start + capacity)
-            if found[0] <= start:
-                return False, cuts
-            cuts.append(found)
-            start = found[0]
-        return start >= self.total, cuts
-
-    def _coarse(self, capacity: int, shards: int, up: bool) -> bool:
-        """Feasible if every cut inside a cell falls at its end (up: needed) or its start (not up: enough)."""
-        start = 0
-        for _ in range(shards):
-            if start + capacity >= self.total:
-                return True
-            i = bisect_right(self.ends, start + capacity)
-            reach = start + capacity if up else (self.ends[i - 1] if i else 0)
-            if reach <= start:
-                return False
-            start = reach
-        return start >= self.total
-
-    def solve(self, shards: int) -> tuple[int, list[tuple[int, str]]]:
-        """The smallest feasible capacity and the cuts of its greedy walk."""
-        lo, hi = max(self.largest, -(-self.total // shards)), max(self.largest, self.total)
-        for up in (True, False):  # bounds from the cells alone
-            a, b = lo, hi
-            while a < b:
-                m = (a + b) // 2
-                a, b = (a, m) if self._coarse(m, shards, up) else (m + 1, b)
-            lo, hi = (a, hi) if up else (lo, max(a, lo))
-        near = [i for k in range(1, shards) for i in range(bisect_right(self.ends, k * (lo - self.largest)), min(len(self.ends), bisect_right(self.ends, k * hi) + 1))]
-        self.fetch(near[: 4 * FETCH_CELLS])  # the others when the walk comes to them
+                return cuts
+            at = self.reach(start + capacity, anywhere)
+            if at <= start:
+                return None
+            cuts.append(at)
+            start = at
+        return None
+
+    def least(self, shards: int, anywhere: bool) -> int:
+        lo, hi = max(self.largest, -(-self.total // shards)), self.total
         while lo < hi:
             m = (lo + hi) // 2
-            lo, hi = (lo, m) if self.greedy(m, shards)[0] else (m + 1, hi)
-        return lo, self.greedy(lo, shards)[1]
-
-    def last_digest(self, cut: tuple[int, str]) -> str:
-        if cut[1].startswith("end of "):
-            i = int(cut[1][7:])
-            self.fetch([i])
-            return self.seen[i][-1][1]
-        return cut[1]
+            lo, hi = (lo, m) if self.walk(m, shards, anywhere) is not None else (m + 1, hi)
+        return lo
+
+    def open_units(self, lo: int, hi: int, shards: int) -> list[int]:
+        """Units of several groups in which a cut may fall for a capacity from lo to hi."""
+        out, a, b = [], 0, 0
+        for _ in range(shards - 1):
+            a, b = self.reach(a + lo, False), self.reach(b + hi, True)  # no earlier, no later than the true cut
+            out += [i for i in range(bisect_right(self.ends, a), min(len(self.ends), bisect_right(self.ends, b) + 1)) if self.units[i][2] > 1]
+        return sorted(set(out))
+
+    def solve(self, shards: int) -> tuple[int, list[str]]:
+        """The smallest capacity that does, and for each cut of its greedy walk the prefix of the last digest before it."""
+        if not self.total:
+            return 0, []
+        while True:
+            lo, hi = self.least(shards, True), self.least(shards, False)
+            near = self.open_units(lo, hi, shards)
+            if not near:
+                return hi, [self.units[bisect_right(self.ends, c) - 1][0] for c in self.walk(hi, shards, False)]
+            self.split(near[:SPLIT_UNITS])
 
 
 def minimax_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -136,13 +119,12 @@ def minimax_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups than shards some shards stay empty. A repeated row keeps its own slot.
     """
     base = docs.select("doc_id", text_size("text").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), digest("text").alias("digest"))
-    groups = written(base.groupBy("digest").agg(F.sum("size").alias("bytes")).repartitionByRange("digest"), "groups")  # single cells are read again
-    solved = Groups(groups)
-    _, cuts = solved.solve(shards)
-    last = [solved.last_digest(c) for c in cuts]
+    groups = written(base.groupBy("digest").agg(F.sum("size").alias("bytes")).repartitionByRange("digest"), "groups")  # units are read again
+    _, cuts = Units(groups).solve(shards)
+    removed(docs.sparkSession, groups)
     shard = F.lit(0)
-    for d in last:
-        shard = shard + F.when(F.col("digest") > d, 1).otherwise(0)
+    for d in cuts:
+        shard = shard + F.when(F.col("digest") > d + "g", 1).otherwise(0)  # above all that begin like this
     rows = base.withColumn("shard", shard).withColumn("cell", _cell(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), SLOT_DIGITS))
     counts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))  # at most shards x 4096 rows
     before = counts.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("before"))
