@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridex.llm.common import Words, lists, mapped, mix, ship
+from veridex.llm.common import Words, kept_rows, lists, mapped, mix, ship
 
 EDITS = 0.2
 RECALL = 0.99
 SAMPLED = 3
 MOST_REPETITIONS = 200
 CLASS_RATIO = 1.25
-#: Items are scanned for in blocks of at most so many words, which bounds what is broadcast; one pass a block.
-BLOCK_WORDS = 1_000_000
+#: Items are scanned for in blocks of so many words and one more item at most; one pass a block. A block's broadcast has
+#: some 60 bytes a word, and 12 bytes an item and repetition, whatever the items' length.
+BLOCK_WORDS = 250_000
 _FOLD = np.uint64(64 - 18)
 _PAD = np.uint64(0x5DEECE66D1234567)
 
@@ -68,7 +69,10 @@ class WindowClass:
     draws: list[tuple[int, np.ndarray]] = field(default_factory=list)
     keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted keys and their items
     grams: np.ndarray | None = None
-    shifts: list[np.ndarray] = field(default_factory=list)
+    #: Of each gram: where its ranges begin in near and far, how far before it a match may start at least and at most.
+    ranges: np.ndarray | None = None
+    near: np.ndarray | None = None
+    far: np.ndarray | None = None
     owners: list[np.ndarray] | None = None  # the items that have each gram, if the class is searched exactly
 
 
@@ -97,14 +101,21 @@ class Searcher:
 
     def _place(self, c: WindowClass) -> None:
         """Runs of c.gram words of the class's items, and how far before them a match may start."""
-        found: dict[int, set[int]] = {}
+        gram, near, far = [], [], []
         for i in c.items:
             w, k = self.words[i], allowed_edits(len(self.words[i]))
-            for o, g in enumerate(mix(grams(w, c.gram)).tolist()):
-                found.setdefault(g, set()).update(range(max(0, o - k), o + k + 1))
-        names = sorted(found)
-        c.grams = np.array(names, np.uint64)
-        c.shifts = [np.array(sorted(found[g]), np.int64) for g in names]
+            g = mix(grams(w, c.gram))
+            gram.append(g)
+            near.append(np.maximum(np.arange(len(g)) - k, 0))
+            far.append(np.arange(len(g)) + k)
+        gram, near, far = np.concatenate(gram), np.concatenate(near), np.concatenate(far)
+        order = np.lexsort((far, near, gram))
+        gram, near, far = gram[order], near[order], far[order]
+        fresh = np.ones(len(gram), bool)
+        fresh[1:] = (gram[1:] != gram[:-1]) | (near[1:] != near[:-1]) | (far[1:] != far[:-1])
+        gram, c.near, c.far = gram[fresh], near[fresh].astype(np.int32), far[fresh].astype(np.int32)
+        c.grams, at = np.unique(gram, return_index=True)
+        c.ranges = np.append(at, len(gram))
         c.maybe_gram, c.maybe_word = np.zeros(1 << 18, bool), np.zeros(1 << 18, bool)  # never false for those of the class
         c.maybe_gram[c.grams >> _FOLD] = True
         c.maybe_word[np.concatenate([self.words[i] for i in c.items]) >> _FOLD] = True
@@ -136,7 +147,7 @@ class Searcher:
         for draw in c.draws:
             keys = self._embed_items(c, [self.words[i] for i in c.items], draw)
             order = np.argsort(keys, kind="stable")
-            c.keys.append((keys[order], np.array(c.items)[order]))
+            c.keys.append((keys[order], np.array(c.items, np.int32)[order]))
 
     def _exact(self, c: WindowClass) -> None:
         c.draws = []
@@ -186,13 +197,15 @@ class Searcher:
         doc = np.searchsorted(first, hit, side="right") - 1
         whole = hit + c.gram <= first[doc + 1]  # runs don't cross texts
         hit, doc, code = hit[whole], doc[whole], at[hit[whole]]
-        size = np.array([len(s) for s in c.shifts])[code]
         if not len(hit):
             return hit, hit
-        p = np.repeat(hit, size) - np.concatenate([c.shifts[k] for k in code.tolist()])
-        doc = np.repeat(doc, size)
-        p, keep = np.unique(np.maximum(p, first[doc]), return_index=True)
-        ends = first[doc[keep] + 1]
+        size = np.diff(c.ranges)[code]
+        which = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(c.ranges[:-1][code], size)
+        at, low = np.repeat(hit, size), np.repeat(first[doc], size)
+        # where ranges begin and end; a place is worth it if more have begun than ended
+        change = np.bincount(np.maximum(at - c.far[which], low), minlength=len(h) + 2)[: len(h) + 2] - np.bincount(np.maximum(at - c.near[which], low) + 1, minlength=len(h) + 2)[: len(h) + 2]
+        p = np.flatnonzero(np.cumsum(change) > 0)
+        ends = first[np.searchsorted(first, p, side="right")]
         seen = np.concatenate([[0], np.cumsum(c.maybe_word[h >> _FOLD])])
         n, m = c.size, max(len(self.words[i]) for i in c.items)
         ok = seen[np.minimum(p + m + allowed_edits(m), ends)] - seen[p] >= n - allowed_edits(n)
@@ -235,7 +248,7 @@ class Searcher:
                 if n.any():
                     w = np.repeat(np.arange(len(k)), n)
                     at = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-                    pairs.append(np.unique(w * len(self.ids) + items[at]))
+                    pairs.append(np.unique(w * np.int64(len(self.ids)) + items[at]))
             if not pairs:
                 continue
             w, i = np.divmod(np.unique(np.concatenate(pairs)), len(self.ids))
@@ -379,5 +392,5 @@ def _arrow(kind):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs in which no benchmark item is found; all columns stay as they are."""
-    return with_leaks(docs, benchmark).filter(F.size("leaks") == 0).select(*[f"`{c}`" for c in docs.columns])
+    """docs in which no benchmark item is found; all columns stay as they are, also one named leaks."""
+    return kept_rows(docs, lambda d: with_leaks(d, benchmark), "size(leaks) = 0", ["leaks"])
