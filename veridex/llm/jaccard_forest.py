@@ -2,7 +2,8 @@
 
 Every distinct text gets TREES labels of LEVELS MinHash bytes. In each tree the labels form a sorted trie; texts
 whose labels share a prefix are candidates. The prefix is the longest by which two texts exactly as similar as the
-threshold meet with the target recall, so that no link's chance depends on the rest of the table. Each candidate is verified once, in the first tree where it meets, on its exact sets of word shingles.
+threshold meet with the target recall, so that no link's chance depends on the rest of the table. Each candidate
+is verified once, in the first tree where it meets, on its exact sets of word shingles.
 
 A subtree of more than SMALL texts is never turned into pairs: its texts are dealt into blocks, and each pair of
 blocks is verified inside one task, which returns link counts and a spanning forest of its links only.
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veridex.llm.common import Words, binaries, lists, mapped, mix, raw, removed, ship, shingles, slices, written
-from veridex.llm.components import components
+from veridex.llm.components import components, dealt_join
+from veridex.llm.url_bloom import MOST_BLOCKS, built, passes
 
 TREES, LEVELS = 16, 8
 SMALL = 48
@@ -208,7 +210,7 @@ def _grouped(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFram
     per = per.groupBy("node").agg(F.sum("links").alias("n_links"))
     nodes = reps.select("node", "rep", "copies").join(labels, "node", "left").join(per, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.filter("n_links > 0").groupBy("component").agg(F.min("rep").alias("class_id"))
-    nodes = nodes.join(least, "component", "left").select("node", "rep", "component", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
+    nodes = dealt_join(nodes, "component", least, F.col("node"), "left").select("node", "rep", "component", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
     return sig.select("doc_id", "node"), nodes
 
 
@@ -250,19 +252,25 @@ def _links_at(docs: DataFrame, reps: DataFrame, depth: int, threshold: float) ->
 def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that of its least doc_id (null last), then of the least digest.
 
-    Ids may be null or repeated over different texts; of rows equal in doc_id and text one stays. All columns stay
-    as they are.
+    Ids may be null or repeated over different texts; of rows equal in doc_id and text the least in the other
+    columns stays. All columns stay as they are. A blocked Bloom filter tells rows that surely stay from those that
+    may go; only the latter are shuffled with their texts, to an exact join.
     """
+    spark = docs.sparkSession
     sig, nodes = _grouped(docs.select("doc_id", "text"), threshold, RECALL)
     first = nodes.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"))
     stays = F.col("node").eqNullSafe(F.col("first.node")) & F.col("doc_id").eqNullSafe(F.col("first.rep"))
     rows = sig.join(nodes.select("node", "component", "n_copies").join(first, "component"), "node").select("doc_id", "node", "n_copies", stays.alias("stays"))
-    found = written(rows.filter("not stays or n_copies > 1"), "classes")
-    gone = found.filter("not stays").select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")).distinct()
-    node = node_of(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (node == gone["gone_node"]), "left_anti")
-    repeated = found.filter("stays").groupBy("doc_id", "node").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    digest = "_digest_of_near_copies"
-    return kept.withColumn(digest, node_of(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", digest]).drop(digest)
+    found = written(rows.filter("not stays or n_copies > 1").groupBy("doc_id", "node").agg(F.bool_and("stays").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "classes")
+    removed(spark, rows)
+    bloom = built(found.select(F.xxhash64("doc_id", "node").alias("row")), "row", MOST_BLOCKS)
+    aside = {"id": "_id_of_row", "node": "_node_of_row"}
+    named = docs.select("*", F.col("doc_id").alias(aside["id"]), node_of(F.coalesce("text", F.lit(""))).alias(aside["node"]))
+    key = F.xxhash64(*aside.values())
+    named = named.withColumn("_may_go", passes(spark, bloom, key))
+    gone = found.filter("not stays").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node"))
+    left = named.filter("_may_go").join(gone.hint("shuffle_hash"), F.col(aside["id"]).eqNullSafe(F.col("_gone_id")) & (F.col(aside["node"]) == F.col("_gone_node")), "left_anti")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.lit(0), *[F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != "text" and not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    once = left.groupBy(*aside.values()).agg(F.min_by(F.struct(*own), order).alias("_row"))
+    return named.filter("not _may_go").select(*own).unionAll(once.select(*[F.col(f"_row.`{c}`") for c in docs.columns]))
