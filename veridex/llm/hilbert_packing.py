@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridex.llm.common import binaries, partitions, ship, slices, written
+from veridex.llm.common import binaries, partitions, ship, slices
 
 LENGTH = 2048
 END = 1
 DIMS, CURVE_BITS = 4, 12
 CACHE_WORDS, KEPT_LETTERS = 400_000, 8
+SAMPLE_PER_PART = 40
 #: A text with none of these has only Latin letters, digits, white space and single full stops and commas.
 _OTHER = re.compile(r"[^0-9A-Za-zÀ-ÖØ-öø-ɏ \n.,]|[.,][.,]")
 #: A text with none of these can be cut by _PIECES, which says for its characters what the tokenizer's pattern says.
@@ -158,10 +159,15 @@ def curve_keys(ids: np.ndarray, counts: np.ndarray, proj: np.ndarray) -> np.ndar
     return hilbert_key(cells.astype(np.int64))
 
 
-def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, key, ids (little-endian 16 bits, with the closing id) of every row; null reads as empty text."""
+def tokenised(docs: DataFrame, vocabulary: str, cuts: np.ndarray | None = None) -> DataFrame:
+    """doc_id, key, tie, part, ids (little-endian 16 bits, with the closing id) of every row; null reads as empty text.
+
+    tie: a hash of doc_id. part: how many cuts (rising places) lie at or before the row's place.
+    """
     ship(docs.sparkSession)
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("ids", T.BinaryType())])
+    long = T.LongType()
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, long) for n in ("key", "tie", "part")], T.StructField("ids", T.BinaryType())])
+    cuts = np.zeros(0, np.int64) if cuts is None else cuts
 
     def run(batches):
         enc, proj = encoder(vocabulary), directions()
@@ -170,10 +176,36 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
             raw = [x + close for x in enc.encode(b.column("text").to_pylist())]
             n = np.array([len(x) // 2 for x in raw])
             ids = np.frombuffer(b"".join(raw), np.uint16)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(curve_keys(ids, n, proj)), binaries(ids, n)], names=schema.names)
+            key = curve_keys(ids, n, proj)
+            part = np.searchsorted(cuts, places(key, b.column("tie").to_numpy(zero_copy_only=False)), "right").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key), b.column("tie"), pa.array(part), binaries(ids, n)], names=schema.names)
         enc.forget()  # the worker lives on and other stages need its memory
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("tie"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+
+
+def places(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Key and first bits of the tie in one number, in the order of (key, tie)."""
+    bits = 63 - DIMS * CURVE_BITS
+    return (key << bits) + (tie >> (64 - bits)) + (1 << (bits - 1))
+
+
+def range_cuts(docs: DataFrame, vocabulary: str, parts: int) -> np.ndarray:
+    """Rising places that cut the curve into `parts` ranges of about equal numbers of tokens.
+
+    They decide the balance of tasks only. Found from SAMPLE_PER_PART documents for each part, those of least hash;
+    every document is packed.
+    """
+    one_in = 1 << 40
+    share = min(1.0, SAMPLE_PER_PART * parts / max(1, docs.count()))
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(one_in)) < int(share * one_in)).select("doc_id", "text")
+    got = tokenised(some, vocabulary).select("key", "tie", F.octet_length("ids").alias("n")).toPandas()
+    if not len(got):
+        return np.zeros(0, np.int64)
+    at = places(got["key"].to_numpy(np.int64), got["tie"].to_numpy(np.int64))
+    order = np.argsort(at, kind="stable")
+    ends = got["n"].to_numpy(np.int64)[order].cumsum()
+    return np.unique(at[order][np.searchsorted(ends, ends[-1] * np.arange(1, parts) / parts)])
 
 
 class _Packer:
@@ -230,8 +262,9 @@ def packed(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     rows. Sequence numbers are unique, not gapless.
     """
     spark = docs.sparkSession
-    rows = written(tokenised(docs, vocabulary or default_vocabulary()), "tokens")  # the range sort reads it twice
-    placed = rows.withColumn("_tie", F.xxhash64("doc_id")).repartitionByRange(partitions(spark), "key", "_tie").sortWithinPartitions("key", "_tie", "doc_id", "ids")
+    vocabulary, parts = vocabulary or default_vocabulary(), partitions(spark)
+    rows = tokenised(docs, vocabulary, range_cuts(docs, vocabulary, parts))
+    placed = rows.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("key", "tie", "doc_id", "ids")  # a range sort without reading twice
     kinds = [T.LongType()] * 6
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, k) for n, k in zip(names, kinds)]])
