@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veridex.functions import formats, labels, net
+from veridex.functions import formats, ingredients, net
 from veridex.functions import text as T
 from veridex.operators import fusion
 from veridex.operators import labels as L
@@ -25,10 +25,9 @@ def texts(spark, *t):
     ],
 )
 def test_normalise(spark, raw, want):
-    text, log = labels.normalise(raw)
-    assert text == want
-    assert texts(spark, raw).select(T.normalised(F.col("text"))).first()[0] == want
-    assert (labels.log_confidence(log) == 1) == (raw == want)
+    got = texts(spark, raw).select(T.normalised(F.col("text")).alias("text"), T.corrections(F.col("text")).alias("log")).withColumn("sure", T.edit_confidence(F.col("log"))).first()
+    assert got.text == want and (got.sure == 1) == (raw == want)
+    assert all(raw[e.start : e.end] == e.raw for e in got.log if e.stage == 2)
 
 
 def test_codes(spark):
@@ -36,13 +35,33 @@ def test_codes(spark):
     assert [[(c.code, c.name) for c in r[0]] for r in got] == [[("INS 621", "monosodium glutamate"), ("INS 330", "citric acid"), ("INS 211", "sodium benzoate")], [("INS 998", None)], []]
 
 
-def test_ingredients():
-    got = labels.ingredient_section("Refined oil (palm oil (INS 524), soybean oil), salt")["items"]
-    assert [i[0] for i in got] == [[0], [0, 0], [0, 0, 0], [0, 1], [1]] and got[2][4] == "INS 524"
-    got = labels.ingredient_section("Sugar, palm oil. May contain: milk, nuts.")
-    assert got["statements"] and "nuts" in got["allergens"] and got["top"] == 2
-    assert not labels.ingredient_section("|||  ... |||")["items"] and not labels.ingredient_section("  \n ")["items"]
-    assert set(labels.allergens("wheat flour, skimmed milk powder, soya lecithin, peanut oil")) >= {"milk", "gluten", "soy", "peanuts"}
+def test_ingredients(spark):
+    got = ingredients.tree("Refined oil (palm oil (INS 524), soybean oil), salt")
+    assert [i["path"] for i in got] == [[0], [0, 0], [0, 0, 0], [0, 1], [1]] and got[2]["raw"] == "INS 524"
+    assert [(i["path"], i["raw"]) for i in ingredients.tree("a (b, c; d (e), |||; f (g, h")] == [([0], "a (b, c; d (e), |||; f (g, h"), ([0, 0], "b, c; d (e), |||; f (g, h"), ([0, 0, 0], "e")]
+    assert ingredients.tree("|||  ... |||") == [] and ingredients.tree("  ") == []
+    t = texts(spark, "INGREDIENTS\nSugar, palm oil. May contain: milk, nuts.", "Ingredients: wheat flour, skimmed milk powder, soya lecithin and peanut oil", "none", "")
+    read = {r.doc_id: r for r in L.with_ingredients(L.repaired(t)).select("doc_id", "items", "statement").collect()}
+    assert read[0].statement == ". May contain: milk, nuts." and [i.raw for i in read[0]["items"]] == ["INGREDIENTS", "Sugar", "palm oil"]
+    assert {a for i in read[1]["items"] for a in i.allergens} == {"milk", "gluten", "soy", "peanuts"} and read[2]["items"] is None
+
+
+def test_sections(spark):
+    t = texts(spark, "Ingredients:\n\nSugar\n\nSalt\n\n\nMilk\nMRP\nRs. 5\nNet Wt", "INGREDIENTS\nINGREDIENTS USED: a\n b \nAllergens\nmilk\nContains: nut", "", "Nutrition Facts\n\n\nProtein\nContinued: x\n" + "z\n" * 20)
+    got = {(r.doc_id, r.kind): tuple(r)[2:] for r in L.found_sections(t).collect()}
+    assert got[0, "ingredients"] == ("Ingredients:", "Sugar\nSalt", 0, 4) and got[0, "mrp"] == (None, "Rs. 5\nNet Wt", 8, 10) and got[0, "net_quantity"] == (None, "Net Wt", 10, 10)
+    assert got[1, "ingredients"] == ("INGREDIENTS", "INGREDIENTS USED: a\nb", 0, 2) and got[1, "allergens"] == ("Allergens", "milk\nContains: nut", 3, 5)
+    assert got[3, "ingredients_continued"][1] == "x" + "\nz" * 10 and (3, "nutrition") not in got and not any(i == 2 for i, _ in got)
+
+
+def test_fixed(spark):
+    """Rounding by the exact binary value, as the fixed values' own rule does."""
+    from veridex import dims
+    from veridex.functions.rates import fixed
+
+    xs = [i / 16000 for i in range(0, 48000, 7)] + [0.5275, 0.5375, 0.8125, 0.0005, 1.0005, 2.5]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", fixed(F.col("x")).alias("y")).collect()
+    assert all(r.y == dims.fixed(r.x, 3) for r in got)
 
 
 def test_nutrition(spark):
@@ -53,12 +72,14 @@ def test_nutrition(spark):
     assert [r.line for r in L.undeciphered(t).orderBy("pos").collect()] == ["Trans Fat Trace", "Zzz qqq 1.2"]
 
 
-def test_product():
-    text = "Taaza Toned Milk\nIngredients: Milk\nNet Qty: 500 ml\nMRP Rs. 34.00\nFSSAI Lic. No. 10012051000123\nVEG\nManufactured by: Amul Dairy, Anand, Gujarat\nBest Before: 6 months from manufacturing\nMade in India"
-    got = {f: (v, s) for f, v, c, s, e in labels.product(text)}
-    assert got["net_quantity"][0] == "500 ml" and got["mrp"][0] == "34 INR" and got["fssai_license"][0] == "10012051000123" and got["veg_marker"][0] == "vegetarian"
+def test_product(spark):
+    text = "Taaza Toned Milk\nIngredients: Milk\nNet Qty: 4 x 25 g\nMRP Rs. 34.00\nFSSAI Lic. No. 10012051000123\nVEG\nManufactured by: Amul Dairy, Anand, Gujarat\nBest Before: 6 months from manufacturing\nMade in India"
+    rows = {(r.doc_id, r.field): (r.value, r.confidence_source) for r in L.products(texts(spark, text, "", "M.R.P. Rs 5\nPacked by: Zed Co\nFlavour: mango")).collect()}
+    got = {f: v for (i, f), v in rows.items() if i == 0}
+    assert got["net_quantity"][0] == "4 x 25 g" and got["mrp"][0] == "34 INR" and got["fssai_license"][0] == "10012051000123" and got["veg_marker"][0] == "vegetarian" and got["name"][0] == "Taaza Toned Milk"
     assert got["country_of_origin"][0] == "India" and got["best_before"][0] == "6 months from manufacturing" and got["brand"] == (None, "unknown")
-    assert all(v is None and s == "unknown" for f, v, c, s, e in labels.product(""))
+    assert len(got) == 10 and all(v == (None, "unknown") for (i, _), v in rows.items() if i == 1)
+    assert rows[2, "variant_or_flavour"][0] == "mango" and rows[2, "manufacturer"][0] and rows[2, "mrp"][0] == "5 INR"
 
 
 def test_check_digits(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veridex.functions.net import let
+
 
 def rate(part: Column, whole: Column, scale: float = 1.0) -> Column:
     """part / whole * scale; null where whole is 0."""
@@ -33,3 +35,19 @@ def percent_text(x: Column) -> Column:
 
 def millis_text(x: Column) -> Column:
     return F.coalesce(F.concat(x.cast("string"), F.lit(" ms")), F.lit("---"))
+
+
+def fixed(x: Column, digits: int = 3) -> Column:
+    """x (0 or more) to so many decimals, half up by its exact binary value, as fixed-point formatting of doubles does.
+
+    The product with the power of ten is kept in two parts that doubles hold exactly.
+    """
+    scale = float(10**digits)
+
+    def rounded(v: Column) -> Column:
+        high = F.floor(v * 67108864.0) / 67108864.0
+        a, b = high * scale, (v - high) * scale
+        k = F.floor(a)
+        return (k + F.when(a - k - 0.5 >= -b, 1).otherwise(0)) / scale
+
+    return let(x, rounded)

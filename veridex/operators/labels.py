@@ -1,39 +1,46 @@
-"""Structured records from label texts (doc_id, text). Nothing is invented: what is not read stays null."""
+"""Structured records from label texts (doc_id, text). Nothing is invented: what is not read stays null.
+
+Every reading is an expression over one row, so a text is read once and never shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridex import dims
-from veridex.functions import labels as L
+from veridex.functions import ingredients as I
+from veridex.functions import patterns as P
+from veridex.functions import product, sections
 from veridex.functions import text as T
+from veridex.functions.rates import fixed
+from veridex.shipping import ship
+
+PRODUCT_SECTIONS = ["manufacturer", "mrp", "net_quantity", "fssai", "best_before"]
 
 
 def lines(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
 
-def _read_lines(texts: DataFrame) -> DataFrame:
-    l = lines(texts).withColumn("line", F.trim("line")).filter("line <> ''")  # noqa: E741
-    for p in T.SKIP:
-        l = l.filter(~F.col("line").rlike("(?i)" + p))  # noqa: E741
-    l = l.withColumn("s", T.nutrition_line(F.col("line"))).select("doc_id", "pos", "line", "s.*")  # noqa: E741
-    raw_unit = F.regexp_extract("rest", T.NUMBER, 3)
-    value = F.col("number").try_cast("double")
-    l = l.withColumn("number", F.replace(F.regexp_extract("rest", T.NUMBER, 1), F.lit(","), F.lit("")))  # noqa: E741
-    return l.select("doc_id", "pos", "line", "label", T.nutrient(F.col("label")).alias("nutrient"), value.alias("value"), T.unit(raw_unit).alias("unit"), F.col("rest").rlike(T.TRACE).alias("traced"), F.regexp_extract("rest", r"(\d+([.,]\d+)?)\s*%", 1).alias("percent"))
+def _listed(texts: DataFrame, rows: Column, known: str) -> DataFrame:
+    """doc_id and the fields of every struct of an array; `known` is a field that is never null.
+
+    The outer form, as Spark works an inner one's array out twice: once to drop rows whose array is empty.
+    """
+    return texts.select("doc_id", F.inline_outer(rows)).filter(F.col(known).isNotNull())
+
+
+# --- nutrition ---
 
 
 def nutrition_values(texts: DataFrame) -> DataFrame:
     """One row per nutrient line with its value, unit, canonical value and trace mark."""
-    v = _read_lines(texts).filter("nutrient is not null and (value is not null or traced)")
-    to = T.canonical_unit(F.col("nutrient"))
-    return v.select("*", to.alias("normalized_unit"), T.converted(F.col("value"), F.col("unit"), to).alias("normalized_value"), F.replace("percent", F.lit(","), F.lit("")).try_cast("double").alias("daily_value_percent"), (F.col("value").isNull() & F.col("traced")).alias("trace"))
+    return _listed(texts, T.nutrition_values(F.col("text")), "pos")
 
 
 def undeciphered(texts: DataFrame) -> DataFrame:
-    return _read_lines(texts).filter("nutrient is null or (value is null and not traced)").select("doc_id", "pos", "line")
+    rows = _listed(texts, T.nutrition_lines(F.col("text")), "pos")
+    return rows.filter("nutrient is null or (value is null and not traced)").select("doc_id", "pos", "line")
 
 
 def first_values(values: DataFrame) -> DataFrame:
@@ -42,69 +49,126 @@ def first_values(values: DataFrame) -> DataFrame:
     return values.groupBy("doc_id", "nutrient").agg(F.min_by(F.struct(*rest), "pos").alias("v")).select("doc_id", "nutrient", "v.*")
 
 
-def nutrition_confidences() -> list[tuple[int, int, int, int]]:
-    """Basis found, nutrients (to 8), energy found: confidence in thousandths without a reader's own score."""
-    out = []
-    for b in (0, 1):
-        for n in range(1, 9):
-            for e in (0, 1):
-                out.append((b, n, e, round(dims.fixed((1 if b else 0.5) * 0.2 + min(1, n / 8) * 0.3 + (1 if e else 0.4) * 0.2 + 0.5 * 0.3, 3) * 1000)))
-    return out
-
-
 def nutrition_confidence(texts: DataFrame) -> DataFrame:
-    table = texts.sparkSession.createDataFrame(nutrition_confidences(), "b int, k int, e int, confidence int")
-    basis = F.col("text").rlike(r"(?i)per\s+\d+([.,]\d+)?\s*(g|gm|ml|serving)").cast("int")
-    per = nutrition_values(texts).groupBy("doc_id").agg(F.count_distinct("nutrient").alias("n"), F.max((F.col("nutrient") == "energy").cast("int")).alias("e"))
-    rows = per.join(texts.select("doc_id", basis.alias("b")), "doc_id").withColumn("k", F.least("n", F.lit(8)).cast("int"))
-    return rows.join(F.broadcast(table), ["b", "k", "e"]).select("doc_id", "n", "confidence")
-
-
-def _each(texts: DataFrame, fn, schema: str) -> DataFrame:
-    """Rows of fn(doc_id, text) for every text, in batches."""
+    """n and confidence (thousandths, without a reader's own score) of texts with a nutrient.
 
-    def run(frames):
-        import pandas as pd
+    Basis found .2 (half without one), nutrients up to eight .3, energy found .2 (.4 of it without), reader .3 at half.
+    """
+    basis = F.col("text").rlike(P.java(P.BASIS))
+    names = F.array_distinct(F.transform(T.nutrition_values(F.col("text")), lambda v: v["nutrient"]))
+    rows = texts.select("doc_id", basis.alias("b"), names.alias("names")).filter("size(names) > 0")
+    n, energy = F.size("names"), F.array_contains("names", "energy")
+    score = F.when(F.col("b"), 1.0).otherwise(0.5) * 0.2 + F.least(F.lit(1.0), n / 8.0) * 0.3 + F.when(energy, 1.0).otherwise(0.4) * 0.2 + F.lit(0.5 * 0.3)
+    return rows.select("doc_id", n.cast("bigint").alias("n"), F.round(fixed(score) * 1000).cast("int").alias("confidence"))
 
-        for f in frames:
-            rows = [r for i, t in zip(f["doc_id"].tolist(), f["text"].tolist()) for r in fn(i, t or "")]
-            yield pd.DataFrame(rows, columns=names)
 
-    out = texts.sparkSession.createDataFrame([], schema).schema
-    names = out.names
-    return texts.select("doc_id", "text").mapInPandas(run, out)
+# --- repaired text and sections ---
 
 
 def corrections(texts: DataFrame) -> DataFrame:
     """The edit log of the repair steps: kind, raw, corrected, confidence, start, end, reason; offsets are of the step's own text."""
-    return _each(texts, lambda i, t: [(i, *c) for c in L.normalise(t)[1]], "doc_id bigint, stage int, kind string, raw string, corrected string, confidence double, start int, end int, reason string")
+    return _listed(texts, T.corrections(F.col("text")), "stage")
 
 
-def sections(texts: DataFrame) -> DataFrame:
+def found_sections(texts: DataFrame) -> DataFrame:
     """The first region of each kind: heading, body, first and last line."""
-    return _each(texts, lambda i, t: [(i, *s) for s in L.all_sections(t.split("\n"))], "doc_id bigint, kind string, heading string, body string, start_line int, end_line int")
+    return _listed(texts, sections.sections(sections.lines_of(F.col("text"))), "kind")
+
+
+def repaired(texts: DataFrame) -> DataFrame:
+    """doc_id, the repaired text, its lines and its sections by kind."""
+    t = texts.select("doc_id", T.normalised(F.coalesce("text", F.lit(""))).alias("normalized_text"))
+    t = t.withColumn("lines", sections.lines_of(F.col("normalized_text")))
+    return t.withColumn("sections", sections.sections(F.col("lines")))
+
+
+def of_kind(kind: str) -> Column:
+    """The section of a kind; null if there is none."""
+    return F.get(F.filter("sections", lambda s: s["kind"] == kind), 0)
+
+
+def whole(section: Column) -> Column:
+    """All lines of a section, its heading's too."""
+    return sections.trimmed(F.array_join(F.slice("lines", section["start_line"] + 1, section["end_line"] - section["start_line"] + 1), "\n"))
+
+
+# --- ingredients and product ---
+
+
+def with_ingredients(read: DataFrame) -> DataFrame:
+    """Adds the ingredient section, its items as a flat tree and a statement of cross-contamination."""
+    ship(read.sparkSession)
+    read = read.withColumn("ingredient_section", F.coalesce(of_kind("ingredients"), of_kind("ingredients_continued")))
+    read = read.withColumn("_text", I.section_text(whole(F.col("ingredient_section"))))
+    read = read.withColumn("_start", I.statement_start(F.col("_text")))
+    read = read.withColumn("_nodes", I.split_items(I.listed(F.col("_text"), F.col("_start"))))
+    read = read.withColumns({"statement": I.statement(F.col("_text"), F.col("_start")), "items": I.read_items(F.col("_nodes"))})
+    return read.drop("_text", "_start", "_nodes")
 
 
 def ingredient_items(texts: DataFrame) -> DataFrame:
     """Ingredients as a flat tree: path holds the positions from the root, parents come before children."""
-    schema = "doc_id bigint, path array<int>, depth int, raw string, normalized string, code string, code_name string, additive_class string, allergens array<string>"
-    return _each(texts, lambda i, t: [(i, *r) for r in L.ingredients(L.normalise(t)[0])["items"]], schema)
+    return _listed(with_ingredients(repaired(texts)), F.col("items"), "path")
 
 
 def ingredient_confidence(texts: DataFrame) -> DataFrame:
-    return _each(texts, lambda i, t: [(i, *L.ingredient_score(L.normalise(t)[0]))], "doc_id bigint, items int, with_codes int, confidence double, confidence_source string")
+    read = with_ingredients(repaired(texts))
+    return read.select("doc_id", I.confidence(F.col("items"), F.col("ingredient_section.heading")).alias("c")).select("doc_id", "c.*")
+
+
+def with_product(read: DataFrame) -> DataFrame:
+    bodies = {k: of_kind(k)["body"] for k in PRODUCT_SECTIONS}
+    read = read.withColumn("_bodies", F.struct(*[b.alias(k) for k, b in bodies.items()]))
+    return read.withColumn("product", product.product_fields(F.col("normalized_text"), F.col("lines"), lambda k: F.col("_bodies")[k])).drop("_bodies")
 
 
 def products(texts: DataFrame) -> DataFrame:
     """Product fields with confidence, source and evidence; one row per document and field."""
-    return _each(texts, lambda i, t: [(i, *f) for f in L.product(L.normalise(t)[0])], "doc_id bigint, field string, value string, confidence double, confidence_source string, evidence string")
+    return _listed(with_product(repaired(texts)), F.col("product"), "field")
+
+
+# --- whole documents ---
+
+
+def declared_allergens() -> Column:
+    """Allergens of the allergen declaration, then those of a statement of contents, each once."""
+    return I.declared_allergens(of_kind("allergens")["body"], of_kind("contains")["body"])
+
+
+def label_codes() -> Column:
+    """The additive codes of the repaired text, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(T.ins_codes(F.col("normalized_text")), lambda c: c["code"])))
+
+
+def label_signals() -> Column:
+    """What an Indian retail label shows, in a fixed order."""
+    shown = lambda f: F.exists("product", lambda p: (p["field"] == f) & p["value"].isNotNull())
+    names = ["fssai_license", "veg_marker", "mrp", "net_quantity", "country_of_origin"]
+    return F.array_compact(F.array(*[F.when(shown(n), n) for n in names], F.when(of_kind("claims").isNotNull(), "claims")))
+
+
+#: Label signals that stand for a product field.
+FIELD_SIGNALS = ["fssai_license", "veg_marker", "mrp", "net_quantity", "country_of_origin"]
+
+
+def signals(texts: DataFrame) -> DataFrame:
+    """ins_codes, declared allergens, label_signals and those of them that are no product field (elsewhere)."""
+    read = with_product(repaired(texts)).select("doc_id", label_codes().alias("ins_codes"), declared_allergens().alias("declared"), label_signals().alias("label_signals"))
+    return read.withColumn("elsewhere", F.array_except("label_signals", F.array(*[F.lit(s) for s in FIELD_SIGNALS])))
 
 
 def documents(texts: DataFrame) -> DataFrame:
-    """One nested document per text: version, normalised text, sections, ingredients, nutrition and product as JSON."""
-    n = first_values(nutrition_values(texts)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "nutrient", "value", "unit", "normalized_value", "normalized_unit", "trace"))).alias("nutrition"))
-    i = ingredient_items(texts).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("path", "normalized", "code", "allergens"))).alias("ingredients"))
-    p = products(texts).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("value", "confidence", "confidence_source", "evidence"))))).alias("product"))
-    warnings = F.array_compact(F.array(F.when(F.col("ingredients").isNull(), "ingredients_not_found"), F.when(F.col("nutrition").isNull(), "nutrition_not_found")))
-    d = texts.select("doc_id", T.normalised(F.col("text")).alias("normalized_text")).join(n, "doc_id", "left").join(i, "doc_id", "left").join(p, "doc_id", "left")
-    return d.select("doc_id", F.to_json(F.struct(F.lit("1").alias("schema_version"), "normalized_text", "ingredients", "nutrition", "product", warnings.alias("warnings"))).alias("document"))
+    """One nested document per text as JSON: repaired text, sections, ingredients, allergens, nutrition, product, signals, warnings."""
+    read = with_product(with_ingredients(repaired(texts)))
+    panel = of_kind("nutrition")
+    read = read.withColumn("nutrition", F.when(panel.isNotNull(), T.nutrition_values(whole(panel))))
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    warnings = F.array_compact(F.array(F.when(none("items"), "ingredient_list_not_found"), F.when(panel.isNotNull() & none("nutrition"), "nutrition_section_found_but_unreadable")))
+    by_items = F.array_sort(F.array_distinct(F.flatten(F.transform("items", lambda i: i["allergens"]))))
+    fields = F.map_from_entries(F.transform("product", lambda p: F.struct(p["field"], F.struct(*[p[c].alias(c) for c in ("value", "confidence", "confidence_source", "evidence")]))))
+    document = F.struct(
+        F.lit("1").alias("schema_version"), "normalized_text", "sections", F.transform("items", lambda i: F.struct(*[i[c].alias(c) for c in ("path", "normalized", "code", "allergens")])).alias("ingredients"),
+        F.struct(by_items.alias("from_ingredients"), declared_allergens().alias("declared"), F.array_compact(F.array("statement")).alias("cross_contamination"), of_kind("allergens").isNotNull().alias("declared_in_section")).alias("allergens"),
+        "nutrition", fields.alias("product"), F.struct(label_codes().alias("ins_codes"), label_signals().alias("label_signals")).alias("signals"), warnings.alias("warnings"),
+    )
+    return read.select("doc_id", F.to_json(document).alias("document"))

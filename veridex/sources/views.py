@@ -34,7 +34,7 @@ FROM (SELECT *, CAST((10 - (1 * (CAST(substr(body, 1, 1) AS INT) + CAST(substr(b
   || CASE WHEN p_partkey % 4 = 0 THEN 'May contain: nuts and sesame' || chr(10) ELSE '' END
   || 'Nutrition Information (per 100 g)' || chr(10) || 'Energy ' || CAST(50 + p_partkey % 400 AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN ' kcal' ELSE ' kJ' END || chr(10)
   || 'Protein ' || CAST(p_partkey % 30 AS STRING) || '.5 g' || chr(10) || 'Sodium ' || CAST(p_partkey % 900 AS STRING) || ' mg' || chr(10)
-  || CASE WHEN p_partkey % 5 = 0 THEN 'Zzz qqq 1.2' ELSE 'Trans fat trace' END || chr(10) || 'Protein 9 g' || chr(10) || 'Net Qty: ' || CAST(p_size * 10 AS STRING) || ' g  ' || chr(10)
+  || CASE WHEN p_partkey % 5 = 0 THEN 'Zzz qqq 1.2' ELSE 'Trans fat trace' END || chr(10) || 'Protein 9 g' || chr(10) || 'Net Qty: ' || CASE WHEN p_partkey % 6 = 0 THEN '4 x ' || CAST(p_size AS STRING) || ' g' ELSE CAST(p_size * 10 AS STRING) || ' g  ' END || chr(10)
   || 'MRP Rs. ' || CAST(10 + p_partkey % 200 AS STRING) || '.50' || chr(10) || 'FSSAI Lic. No. ' || CAST(10012051000000 + p_partkey AS STRING) || chr(10)
   || 'Best Before: ' || CAST(1 + p_partkey % 24 AS STRING) || ' months' || chr(10) || 'Made in India' AS text
 FROM {part}""",
