@@ -1,17 +1,20 @@
 """Fusion of observations (image_id, ord, value, format, engine, variant, decode_ms, engine_confidence) into ranked candidates.
 
 The order of observations within an image is that of ord. Confidences are integers of thousandths, so that ranks
-and cutoffs compare exactly; those without an engine's own score come from a table of all that can occur.
+and cutoffs compare exactly.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veridex import dims
 from veridex.functions import formats as fmt
 from veridex.functions.net import let
+from veridex.functions.rates import fixed
+from veridex.shipping import ship
 
 
 def _weight() -> Column:
@@ -25,9 +28,10 @@ def groups(obs: DataFrame) -> DataFrame:
     if "engine_confidence" not in obs.columns:
         obs = obs.withColumn("engine_confidence", F.lit(None).cast("double"))
     o = obs.withColumn("payload", F.trim("value")).filter("payload <> ''")
-    o = o.withColumn("class", F.when(F.col("format").isin(dims.FUSION_2D_FORMATS), "2D").otherwise("1D")).withColumn("w", _weight())
+    o = o.withColumn("class", F.when(F.col("format").isin(dims.FUSION_2D_FORMATS), "2D").otherwise("1D"))
     # fixed-width buffers first, so that rows are combined in hash maps before the one list of each payload is made
-    per = o.groupBy("image_id", "class", "payload", "value", "format", "engine", "variant").agg(F.min("ord").alias("first"), F.sum("w").alias("w"), F.count("*").alias("n"), F.min("decode_ms").alias("fastest"), F.max("engine_confidence").alias("own"))
+    per = o.groupBy("image_id", "class", "payload", "value", "format", "engine", "variant").agg(F.min("ord").alias("first"), F.count("*").alias("n"), F.min("decode_ms").alias("fastest"), F.max("engine_confidence").alias("own"))
+    per = per.withColumn("w", _weight() * F.col("n"))  # depends on value and format only
     listed = F.collect_list(F.struct("first", "value", "format", "engine", "variant", "w", "n", "fastest", "own"))
     g = per.groupBy("image_id", "class", "payload").agg(listed.alias("r")).select("image_id", "class", "payload", let(F.array_sort("r"), _summary).alias("s"))
     return g.select("image_id", "class", "payload", "s.*").withColumn("agreement", F.size("engines"))
@@ -48,23 +52,35 @@ def _summary(r: Column) -> Column:
     )
 
 
+def consistency(n: Column) -> Column:
+    """How surely repeated sightings are no accident: 0 for one, 1 from eight on, to three digits between."""
+    return F.when(n <= 1, 0.0).when(n >= 8, 1.0).otherwise(fixed(F.log2(n.cast("double")) / 3))
+
+
+def _valued(key: Column, values: dict, otherwise: float) -> Column:
+    out = F.lit(otherwise)
+    for k, v in values.items():
+        out = F.when(key == k, v).otherwise(out)
+    return out
+
+
+def score(agreement: Column, observations: Column, structural: Column, form: Column, own: Column) -> Column:
+    """Confidence in thousandths; own is an engine's score or null, which counts as 0."""
+    w = dims.WEIGHTS
+    x = _valued(agreement, {1: dims.AGREEMENT[1], 2: dims.AGREEMENT[2]}, dims.AGREEMENT[3]) * w["agreement"] + consistency(observations) * w["consistency"] + _valued(structural, dims.STRUCTURAL, 0.0) * w["structural"]
+    x = x + _valued(form, dims.FORMAT_PRIOR, 0.0) * w["format_prior"] + F.coalesce(own, F.lit(0.0)) * w["engine"]
+    return F.round(fixed(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))) * 1000).cast("int")
+
+
 def with_confidence(g: DataFrame) -> DataFrame:
     """Adds structural kind, confidence (thousandths), its source and the retail, origin and URL marks."""
-    spark = g.sparkSession
-    table = spark.createDataFrame(dims.confidence_rows(), "_a int, _n int, structural string, format string, _derived int")
     valid, gtin = fmt.payload_valid(F.col("value"), F.col("format")), fmt.payload_kind(F.col("format")) == "gtin"
-    g = g.withColumns({
-        "structural": F.concat(F.when(gtin, "gtin").otherwise("other"), F.when(valid, "_valid").otherwise("_invalid")),
-        "_a": F.least("agreement", F.lit(3)), "_n": F.least("observations", F.lit(8)).cast("int"),
-    })
-    g = g.join(F.broadcast(table), ["_a", "_n", "structural", "format"]).drop("_a", "_n")
-    # an engine's score adds its weighted share to the table's value; exact to a thousandth but for ties
-    own = F.least(F.lit(1000), F.floor(F.col("_derived") + F.col("engine_score") * (dims.WEIGHTS["engine"] * 1000) + 0.5)).cast("int")
+    g = g.withColumn("structural", F.concat(F.when(gtin, "gtin").otherwise("other"), F.when(valid, "_valid").otherwise("_invalid")))
     return g.withColumns({
-        "confidence": F.when(F.col("engine_score").isNull(), F.col("_derived")).otherwise(own),
+        "confidence": score(F.col("agreement"), F.col("observations"), F.col("structural"), F.col("format"), F.col("engine_score")),
         "confidence_source": F.when(F.col("engine_score").isNull(), "derived").otherwise("engine"),
         "is_retail": F.col("format").isin(dims.RETAIL_FORMATS), "is_indian": fmt.is_indian_gs1(F.col("value")), "is_url": fmt.is_url_payload(F.col("value"), F.col("format")),
-    }).drop("_derived")
+    })
 
 
 def rank_score() -> Column:
@@ -94,68 +110,112 @@ def primary(k: DataFrame) -> DataFrame:
 def stops(obs: DataFrame, confidence: float = dims.STOP_CONFIDENCE, agreement: int = dims.STOP_AGREEMENT) -> DataFrame:
     """image_id, steps, reason: after how many observations the sweep of an image may stop.
 
-    Every prefix of the observations is fused anew, which depends on all before it; a sweep has at most variants
-    times engines attempts, so an image's observations are folded in order in one task.
+    Checks of payloads and weights are expressions; what depends on all observations before, the state of every
+    candidate, is kept up to date by a fold over an image's sweep, which has at most variants times engines
+    attempts. Sweeps are sorted within partitions and read batch by batch.
+    """
+    spark = obs.sparkSession
+    ship(spark)
+    f, v = F.col("format"), F.col("value")
+    ok = {n: F.coalesce(fmt.payload_valid(v, F.lit(n)), F.lit(False)) for n in dims.FORMATS}
+    rows = obs.select(
+        "image_id", "ord", "value", "engine", "format", F.trim("value").alias("payload"), f.isin(dims.FUSION_2D_FORMATS).alias("flat"), F.coalesce(_weight(), F.lit(0.0)).alias("w"),
+        F.array(*ok.values()).alias("ok"), fmt.is_url_payload(v, F.lit("QR Code")).alias("url"),
+    )
+    sorted_rows = rows.repartition("image_id").sortWithinPartitions("image_id", "ord", "value", "engine")
+    kind = obs.schema["image_id"]
+    schema = T.StructType([kind, T.StructField("steps", T.IntegerType()), T.StructField("reason", T.StringType())])
+    return sorted_rows.mapInArrow(Sweeps(confidence, agreement, schema.names).run, schema)
+
+
+class Sweeps:
+    """Folds sorted observations; holds the open image's candidates."""
+
+    def __init__(self, confidence: float, agreement: int, names: list[str]):
+        self.least, self.agreement, self.names = round(confidence * 1000), agreement, names
+        rows = {(a, n, s, f): c for a, n, s, f, c in dims.confidence_rows()}
+        self.table = rows
+
+    def run(self, batches):
+        import pyarrow as pa
+
+        image, found, steps, reason, none = None, {}, 0, None, True
+        for b in batches:
+            kind, out = b.column(0).type, []
+            for i, value, engine, form, payload, flat, w, ok, url in zip(*(b.column(c).to_pylist() for c in ("image_id", "value", "engine", "format", "payload", "flat", "w", "ok", "url"))):
+                if none or i != image:
+                    if not none:
+                        out.append((image, steps, reason or "variant_budget_exhausted"))
+                    image, found, steps, reason, none = i, {}, 0, None, False
+                if reason:
+                    continue
+                steps += 1
+                if payload:
+                    one = found.setdefault((flat, payload), {"order": len(found), "ok": dict(zip(dims.FORMATS, ok)), "url": url, "engines": set(), "n": 0, "w": {}})
+                    one["engines"].add(engine)
+                    one["n"] += 1
+                    if form != "UNKNOWN":
+                        one["w"][form] = one["w"].get(form, 0.0) + w
+                    one["now"] = self.candidate(one)
+                    reason = self.verdict([c["now"] for c in found.values()])
+            if out:
+                yield self.batch(out, kind, pa)
+        if not none:
+            yield self.batch([(image, steps, reason or "variant_budget_exhausted")], kind, pa)
+
+    def batch(self, rows, kind, pa):
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=self.names)
+
+    def candidate(self, c: dict) -> tuple:
+        """(rank, first seen, format, confidence, agreement, is a URL) of a candidate's state."""
+        form = max(c["w"], key=lambda f: c["w"][f] + {"EAN-13": 0.1, "EAN-8": 0.05}.get(f, 0.0), default="UNKNOWN")
+        retail, agreed = form in dims.RETAIL_FORMATS, len(c["engines"])
+        kind = ("gtin" if retail else "other") + ("_valid" if c["ok"][form] else "_invalid")
+        sure, url = self.table[min(agreed, 3), min(c["n"], 8), kind, form], form == "QR Code" and c["url"]
+        return -(10000 * retail + sure + 10 * min(c["n"], 12) - 400 * url), c["order"], form, sure, agreed, url
+
+    def verdict(self, all_: list[tuple]) -> str | None:
+        """Why the sweep may stop now, by its primary candidate; None if it may not."""
+        all_ = sorted(all_)
+        kept = [c for c in all_ if c[3] / 1000 >= all_[0][3] / 1000 * dims.RELATIVE_CUTOFF][: dims.MAX_RESULTS]
+        best = min(kept, key=lambda c: 0 if c[2] in dims.RETAIL_FORMATS and not c[5] else 1 if c[2] == "Code 128" else 2 if c[2] not in dims.TWO_D_FORMATS else 3)
+        if best[3] >= self.least:
+            return "confidence_target_reached"
+        return "multi_engine_agreement" if best[4] >= self.agreement and best[2] in dims.RETAIL_FORMATS else None
+
+
+def engine_attempts(obs: DataFrame) -> DataFrame:
+    """Of every engine and image: variants tried, detections and milliseconds to two digits."""
+    return obs.groupBy("image_id", "engine").agg(F.count_distinct("variant").alias("variants_tried"), F.count("*").alias("detections"), F.round(F.sum(F.col("decode_ms").cast("double")), 2).alias("total_ms"))
+
+
+def engine_scores(obs: DataFrame) -> DataFrame:
+    """image_id, payload, scores: every engine that saw a candidate with its own best score, null where it gives none."""
+    per = obs.withColumn("payload", F.trim("value")).filter("payload <> ''").groupBy("image_id", "payload", "engine").agg(F.max("engine_confidence").alias("confidence"))
+    return per.groupBy("image_id", "payload").agg(F.array_sort(F.collect_list(F.struct("engine", "confidence"))).alias("scores"))
+
+
+def image_class(values: Column, expected: Column) -> Column:
+    """miss without values; correct if any of them is the expected one, or none is expected; else incorrect."""
+    want = F.trim(F.coalesce(expected, F.lit("")))
+    return F.when(values.isNull() | (F.size(values) == 0), "miss").when((want == "") | F.array_contains(values, want), "correct").otherwise("incorrect")
+
+
+def detection_states(images: DataFrame, primaries: DataFrame, least: int = 500) -> DataFrame:
+    """state, value, usable, selection and key_kind of images (image_id, engines: how many looked).
+
+    Only a candidate of at least `least` thousandths counts as detected; only a retail code can be looked up.
     """
-    table = {(a, n, s, f): c for a, n, s, f, c in dims.confidence_rows()}
-
-    def fold(key, pdf):
-        import pandas as pd
-
-        rows = pdf.sort_values(["ord", "value", "engine"])[["value", "format", "engine"]].values.tolist()
-        found: dict[tuple, list] = {}
-        for k, (value, form, engine) in enumerate(rows, 1):
-            payload = value.strip()
-            if not payload:
-                continue
-            found.setdefault(("2D" if form in dims.FUSION_2D_FORMATS else "1D", payload), []).append((value, form, engine))
-            lead = leader_of(found, table)
-            if lead[1] >= confidence * 1000:
-                return pd.DataFrame([(key[0], k, "confidence_target_reached")], columns=["image_id", "steps", "reason"])
-            if lead[2] >= agreement and lead[0] in dims.RETAIL_FORMATS:
-                return pd.DataFrame([(key[0], k, "multi_engine_agreement")], columns=["image_id", "steps", "reason"])
-        return pd.DataFrame([(key[0], len(rows), "variant_budget_exhausted")], columns=["image_id", "steps", "reason"])
-
-    kind = obs.schema["image_id"].dataType.simpleString()
-    return obs.select("image_id", "ord", "value", "format", "engine").groupBy("image_id").applyInPandas(fold, f"image_id {kind}, steps int, reason string")
-
-
-def valid_payload(value: str, form: str) -> bool:
-    """The payload check for one value; what functions.formats says as an expression."""
-    n = {"EAN-13": 13, "EAN-8": 8, "UPC-A": 12}.get(form)
-    if n:
-        return len(value) == n and value.isascii() and value.isdigit() and sum(int(d) * (3 if i % 2 else 1) for i, d in enumerate(reversed(value))) % 10 == 0
-    if form == "UPC-E":
-        return len(value) == 7 and value[0] == "0" and value.isascii() and value.isdigit()
-    if form in dims.NUMERIC_FORMATS:
-        return len(value) >= 4 and all(" " <= c <= "~" for c in value)
-    if form == "Codabar":
-        body = value.strip("ABCDabcd")
-        return len(value) >= 4 and len(value) - len(body) <= 2 and bool(body) and all(c in "0123456789-$:/.+" for c in body)
-    return bool(value)
-
-
-def leader_of(found: dict[tuple, list], table: dict) -> tuple[str, int, int]:
-    """Format, confidence and agreement of the primary candidate of observations grouped by payload."""
-    out = []
-    for order, rows in enumerate(found.values()):
-        weight: dict[str, float] = {}
-        for value, form, _ in rows:
-            if form != "UNKNOWN":
-                ok = valid_payload(value, form)
-                weight[form] = weight.get(form, 0.0) + ((3.0 if ok else 1.0) if form in dims.RETAIL_FORMATS else 2.0 if ok else 0.5)
-        form = max(weight, key=lambda f: weight[f] + {"EAN-13": 0.1, "EAN-8": 0.05}.get(f, 0.0)) if weight else "UNKNOWN"
-        ok = valid_payload(rows[0][0], form)
-        kind = ("gtin" if form in dims.RETAIL_FORMATS else "other") + ("_valid" if ok else "_invalid")
-        agreement = len({e for _, _, e in rows})
-        c = table[min(agreement, 3), min(len(rows), 8), kind, form]
-        url = form == "QR Code" and rows[0][0].lower().startswith(("http://", "https://"))
-        out.append((-(10000 * (form in dims.RETAIL_FORMATS) + c + 10 * min(len(rows), 12) - 400 * url), order, form, c, agreement, url))
-    out.sort()
-    kept = [x for x in out if x[3] / 1000 >= out[0][3] / 1000 * dims.RELATIVE_CUTOFF][: dims.MAX_RESULTS]
-    tests = (lambda x: x[2] in dims.RETAIL_FORMATS and not x[5], lambda x: x[2] == "Code 128", lambda x: x[2] not in dims.TWO_D_FORMATS, lambda x: True)
-    best = next(x for t in tests for x in kept if t(x))
-    return best[2], best[3], best[4]
+    j = images.join(primaries, "image_id", "left")
+    tried, found = F.col("engines") > 0, F.col("value").isNotNull()
+    state = F.when(~tried, "not_attempted").when(~found, "no_barcode").when(F.coalesce(F.col("confidence") < least, F.lit(True)), "low_confidence").otherwise("detected")
+    url = fmt.is_url_payload(F.col("value"), F.col("format"))
+    names = F.array(*[F.lit(n) for n in ("retail_gtin", "code_128", "other_1d", "fallback_first")])
+    kind = F.when(found, F.when(url, "url").when(F.col("format").isin(dims.RETAIL_FORMATS), "gtin").otherwise("other"))
+    j = j.select("image_id", state.alias("state"), "value", F.when(tried, F.get(names, F.col("tier"))).alias("selection"), F.when(tried, kind).alias("key_kind"))
+    seen = F.col("state") == "detected"
+    return j.select("image_id", "state", F.when(seen, F.col("value")).alias("value"), (seen & (F.col("key_kind") == "gtin")).alias("usable"), "selection", "key_kind").fillna(False, ["usable"])
 
 
 def accuracy(primaries: DataFrame, truth: DataFrame) -> DataFrame:
