@@ -69,12 +69,14 @@ def test_files(spark, tmp_path):
 
 
 def test_sink(spark, tmp_path):
-    sink = race.record_sink(str(tmp_path / "store"))
-    a = spark.createDataFrame([("1", "x"), ("2", "y")], "id string, v string")
-    sink(a, 0)
-    sink(a, 0)
-    sink(spark.createDataFrame([("2", "y"), ("3", "z")], "id string, v string"), 1)
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["1", "2", "3"]
+    """Later batches put their rows in place of earlier ones; a replayed batch changes nothing."""
+    write = race.record_sink(str(tmp_path / "s"))
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, v string, timestamp bigint")
+    batches = [rows(("1", "old", 5), ("2", "a", 1), ("1", "older", 4)), rows(("1", "new", 3), ("3", "c", 1), ("3", "d", 1)), rows(("4", None, None))]
+    for k in (0, 1, 1, 2):
+        write(batches[k], k)
+    got = {r.id: r.v for r in race.stored_records(spark, str(tmp_path / "s")).collect()}
+    assert got == {"1": "new", "2": "a", "3": "d", "4": None}
 
 
 def test_kernels():

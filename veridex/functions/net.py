@@ -146,3 +146,9 @@ def host_listed(host: Column, hosts: tuple[str, ...]) -> Column:
 def redacted(url: Column) -> Column:
     """Scheme, host and path only."""
     return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.\-]*://)[^/?#@]*@", "$1")
+
+
+def addresses_reason(addresses: Column) -> Column:
+    """Why a host with these addresses is refused: it has none, or the first of them that is refused; null if all may pass."""
+    why = F.filter(F.transform(addresses, ip_reason), lambda r: r.isNotNull())
+    return F.when(addresses.isNull() | (F.size(addresses) == 0), "no address").otherwise(F.get(why, 0))

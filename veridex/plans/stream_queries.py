@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from veridex.plans.registry import query
+from veridex.shipping import shared_dir, ship
 from veridex.streaming import race
 
 
@@ -23,8 +23,9 @@ def _frames(spark, sf_dir, stream: bool):
 
 def _drained(spark, df, mode: str = "append"):
     """The stream's whole table, written below the checkpoint folder by the executors; a replayed batch changes nothing."""
+    ship(spark)
     name = f"t{uuid.uuid4().hex}"
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/")
+    shared = shared_dir(spark)
     table = f"{shared}/{name}-table"
     spark.createDataFrame([], df.schema).write.parquet(f"{table}/batch=-1")
 
@@ -36,7 +37,13 @@ def _drained(spark, df, mode: str = "append"):
     return spark.read.schema(df.schema).parquet(f"{table}/batch=*")
 
 
-@query()
+@query(
+    """WITH f AS (SELECT 'session-' || (user_id % 20) AS session_id, event_type AS engine, event_id AS frame_number, CASE WHEN event_id % 5 < 4 THEN '890' || ((event_id % 7) * (user_id % 3)) END AS value, event_id % 11 = 0 AS failed, CAST(floor(value) AS BIGINT) AS ms FROM events),
+l AS (SELECT *, last_value(CASE WHEN NOT failed THEN [value] END IGNORE NULLS) OVER (PARTITION BY session_id, engine ORDER BY frame_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)[1] AS last FROM f),
+k AS (SELECT *, CASE WHEN value = last THEN 'duplicate' WHEN NOT failed AND value IS NOT NULL THEN 'correct' ELSE 'miss' END AS classification FROM l),
+r AS (SELECT *, count(*) FILTER (classification <> 'duplicate') OVER w AS total_frames, count(*) FILTER (classification = 'correct') OVER w AS detections, list(ms) FILTER (value IS NOT NULL AND ms IS NOT NULL) OVER w AS lat FROM k WINDOW w AS (PARTITION BY session_id, engine ORDER BY frame_number))
+SELECT session_id, engine, frame_number, classification, classification <> 'duplicate' AS kept, total_frames, detections, CASE WHEN failed THEN last ELSE value END AS last_value, list_sort(lat[-2000:])[least(len(lat[-2000:]) - 1, len(lat[-2000:]) // 2) + 1] AS median_ms FROM r"""
+)
 def stream_race_state(spark, sf_dir):
     return _drained(spark, race.race(_frames(spark, sf_dir, True)))
 

@@ -6,6 +6,7 @@ engine, and dropped when no frame came for IDLE; event time bounds it.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,11 +46,15 @@ def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
     now = state.get if state.exists else (0, 0, None, [])
     now = (now[0], now[1], now[2], list(now[3]))
     rows = pd.concat(list(frames)).sort_values("frame_number")
-    out = []
+    out, ranked = [], sorted(now[3])
     for n, value, failed, ms in rows[["frame_number", "value", "failed", "latency_ms"]].itertuples(index=False):
+        had = now[3]
         now, kind, kept = step(now, (value if isinstance(value, str) else None, bool(failed), ms))
-        lat = sorted(now[3])
-        out.append((*key, int(n), kind, kept, now[0], now[1], now[2], lat[min(len(lat) - 1, len(lat) // 2)] if lat else None))
+        if now[3] is not had:
+            insort(ranked, now[3][-1])
+            if len(ranked) > len(now[3]):
+                ranked.pop(bisect_left(ranked, had[0]))
+        out.append((*key, int(n), kind, kept, now[0], now[1], now[2], ranked[min(len(ranked) - 1, len(ranked) // 2)] if ranked else None))
     state.update(now)
     latest = int(pd.to_datetime(rows["ts"]).max().timestamp() * 1000)
     state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_MS)
@@ -67,23 +72,30 @@ def limited(events: DataFrame, ts: str, client: Column, width: str, most: int, l
     return g.filter(F.col("n") > most).select(F.col("w.start").alias("window_start"), "client", "n")
 
 
-def record_sink(path: str, key: str = "id"):
-    """A foreachBatch function that upserts micro-batches into a Parquet table; a replayed batch changes nothing."""
+def record_sink(path: str, key: str = "id", order: str = "timestamp"):
+    """A foreachBatch function that stores micro-batches for stored_records; a replayed batch changes nothing.
+
+    Of a batch's rows with one key that of the greatest order stays. Batches are only added, so nothing stored is
+    read again.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = batch.dropDuplicates([key])
-        target = f"{path}/batch={number}"
-        jvm = spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
-            old = spark.read.parquet(path)
-            last = last.join(old.filter(F.col("batch") != number).select(key), key, "left_anti")
-        last.write.mode("overwrite").parquet(target)
+        latest_by(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
+def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of the greatest order of each key; of equal ones the greatest in its values."""
+    rank = F.struct(F.col(f"`{order}`"), *[F.col(f"`{c}`") for c in rows.columns if c not in (key, order)])
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), rank).alias("_row")).select("_row.*")
+
+
+def stored_records(spark, path: str, key: str = "id") -> DataFrame:
+    """What record_sink stored: the row of the latest batch of each key."""
+    return latest_by(spark.read.parquet(path), key, "batch").drop("batch")
+
+
 def latency_windows(frames: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Stream of latency statistics per engine in event-time windows."""
     return frames.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "engine").agg(F.count("latency_ms").alias("n"), F.sum("latency_ms").alias("total_ms"), F.max("latency_ms").alias("max_ms"))
