@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridex.raster import kernels
+from veridex.shipping import ship
 
 RASTER = "width int, height int, data binary"
 #: External decoders by name: raster -> list of (value, format). Registered by the caller; run where the pixels are.
@@ -30,6 +31,7 @@ def with_variants(rasters: DataFrame, names: list[str], key: str = "image_id") -
                     out = kernels.variant(img, n)
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], b.column(key).type), pa.array([n]), pa.array([out.shape[1]], pa.int32()), pa.array([out.shape[0]], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=[key, "variant", "width", "height", "data"])
 
+    ship(rasters.sparkSession)
     return rasters.select(key, "width", "height", "data").mapInArrow(run, f"{key} {kind}, variant string, {RASTER}")
 
 
@@ -42,6 +44,7 @@ def with_quality(rasters: DataFrame, key: str = "image_id") -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(cols[0], pa.string()), *[pa.array(c, pa.float64()) for c in cols[1:5]], pa.array(cols[5], pa.list_(pa.string()))], names=[key, "quality", "score", "brightness", "sharpness", "overexposure", "reasons"])
 
+    ship(rasters.sparkSession)
     return rasters.select(key, "width", "height", "data").mapInArrow(run, f"{key} {kind}, quality string, score double, brightness double, sharpness double, overexposure double, reasons array<string>")
 
 
@@ -64,6 +67,7 @@ def observations(rasters: DataFrame, decoders: dict | None = None, key: str = "i
                         rows.append((k, name, None, None, str(e)[:200]))
             yield pd.DataFrame(rows, columns=[key, "engine", "value", "format", "error"])
 
+    ship(rasters.sparkSession)
     return rasters.mapInPandas(run, f"{key} {kind}, engine string, value string, format string, error string")
 
 
@@ -91,9 +95,12 @@ def grey_from_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "em
         for b in batches:
             out = []
             for v in b.column(column).to_pylist():
-                g = (np.abs(np.array(v[: side * side])) * 255).astype(np.int64) % 256
+                if len(v) != side * side:
+                    raise ValueError(f"a vector of {len(v)} values doesn't fill {side} x {side} cells")
+                g = (np.abs(np.array(v)) * 255).astype(np.int64) % 256
                 out.append(kernels.upscale(kernels.from_plane(g.reshape(side, side)), scale).tobytes())
             n = pa.array([side * scale] * b.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(key), n, n, pa.array(out, pa.binary())], names=["image_id", "width", "height", "data"])
 
+    ship(vectors.sparkSession)
     return vectors.select(key, column).mapInArrow(run, f"image_id {kind}, {RASTER}")
