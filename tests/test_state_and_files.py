@@ -126,3 +126,13 @@ def test_streams_are_drained_to_files(spark):
     assert out.inputFiles() and out.count() == events.count()
     hours = stream_queries.stream_latency_windows(spark, data)
     assert hours.inputFiles() and hours.groupBy().sum("n").first()[0] == events.filter("value is not null").count()
+
+
+def test_manifest(spark, tmp_path):
+    import json
+
+    fixtures = [{"file": "a.png", "kind": "generated", "expect": {"barcode": "1", "mrp": {"amount": 5, "currency": "INR"}}}, {"file": "b.png", "kind": "upstream-photo", "note": "n"}]
+    (tmp_path / "m.json").write_text(json.dumps({"generated_by": "x", "fixtures": fixtures}, indent=1))
+    m = files.read_manifest(spark, f"file://{tmp_path}/m.json")
+    got = {r.file: r for r in files.with_expectations(spark.createDataFrame([("a.png", "1"), ("b.png", "2"), ("c.png", None)], "file string, value string"), m).collect()}
+    assert got["a.png"].expect.barcode == "1" and got["a.png"].expect.mrp.amount == 5 and got["b.png"].expect is None and got["c.png"].expect is None

@@ -166,6 +166,14 @@ SCANNERS = [
     ("YOLO / TensorFlow.js / MediaPipe / ONNX Runtime / PaddleOCR / EasyOCR / Tesseract pipelines", "CV/AI", "Mixed", False, False, "not_implemented"),
 ]
 
+# --- fixed values: what is shown for a state ---
+STATUS_LABELS = {
+    "available": "Available", "initializing": "Initializing", "running": "Running", "failed": "Failed", "license_required": "Requires SDK/license configuration", "browser_unsupported": "Not browser compatible",
+    "platform_unsupported": "Needs native/mobile environment", "deprecated": "Unsupported/deprecated", "not_implemented": "Not implemented",
+}
+RACE_LABELS = {"found": "FOUND", "processing": "...", "failed": "FAILED", "miss": "MISS"}
+CLASS_LABELS = {"correct": "CORRECT", "incorrect": "INCORRECT", "miss": "MISS"}
+
 
 def scanners(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(SCANNERS)], "ord int, name string, platform string, license string, one_d boolean, two_d boolean, status string")

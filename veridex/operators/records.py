@@ -190,3 +190,24 @@ def first_scale_hit(records: DataFrame, scales: list[int]) -> DataFrame:
     grid = records.select("id", "image_id", "variant", "engine", F.posexplode(F.array(*[F.lit(s) for s in scales])).alias("ord", "scale"))
     hit = (F.col("id") + F.col("scale")) % 3 == 0
     return grid.filter(hit).groupBy("id", "image_id", "variant", "engine").agg(F.min_by("scale", "ord").alias("scale"))
+
+
+def labelled(code: Column, labels: dict[str, str], otherwise: Column) -> Column:
+    """What is shown for a code; `otherwise` for one without a label."""
+    names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, code), otherwise)
+
+
+def race_states(frames: DataFrame) -> DataFrame:
+    """status (found, miss, failed) and last value of every session's engine after its last frame that is no repeat.
+
+    frames: session_id, engine, frame_number, value, failed. A repeat of the last value changes nothing; a failed frame
+    keeps the last value, a miss forgets it.
+    """
+    before = Window.partitionBy("session_id", "engine").orderBy("frame_number").rowsBetween(Window.unboundedPreceding, -1)
+    told = F.struct(F.when(~F.col("failed"), F.col("value")).alias("value"))
+    last = F.last(F.when(~F.col("failed"), told), ignorenulls=True).over(before)["value"]
+    f = frames.withColumn("_last", last).filter(~F.coalesce(F.col("value") == F.col("_last"), F.lit(False)))
+    status = F.when(F.col("failed"), "failed").when(F.col("value").isNotNull(), "found").otherwise("miss")
+    kept = F.when(F.col("failed"), F.col("_last")).otherwise(F.col("value"))
+    return f.groupBy("session_id", "engine").agg(F.max_by(F.struct(status.alias("status"), kept.alias("last_value")), "frame_number").alias("s")).select("session_id", "engine", "s.*")

@@ -71,13 +71,16 @@ def variant_plans(spark, sf_dir):
     return spark.createDataFrame(rows, "plan string, ord int, variant string")
 
 
-@query(f"SELECT t.tier, CAST(count(*) AS BIGINT) AS n FROM (VALUES {', '.join(f'({t!r}, {v!r})' for t, vs in dims.TIERS.items() for v in vs)}) t(tier, variant) GROUP BY t.tier")
+@query("SELECT tier, n::BIGINT AS n FROM (VALUES ('tier1', 4), ('tier2', 5), ('tier3', 7)) v(tier, n)")
 def tier_sizes(spark, sf_dir):
     rows = [(t, v) for t, vs in dims.TIERS.items() for v in vs]
     return spark.createDataFrame(rows, "tier string, variant string").groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT code, CAST(status AS INT) AS status, status IN (429) OR status >= 500 AS retryable FROM (VALUES {', '.join(f'({c!r}, {s})' for c, s in dims.ERROR_STATUS.items())}) v(code, status)")
+@query(
+    """SELECT * FROM (VALUES ('VALIDATION_ERROR', 400, false), ('INVALID_URL', 400, false), ('BLOCKED_URL', 400, false), ('UNSUPPORTED_SCHEME', 400, false), ('DOWNLOAD_FAILED', 502, true), ('DOWNLOAD_TIMEOUT', 504, true), ('DOWNLOAD_TOO_LARGE', 413, false),
+  ('UNSUPPORTED_MEDIA_TYPE', 415, false), ('INVALID_IMAGE', 400, false), ('IMAGE_TOO_LARGE', 413, false), ('UNAUTHORIZED', 401, false), ('RATE_LIMITED', 429, true), ('NOT_FOUND', 404, false), ('ANALYSIS_FAILED', 500, true), ('INTERNAL_ERROR', 500, true), ('SERVICE_UNAVAILABLE', 503, true)) v(code, status, retryable)"""
+)
 def error_codes(spark, sf_dir):
     e = spark.createDataFrame(list(dims.ERROR_STATUS.items()), "code string, status int")
     return e.withColumn("retryable", (F.col("status") == 429) | (F.col("status") >= 500))

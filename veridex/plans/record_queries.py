@@ -188,12 +188,13 @@ def upsert_latest(spark, sf_dir):
 _ENGINES = ", ".join(f"({i}, '{n}', '{s}')" for i, (n, *_, s) in enumerate(dims.SCANNERS))
 
 
-@query(f"SELECT CAST(ord AS INT) AS ord, name FROM (VALUES {_ENGINES}) v(ord, name, status) WHERE status = 'available' ORDER BY ord LIMIT 3")
+@query("SELECT * FROM (VALUES (0, 'ZXing'), (1, 'html5-qrcode'), (2, 'Quagga2')) v(ord, name)")
 def engine_plan(spark, sf_dir):
     return dims.scanners(spark).filter("status = 'available'").orderBy("ord").limit(3).select("ord", "name")
 
 
-@query(f"SELECT name, status FROM (VALUES {_ENGINES}) v(ord, name, status) WHERE contains(lower(name), 'zx')")
+@query("""SELECT * FROM (VALUES ('ZXing', 'available'), ('ZXing-C++', 'available'), ('ZXing Android Embedded / ZXing Android', 'platform_unsupported'), ('zxing-cpp Python bindings / Pyzxing', 'platform_unsupported'),
+  ('ZXing.Net (+ Windows/Maui bindings)', 'platform_unsupported')) v(name, status)""")
 def engine_search(spark, sf_dir):
     return dims.scanners(spark).filter(F.lower("name").contains("zx")).select("name", "status")
 
@@ -205,6 +206,23 @@ def engine_status_join(spark, sf_dir):
     return b.join(reg, F.lower("engine") == F.col("k"), "left").select("engine", F.coalesce("status", F.lit("unknown")).alias("status"), "n")
 
 
+@query("SELECT * FROM (VALUES ('Available', 6), ('Unsupported/deprecated', 3), ('Failed', 1), ('Requires SDK/license configuration', 6), ('Not implemented', 4), ('Needs native/mobile environment', 11)) v(label, n)")
+def engine_status_labels(spark, sf_dir):
+    shown = R.labelled(F.col("status"), dims.STATUS_LABELS, F.col("status"))
+    return dims.scanners(spark).groupBy(shown.alias("label")).agg(F.count("*").cast("int").alias("n"))
+
+
+@query(
+    """WITH l AS (SELECT *, last_value(CASE WHEN id % 11 <> 0 THEN [barcode_value] END IGNORE NULLS) OVER (PARTITION BY session_id, engine ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)[1] AS last FROM bench_records),
+s AS (SELECT session_id, engine, arg_max(CASE WHEN id % 11 = 0 THEN 'FAILED' WHEN barcode_value IS NOT NULL THEN 'FOUND' ELSE 'MISS' END, id) AS shown, arg_max([CASE WHEN id % 11 = 0 THEN last ELSE barcode_value END], id)[1] AS last_value FROM l WHERE barcode_value IS NULL OR last IS NULL OR barcode_value <> last GROUP BY ALL)
+SELECT * FROM s""",
+    V,
+)
+def race_states(spark, sf_dir):
+    frames = _bench(spark, sf_dir).select("session_id", "engine", F.col("id").alias("frame_number"), F.col("barcode_value").alias("value"), (F.col("id") % 11 == 0).alias("failed"))
+    return R.race_states(frames).select("session_id", "engine", R.labelled(F.col("status"), dims.RACE_LABELS, F.lit("idle")).alias("shown"), "last_value")
+
+
 @query(
     r"""SELECT id, CAST(id AS STRING) || ',' || session_id || ',' || CASE WHEN engine LIKE '%,%' THEN '"' || engine || '"' ELSE engine END || ',' || coalesce(barcode_value, '') || ',' || classification || ',' || coalesce(CAST(detection_time_ms AS STRING), '') || ',' || CASE WHEN success THEN 'true' ELSE 'false' END AS line FROM bench_records""",
     V,

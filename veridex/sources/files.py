@@ -72,3 +72,15 @@ def image_type(content: str) -> Column:
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Files that start like an image, with their type."""
     return spark.read.format("binaryFile").load(path).withColumn("image_type", image_type("content")).filter("image_type is not null")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A ground-truth manifest: one row per fixture with file, kind, note and what is expected of it (null if nothing)."""
+    expect = "struct<barcode string, format string, also_expects array<string>, net_quantity string, mrp struct<amount double, currency string>, fssai_license string, veg_marker string, ins_codes array<string>, allergen_candidates array<string>, nutrition_nutrients array<string>, ocr_text string>"
+    m = spark.read.schema(f"fixtures array<struct<file string, kind string, expect {expect}, note string>>").option("multiLine", True).json(path)
+    return m.select(F.inline("fixtures"))
+
+
+def with_expectations(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """found (file, ...) with what the manifest expects of each file; the manifest is looked up by file."""
+    return found.join(manifest.select("file", "expect"), "file", "left")
