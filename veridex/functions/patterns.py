@@ -96,44 +96,3 @@ def any_of(patterns: list[str], fold: bool = True) -> str:
     inner = [p[len(_LEFT) :] for p in made if p.startswith(_LEFT)]
     rest = [f"(?:{p})" for p in made if not p.startswith(_LEFT)]
     return ("(?i)" if fold else "") + "|".join([*([f"{_LEFT}(?:{'|'.join(inner)})"] if inner else []), *rest])
-
-
-def fragments(pattern: str) -> set[str] | None:
-    """Lower-cased strings of which every match has at least one; None if the pattern asks for no letters."""
-
-    def best(found: list[set[str]]) -> set[str] | None:
-        return max(found, key=lambda f: min(map(len, f)), default=None)
-
-    def of(nodes) -> set[str] | None:
-        found, run = [], ""
-        for op, arg in [*nodes, (None, None)]:
-            if op is not None and str(op) == "LITERAL":
-                run += chr(arg).lower()
-                continue
-            if op is not None and str(op) == "AT":
-                continue
-            if len(run) > 1:
-                found.append({run})
-            run = ""
-            inner = None
-            if str(op) == "SUBPATTERN":
-                inner = of(arg[-1])
-            elif str(op) in ("MAX_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
-                inner = of(arg[2])
-            elif str(op) == "BRANCH":
-                each = [of(b) for b in arg[1]]
-                inner = set().union(*each) if all(each) else None
-            if inner:
-                found.append(inner)
-        return best(found)
-
-    return of(list(re._parser.parse(pattern)))
-
-
-def quick(patterns: list[str]) -> list[str] | None:
-    """Fragments for any of the patterns, none within another; None if one pattern has none."""
-    each = [fragments(p) for p in patterns]
-    if not all(each):
-        return None
-    every = set().union(*each)
-    return sorted(f for f in every if not any(g != f and g in f for g in every))

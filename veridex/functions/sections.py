@@ -1,102 +1,71 @@
-"""Sections of a label as expressions over its lines: every line is tagged once for each kind, then slices are cut.
+"""Sections of a label. Lines are tagged with the headings of each kind, then slices between tags are cut.
 
 A section begins at a line with one of its kind's headings. It ends before a line that a stop pattern or, once there
 is some body, another heading fits, before two blank lines or a blank last line, and after the kind's most lines.
+The tagging is a small Python function over one text at a time: as expressions, some hundred patterns over every line
+took longer to plan than to run.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veridex.functions import patterns as P
-from veridex.functions.net import let
 
 SECTION = "struct<kind:string,heading:string,body:string,start_line:int,end_line:int>"
-
-
-def without_heading(line: Column, headings: list[str]) -> Column:
-    """The line without the heading match that ends farthest right; the first of those listed wins a tie."""
-
-    def match(k: int, p: str) -> Column:
-        start, n = F.regexp_instr(line, F.lit(P.java(p))), F.char_length(F.regexp_extract(line, P.java(p), 0))
-        return F.when(start > 0, F.struct((start + n).alias("stop"), F.lit(-k).alias("rank"), start.alias("start")))
-
-    best = F.array_max(F.array(*[match(k, p) for k, p in enumerate(headings)]))
-    return let(best, lambda m: F.when(m.isNull(), line).otherwise(F.concat(F.substr(line, F.lit(1), m["start"] - 1), F.substr(line, m["stop"]))))
+BLANK = " \t\n\r\x0b\x0c"
 
 
 def trimmed(s: Column) -> Column:
     """Without white space at both ends."""
-    return F.btrim(s, F.lit(" \t\n\r\x0b\x0c"))
-
-
-def _fits(line: Column, low: Column, patterns: list[str]) -> Column:
-    """Whether one of the patterns fits; fragments of the lower-cased line spare most lines the patterns."""
-    some = P.quick(patterns)
-    fits = line.rlike(P.any_of(patterns))
-    return fits if some is None else reduce(or_, [low.contains(f) for f in some]) & fits
-
-
-def _tagged(lines: Column, low: Column, kind: str) -> Column:
-    """struct of a kind's name, its lines' rests (null where no heading is) and stops, its most lines, and whether a heading alone will do."""
-    headings, stops, most = next(s[1:] for s in P.SECTIONS if s[0] == kind)
-    rest = F.transform(lines, lambda x, i: F.when(_fits(x, F.get(low, i), headings) & (trimmed(x) != ""), trimmed(without_heading(x, headings))))
-    stop = F.transform(lines, lambda x, i: _fits(x, F.get(low, i), stops) if stops else F.lit(False))
-
-    def tags(r: Column) -> Column:  # null if no line is a heading
-        return F.when(F.exists(r, lambda x: x.isNotNull()), F.struct(F.lit(kind).alias("kind"), r.alias("rest"), stop.alias("stop"), F.lit(most).alias("most"), F.lit(kind in P.DECLARATIONS).alias("alone")))
-
-    return let(rest, tags)
+    return F.btrim(s, F.lit(BLANK))
 
 
-def _cut(texts: Column, k: Column) -> Column:
-    """The first section of a tagged kind that has a body, or needs none; null if there is none."""
-    n = F.size(texts)
-    blank = lambda j: F.get(texts, j) == ""
-    headed = lambda j: F.get(k["rest"], j).isNotNull()
-
-    def from_line(i: Column) -> Column:
-        reach = F.least(n - 1, i + k["most"])
-        after = F.when(reach > i, F.sequence(i + 1, F.greatest(reach, i + 1))).otherwise(F.array().cast("array<int>"))
-        first = F.coalesce(F.array_min(F.filter(after, lambda j: ~blank(j))), n)
-        # once there is some body, another heading ends it: from the heading line itself, or after the first line
-        headings_end_after = F.when(F.get(k["rest"], i) != "", i).otherwise(first)
-
-        def between(b: Column) -> Column:
-            gap = lambda j: blank(j) & F.coalesce(blank(j + 1), F.lit(True))
-            ends = lambda j: gap(j) | (~blank(j) & (F.get(k["stop"], j) | (headed(j) & (j > b["from"]))))
-            stop = F.coalesce(F.array_min(F.filter(b["after"], ends)), b["reach"] + 1)
-            return let(stop, lambda e: F.filter(b["after"], lambda j: (j < e) & ~blank(j)))
-
-        inside = let(F.struct(after.alias("after"), reach.alias("reach"), headings_end_after.alias("from")), between)
-
-        def joined(js: Column) -> Column:
-            rest = F.filter(F.array(F.get(k["rest"], i)), lambda x: x != "")
-            return F.struct(F.array_join(F.concat(rest, F.transform(js, lambda j: F.get(texts, j))), "\n").alias("body"), i.alias("start"), F.coalesce(F.array_max(js), i).alias("end"))
-
-        return let(inside, joined)
-
-    starts = F.filter(F.sequence(F.lit(0), n - 1), headed)
-    first = F.get(F.filter(F.transform(starts, from_line), lambda s: k["alone"] | (s["body"] != "")), 0)
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
-    def named(s: Column) -> Column:
-        own = F.get(texts, s["start"])
-        heading = F.when(~k["alone"], own)
-        return F.when(s.isNotNull(), F.struct(k["kind"].alias("kind"), heading.alias("heading"), F.when(s["body"] == "", own).otherwise(s["body"]).alias("body"), s["start"].alias("start_line"), s["end"].alias("end_line"))).cast(SECTION)
 
-    return let(first, named)
+def _compiled(patterns: list[str]) -> re.Pattern:
+    return re.compile("|".join(f"(?:{p})" for p in patterns) or r"(?!)", re.I | re.A)
 
 
-def sections(lines: Column, kinds: list[str] | None = None) -> Column:
-    """array of SECTION: the first section of each kind, in the order of the kinds."""
-    tagged = let(F.transform(lines, F.lower), lambda low: F.array(*[_tagged(lines, low, k) for k in kinds or [s[0] for s in P.SECTIONS]]))
-    found = let(F.transform(lines, trimmed), lambda texts: F.transform(F.array_compact(tagged), lambda k: _cut(texts, k)))
-    return F.array_compact(found)
+_KINDS = [(kind, _compiled(heads), [re.compile(p, re.I | re.A) for p in heads], _compiled(stops), most) for kind, heads, stops, most in P.SECTIONS]
 
 
-def lines_of(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def rest_of(line: str, headings: list[re.Pattern]) -> str:
+    """The line without the heading match that ends farthest right; the first of those listed wins a tie."""
+    start, stop = max((m.span() for p in headings if (m := p.search(line))), key=lambda s: s[1])
+    return (line[:start] + line[stop:]).strip(BLANK)
+
+
+def found(text: str) -> list[dict]:
+    """The first section of each kind that has a body, or is a declaration of its own."""
+    lines = text.split("\n")
+    texts, n, out = [x.strip(BLANK) for x in lines], len(lines), []
+    for kind, head, headings, stop, most in _KINDS:
+        rests = {i: rest_of(x, headings) for i, x in enumerate(lines) if texts[i] and head.search(x)}
+        for i, rest in rests.items():
+            after = range(i + 1, min(n, i + most + 1))
+            since = i if rest else next((j for j in after if texts[j]), n)  # a heading beyond this line ends the section
+            ends = (j for j in after if (stop.search(lines[j]) or j in rests and j > since if texts[j] else not "".join(texts[j + 1 : j + 2])))
+            inside = [j for j in range(i + 1, next(ends, after.stop)) if texts[j]]
+            body = "\n".join([rest] * bool(rest) + [texts[j] for j in inside])
+            if body or kind in P.DECLARATIONS:
+                out.append({"kind": kind, "heading": None if kind in P.DECLARATIONS else texts[i], "body": body or texts[i], "start_line": i, "end_line": max(inside, default=i)})
+                break
+    return out
+
+
+def sections(text: Column) -> Column:
+    """array of SECTION: the first section of each kind, in the order of the kinds; null for null."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("heading", pa.string()), ("body", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))
+
+    @F.arrow_udf(f"array<{SECTION}>")
+    def read(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else found(t) for t in texts.to_pylist()], kind)
+
+    return read.asNondeterministic()(text)  # or Spark would put the call inside the expressions over its result

@@ -1,6 +1,7 @@
 """Structured records from label texts (doc_id, text). Nothing is invented: what is not read stays null.
 
-Every reading is an expression over one row, so a text is read once and never shuffled.
+Every reading is worked out within one row, so a text is read once and never shuffled. Python finds sections and takes
+nested parentheses apart; all else are expressions.
 """
 
 from __future__ import annotations
@@ -72,14 +73,15 @@ def corrections(texts: DataFrame) -> DataFrame:
 
 def found_sections(texts: DataFrame) -> DataFrame:
     """The first region of each kind: heading, body, first and last line."""
-    return _listed(texts, sections.sections(sections.lines_of(F.col("text"))), "kind")
+    ship(texts.sparkSession)
+    return _listed(texts.select("doc_id", sections.sections(F.col("text")).alias("s")), F.col("s"), "kind")
 
 
 def repaired(texts: DataFrame) -> DataFrame:
     """doc_id, the repaired text, its lines and its sections by kind."""
     t = texts.select("doc_id", T.normalised(F.coalesce("text", F.lit(""))).alias("normalized_text"))
-    t = t.withColumn("lines", sections.lines_of(F.col("normalized_text")))
-    return t.withColumn("sections", sections.sections(F.col("lines")))
+    ship(texts.sparkSession)
+    return t.select("*", sections.lines_of(F.col("normalized_text")).alias("lines"), sections.sections(F.col("normalized_text")).alias("sections"))
 
 
 def of_kind(kind: str) -> Column:
