@@ -39,3 +39,18 @@ def test_oracles(spark):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         assert rows(queries.queries()[name](spark, DATA).toPandas()) == rows(con.sql(sql).df()), name
+
+
+def test_awkward_rows(spark):
+    """Null and repeated ids, null, empty and equal texts go through every stage; clean rows stay once each, whole."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, "first text without an id, long enough to be told from the others by its words", "a"), (None, "second text without an id and with quite other words than those of the first one", "b"), (7, "one text under a repeated id that has nothing in common with the rest", "c"), (7, "another text under the same repeated id, about rivers, lamps and glass", "d"), (8, None, "e"), (9, "", "f"), (7, "one text under a repeated id that has nothing in common with the rest", "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").select("doc_id", "text", "lang", F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        want = {"a", "b", "c", "d", "e"} if name != "toxicity" else {"a", "b", "c", "d", "e", "f"}
+        got = sorted(r.lang for r in docs.collect())
+        assert set(got) == want and (name == "toxicity" or len(got) == len(want)), name
+    packed = corpus_pipeline.packing(spark, docs, DATA).collect()
+    assert sum(r.length for r in packed) == sum(n for n in {(r.doc_id, r.doc_tokens, r.ids_crc32): r.length for r in packed}.values())
