@@ -16,7 +16,7 @@ def _table(spark, sf_dir, name):
 @query(
     """WITH w AS (SELECT l_orderkey AS image_id, l_linenumber * 10 AS y0, l_linenumber * 10 + 8 AS y1, CASE WHEN l_linenumber = 5 THEN 0 ELSE floor(l_quantity) END AS c FROM lineitem), b AS (SELECT o_orderkey AS image_id, 10 * (o_orderkey % 3) AS y, 45 AS height FROM orders),
 g AS (SELECT b.image_id, count(c) AS n, sum(c) AS s, count(*) FILTER (y0 >= y AND y1 <= y + height) AS n_in, sum(c) FILTER (y0 >= y AND y1 <= y + height) AS s_in FROM b LEFT JOIN w USING (image_id) GROUP BY ALL)
-SELECT image_id, CASE WHEN n_in >= 3 THEN n_in ELSE n END AS words, CASE WHEN n > 0 THEN CAST(format('{:.2f}', CASE WHEN n_in >= 3 THEN s_in / n_in ELSE s / n END) AS DOUBLE) END AS confidence FROM g"""
+SELECT image_id, CASE WHEN n_in >= 3 THEN n_in ELSE n END AS words, CASE WHEN n_in >= 3 THEN (200 * CAST(s_in AS BIGINT) + n_in) // (2 * n_in) / 100e0 WHEN n > 0 THEN (200 * CAST(s AS BIGINT) + n) // (2 * n) / 100e0 END AS confidence FROM g"""
 )
 def word_confidence(spark, sf_dir):
     n = F.col("l_linenumber")
