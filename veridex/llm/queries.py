@@ -175,9 +175,47 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.llm.fill_middle import fill_middle, restored
+
+    done = fill_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS y,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+       WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b FROM k),
+p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1, n - b) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.llm.pivot_negatives import mined
+
+    return mined(_table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.w, b.w)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) <= 5
+"""
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op4_url_filter": op4_url_filter, "op5_packing": op5_packing, "op6_jaccard_forest": op6_jaccard_forest, "op7_warc": op7_warc, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_html_extraction": op10_html_extraction}
+    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op4_url_filter": op4_url_filter, "op5_packing": op5_packing, "op6_jaccard_forest": op6_jaccard_forest, "op7_warc": op7_warc, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_html_extraction": op10_html_extraction, "op12_fill_middle": op12_fill_middle, "op13_hard_negatives": op13_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_preference": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL, "op8_sharding": OP8_SQL}
+    return {"op3_chat_preference": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL, "op8_sharding": OP8_SQL, "op12_fill_middle": OP12_SQL, "op13_hard_negatives": OP13_SQL}
