@@ -131,15 +131,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a column of texts, lower-cased; runs of word bytes. All arrays are over words of all texts.
+    """Words of a column of texts, lower-cased unless told; runs of word bytes, or of those of another table. All arrays are over words of all texts.
 
     hash: 64 bits. start, end: byte positions in `data`. first: index of each text's first word, and the total.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, lower: bool = True, inside: np.ndarray = _WORD):
         self.data, self.off = raw(pc.utf8_lower(column) if lower else column)
         data, n = self.data, len(self.data)
-        self.is_word = inside = _WORD[data]
+        self.is_word = inside = inside[data]
         before = np.empty(n, bool)
         after = np.empty(n, bool)
         if n:

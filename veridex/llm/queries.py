@@ -175,6 +175,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veridex.llm.kneser_ney import judged, scored
+
+    done = judged(scored(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits", "lower", "upper")
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veridex.llm.fill_middle import fill_middle, restored
 
@@ -214,7 +221,7 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.sc
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op4_url_filter": op4_url_filter, "op5_packing": op5_packing, "op6_jaccard_forest": op6_jaccard_forest, "op7_warc": op7_warc, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_html_extraction": op10_html_extraction, "op12_fill_middle": op12_fill_middle, "op13_hard_negatives": op13_hard_negatives}
+    return {"op1_toxicity": op1_toxicity, "op2_fingerprints": op2_fingerprints, "op3_chat_preference": op3_chat_preference, "op4_url_filter": op4_url_filter, "op5_packing": op5_packing, "op6_jaccard_forest": op6_jaccard_forest, "op7_warc": op7_warc, "op8_sharding": op8_sharding, "op9_decontamination": op9_decontamination, "op10_html_extraction": op10_html_extraction, "op11_ngram_rules": op11_ngram_rules, "op12_fill_middle": op12_fill_middle, "op13_hard_negatives": op13_hard_negatives}
 
 
 def oracle_sql() -> dict[str, str]:
