@@ -9,14 +9,14 @@ the half that holds the rank. No step looks at single characters.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from veridex.llm.common import mapped, ship
+from veridex.llm.common import ship, slices
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 UNITS = ("char", "word", "line")
@@ -108,29 +108,33 @@ def arranged(text: str, key: str, percent: int = 90, suffix_first: int = 20, uni
 
 
 def fill_middle(docs: DataFrame, seed: str = "1", percent: int = 90, suffix_first: int = 20, unit: str = "char") -> DataFrame:
-    """docs (doc_id, text, ...) with n (units), form, prefix_<unit>s, middle_<unit>s and output; one row per row.
+    """docs (doc_id, text, ...) with output instead of text, and n (units), form, prefix_<unit>s, middle_<unit>s.
 
-    The draws of a row depend on the seed and its doc_id alone, so rows of equal ids and texts are equal. A null
-    text is empty, a null id reads as empty. Empty texts, texts that hold a mark, and those beyond `percent` stay
-    plain, with null counts. Columns of docs named like the new ones are replaced, others stay.
+    One row per row. The draws of a row depend on the seed and its doc_id alone, so rows of equal ids and texts are
+    equal. A null text is empty, a null id reads as empty. Empty texts, texts that hold a mark, and those beyond
+    `percent` stay plain, with null counts. restored() gives the text back. Columns of docs named like the new ones
+    are replaced, others stay.
     """
     ship(docs.sparkSession)
     if unit not in UNITS:
         raise ValueError(f"unit must be one of {UNITS}, not {unit}")
-    kinds = {"n": LongType(), "form": StringType(), f"prefix_{unit}s": LongType(), f"middle_{unit}s": LongType(), "output": StringType()}
-    new = StructType([StructField(k, t) for k, t in kinds.items()])
+    new = {"n": LongType(), "form": StringType(), f"prefix_{unit}s": LongType(), f"middle_{unit}s": LongType(), "output": StringType()}
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new])
+    stays = [f for f in docs.schema.fields if f.name.lower() != "text"]
+    names = [f.name for f in stays]
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        ids, texts = batch.column("doc_id").cast(pa.string()).to_pylist(), batch.column("text").to_pylist()
-        done = [arranged(t or "", f"{seed}:{'' if i is None else i}", percent, suffix_first, unit) for i, t in zip(ids, texts)]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-        return [pa.array(c, t) for c, t in zip(zip(*done), types)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            ids = b.column("doc_id").cast(pa.string()).to_pylist()
+            done = [arranged(t or "", f"{seed}:{'' if i is None else i}", percent, suffix_first, unit) for i, t in zip(ids, b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(c, t) for c, t in zip(zip(*done), types)], names=names + list(new))
 
-    return mapped(docs, run, new, "text")
+    return docs.mapInArrow(run, StructType(stays + [StructField(k, t) for k, t in new.items()]))
 
 
 def restored(output: Column, form: Column) -> Column:
-    """The text that an output was made of: its pieces between the marks, in their first order."""
-    pieces = F.split(output, "<[PSM]>", -1)
-    inner = F.when(form == "psm", F.concat(pieces[1], pieces[3], pieces[2])).otherwise(F.concat(pieces[2], pieces[3], pieces[1]))
-    return F.when(form == "plain", output).otherwise(inner)
+    """The text that an output was made of: what stands between its marks, in the first order."""
+    after, upto = lambda mark: F.substring_index(output, mark, -1), lambda c, mark: F.substring_index(c, mark, 1)
+    prefix, suffix = upto(upto(after(PREFIX), SUFFIX), MIDDLE), upto(upto(after(SUFFIX), PREFIX), MIDDLE)
+    return F.when(form == "plain", output).otherwise(F.concat(prefix, after(MIDDLE), suffix))
