@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,8 +27,14 @@ def ship(spark: SparkSession) -> None:
     shipping.ship(spark)
 
 
+#: Names of the folders that this process has made.
+_made: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shipping.shared_dir(spark)}/veridex/{name}-{uuid.uuid4().hex}"
+    folder = f"{name}-{uuid.uuid4().hex}"
+    _made.add(folder)
+    return f"{shipping.shared_dir(spark)}/veridex/{folder}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,7 +49,7 @@ def removed(spark: SparkSession, df: DataFrame | None) -> None:
     """Delete the tables made by written() that df is read from, once no later plan reads them; others stay."""
     jvm = spark._jvm
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
-        if re.search(r"/veridex/[^/]+-[0-9a-f]{32}$", parent):
+        if parent.rpartition("/veridex/")[2] in _made:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -34,6 +34,8 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, Strin
 from veridex.llm.common import Words, fresh_path, lists, mix, partitions, removed, ship, slices, written
 
 BLOCK_WORDS = 1 << 21
+#: Words that are scored at a time.
+STEP_WORDS = 1 << 17
 #: Bytes of text for each range of hashes, of which one task holds what all blocks have.
 RANGE_BYTES = 24 << 20
 WINDOW = 5
@@ -139,7 +141,7 @@ def _seeded(hashes: np.ndarray, slots: np.ndarray, bits: int) -> np.ndarray:
         return mix(hashes + slots.astype(np.uint64) * _START) >> np.uint64(64 - bits)
 
 
-def _packed(docs: DataFrame, word_bits: int) -> DataFrame:
+def _packed(docs: DataFrame, word_bits: int, block_words: int) -> DataFrame:
     """Blocks of documents: their ids, languages and rules, and their words as ranks in sorted keys.
 
     Each text begins with a mark of its language, which is a word of the block.
@@ -173,9 +175,9 @@ def _packed(docs: DataFrame, word_bits: int) -> DataFrame:
             of = np.repeat(slot, w.counts)
             keys = np.insert(_seeded(w.hash, of, word_bits), w.first[:-1], _seeded(np.full(len(slot), _ODD), slot, word_bits))
             whole = _seeded(w.span(w.off[:-1], w.off[1:]), slot, 64)
-            parts.append((b.column("doc_id"), langs, rules(w), keys, np.insert(of, w.first[:-1], slot), whole))
+            parts.append((b.column("doc_id"), langs, rules(w), keys, np.insert(of, w.first[:-1], slot).astype(np.uint16), whole))
             have += len(keys)
-            if have >= BLOCK_WORDS:
+            if have >= block_words:
                 yield row(block, parts)
                 block, parts, have = block + 1, [], 0
         if parts:
@@ -200,11 +202,13 @@ class Block:
         n = self.rules[:, 0]
         inner = np.ones(len(words), bool)
         inner[np.cumsum(n + 1) - n - 1] = False  # the marks
+        words = words.astype(np.int32)
         self.word, self.before = words[inner], words[:-1][inner[1:]]
         with np.errstate(over="ignore"):
             pair = mix(self.keys[self.before] * _ODD + self.keys[self.word]) >> np.uint64(64 - bits)
         texts = np.frombuffer(row["texts"], "<u8").astype(np.uint64) >> np.uint64(64 - bits)
         self.counted, self.first, at = np.unique(np.concatenate([pair, texts]), return_index=True, return_inverse=True)
+        at = at.astype(np.int32)
         self.at, self.text = at[: len(pair)], at[len(pair) :]
 
 
@@ -288,7 +292,7 @@ def _taken(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 def _within(docs: np.ndarray, things: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, thing): first place, each one's place among them, and how often."""
-    _, first, at, n = np.unique(docs * (int(things.max(initial=0)) + 1) + things, return_index=True, return_inverse=True, return_counts=True)
+    _, first, at, n = np.unique(docs.astype(np.int64) * (int(things.max(initial=0)) + 1) + things, return_index=True, return_inverse=True, return_counts=True)
     return first, at, n
 
 
@@ -303,13 +307,24 @@ def bits_of(b: Block, total: np.ndarray, words: np.ndarray, model: dict[int, lis
     low = np.array([discounts(*model[int(s)][4:8]) for s in here]).reshape(len(here), 3)
     rest = (low * np.stack([sums[:, 4], sums[:, 5], sums[:, 9] - sums[:, 4] - sums[:, 5]], axis=1)).sum(axis=1) / np.maximum(sums[:, 8], 1)
     continuations, vocabulary, rest, low = sums[place, 8], sums[place, 9], rest[place], low[place]
+    ends = np.cumsum(b.rules[:, 0])
+    out = np.empty(len(b.word))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(STEP_WORDS, len(b.word), STEP_WORDS), side="right"), [len(ends)]])).tolist()
+    for low_doc, high_doc in zip(cuts[:-1], cuts[1:]):  # documents of some hundred thousand words at a time
+        s = slice(int(ends[low_doc - 1]) if low_doc else 0, int(ends[high_doc - 1]))
+        doc = np.repeat(np.arange(high_doc - low_doc), b.rules[low_doc:high_doc, 0])
+        out[s] = _step_bits(b.at[s], b.before[s], b.word[s], doc, total[b.text[low_doc:high_doc]], total, words, (high, low, continuations, vocabulary, rest))
+    return out
+
+
+def _step_bits(pairs: np.ndarray, befores: np.ndarray, followers: np.ndarray, doc: np.ndarray, copies: np.ndarray, total: np.ndarray, words: np.ndarray, shares: tuple) -> np.ndarray:
+    high, low, continuations, vocabulary, rest = shares
     before, one, two, more, after = words
-    doc = np.repeat(np.arange(len(b.ids)), b.rules[:, 0])
     # distinct pairs of each document, what it and its copies add to them, and what is left of them without it
-    pair, at, n = _within(doc, b.at)
-    u, v, d = b.before[pair], b.word[pair], doc[pair]
-    have = total[b.at[pair]]
-    own = n * total[b.text][d]
+    pair, at, n = _within(doc, pairs)
+    u, v, d = befores[pair], followers[pair], doc[pair]
+    have = total[pairs[pair]]
+    own = n * copies[d]
     left = have - own
     gone = left == 0
     # its contexts
@@ -323,7 +338,7 @@ def bits_of(b: Block, total: np.ndarray, words: np.ndarray, model: dict[int, lis
     follower, at_word, _ = _within(d, v)
     vw = v[follower]
     known = (after[vw] - np.bincount(at_word, weights=gone, minlength=len(follower))).astype(np.int64)
-    all_left = np.maximum(continuations[vw] - np.bincount(d, weights=gone, minlength=len(b.ids))[d[follower]], 1)
+    all_left = np.maximum(continuations[vw] - np.bincount(d, weights=gone, minlength=len(copies))[d[follower]], 1)
     lower = np.maximum(known - _taken(known, low[vw]), 0) / all_left + rest[vw] / np.maximum(vocabulary[vw], 1)
     p = np.where(stands[of] > 0, np.maximum(left - _taken(left, high[u]), 0) / np.maximum(stands[of], 1), 0.0) + weight[of] * lower[at_word]
     return -np.log2(p)[at]
@@ -337,7 +352,7 @@ def _bucketed(df: DataFrame, name: str) -> str:
     return path
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, lang, FEATURES and bits (mean -log2 probability of a word, null without words) of each row of docs (doc_id, text, lang).
 
     Perplexity is 2 ** bits. The model is of all rows. Null texts are empty, a null lang is a language of its own
@@ -354,7 +369,7 @@ def scored(docs: DataFrame) -> DataFrame:
     before = spark.conf.get(tidy, None)
     spark.conf.set(tidy, "true")
     name = f"veridex_blocks_{uuid.uuid4().hex}"
-    path = _bucketed(_packed(docs, word_bits), name)
+    path = _bucketed(_packed(docs, word_bits, block_words), name)
     table = spark.table(name)
 
     def pairs(batches):
@@ -396,7 +411,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
     told = first.unionByName(second.filter("block is not null"))
     done = written(table.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(scores, schema), "ngram-scores")
-    for old in (first, second, spark.read.parquet(path)):
+    for old in (first, second, spark.read.schema(table.schema).parquet(path)):
         removed(spark, old)
     spark.sql(f"DROP TABLE {name}")
     spark.conf.unset(tidy) if before is None else spark.conf.set(tidy, before)
