@@ -43,14 +43,14 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def packed(rows: DataFrame, width: int, pivots: np.ndarray, longest: float) -> DataFrame:
+def packed(rows: DataFrame, width: int, pivots: np.ndarray, longest: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The pivot table: blocks of rows (id, label, values) with their distances to the pivots."""
     own, rest = np.ascontiguousarray(pivots, np.float64), np.sqrt(np.maximum(longest - _squares(pivots), 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, BLOCK_ROWS):
-                part = b.slice(k, BLOCK_ROWS)
+            for k in range(0, b.num_rows, block_rows):
+                part = b.slice(k, block_rows)
                 x = _matrix(part.column("values"), width)
                 square = 2 * longest - 2 * (x @ own.T + np.sqrt(np.maximum(longest - _squares(x), 0))[:, None] * rest)
                 near = np.argmin(square, axis=1) if len(own) else np.zeros(len(x), np.int64)
@@ -170,6 +170,8 @@ def _negatives(table: DataFrame, anchors: Anchors, width: int, k: int, positives
     by = np.argsort(owner, kind="stable")
     begin, end = np.searchsorted(owner[by], np.arange(len(anchors.ids))), np.searchsorted(owner[by], np.arange(len(anchors.ids)), side="right")
     most = int((end - begin).max(initial=0))
+    whole = lambda values: np.array([min(max(v, -(2**63)), 2**63 - 1) for v in values], np.int64)
+    from_, to = whole(-(-low_percent * int(s) // 100) for s in score_of), whole(high_percent * int(s) // 100 for s in score_of)
 
     def run(batches):
         best = Best(len(owner), k)
@@ -182,10 +184,9 @@ def _negatives(table: DataFrame, anchors: Anchors, width: int, k: int, positives
                 for j in range(most):
                     has = np.flatnonzero(begin[which] + j < end[which])
                     q = by[begin[which[has]] + j]
-                    least, top = low_percent * score_of[q] / 100, high_percent * score_of[q] / 100
-                    sure = other[has] & (high[has] <= top[:, None]) & (low[has] >= least[:, None])
-                    bar = np.maximum(np.maximum(best.least[q], least), _kth(np.where(sure, low[has], -np.inf), k))
-                    wanted[has] |= other[has] & (high[has] >= bar[:, None]) & (low[has] <= top[:, None])
+                    sure = other[has] & (high[has] <= to[q, None]) & (low[has] >= from_[q, None])
+                    bar = np.maximum(np.maximum(best.least[q], from_[q]), _kth(np.where(sure, low[has], -np.inf), k))
+                    wanted[has] |= other[has] & (high[has] >= bar[:, None]) & (low[has] <= to[q, None])
                     open_to.append((has, q))
                 a, x, score = anchors.products(which, values, wanted)
                 for has, q in open_to:
@@ -193,7 +194,7 @@ def _negatives(table: DataFrame, anchors: Anchors, width: int, k: int, positives
                     place[has] = q
                     s = place[a]
                     ok = s >= 0
-                    ok[ok] = (low_percent * score_of[s[ok]] <= 100 * score[ok]) & (100 * score[ok] <= high_percent * score_of[s[ok]]) & (score[ok] >= best.least[s[ok]])
+                    ok[ok] = (from_[s[ok]] <= score[ok]) & (score[ok] <= to[s[ok]]) & (score[ok] >= best.least[s[ok]])
                     best.add(s[ok], score[ok], ids[x[ok]])
         yield _sent(best, anchors, part, owner, (pid, score_of))
 
@@ -205,7 +206,7 @@ def _ranked(df: DataFrame, keys: list[str], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 5, low_percent: int = 80, high_percent: int = 100, pivots: int = PIVOTS) -> DataFrame:
+def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 5, low_percent: int = 80, high_percent: int = 100, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for each row that `anchor` holds for.
 
     rows: id bigint, label int, values array<bigint>. Scores are inner products, which must fit in a bigint;
@@ -226,8 +227,8 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     digest = F.xxhash64("values")  # a pivot for each class of digests, so that pivots differ
     chosen = rows.groupBy(F.pmod(digest, F.lit(pivots)).alias("k")).agg(F.min_by("values", digest).alias("values")).orderBy("k").collect()
     points = np.array([list(r["values"]) + [0] * (width - len(r["values"])) for r in chosen], np.int64).reshape(len(chosen), width)
-    table = written(packed(rows, width, points, longest), "pivot-table")
-    asked = written(packed(rows.filter("anchor"), width, points, longest).select(F.monotonically_increasing_id().alias("block"), "*"), "anchors")
+    table = written(packed(rows, width, points, longest, block_rows), "pivot-table")
+    asked = written(packed(rows.filter("anchor"), width, points, longest, block_rows).select(F.monotonically_increasing_id().alias("block"), "*"), "anchors")
     sizes = asked.select("block", (F.octet_length("ids") / 8).cast("bigint").alias("n")).orderBy("block").collect()
     done, group, first = [], [], 0
     path = fresh_path(spark, "hard-negatives")
