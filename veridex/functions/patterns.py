@@ -28,7 +28,7 @@ BRAND = r"\b(?:brand|branded\s+by|packed\s+by|marketed\s+by|produced\s+by)\b\s*[
 # --- fixed values: lines that are no product's name ---
 LEGAL_NOISE = [
     r"\b(?:fssai|lic\.?\s*no|licence|license|batch|b\/?no|mfg|manufactured|packed|marketed|use\s+by|best\s+before|store|keep|refrigerat|copyright|all\s+rights|www\.|http|email|phone|toll|customer\s+care)\b",
-    r"\b(?:co-?operative|limited|private|pvt\.?|ltd\.?|industries|enterprises|company|agro)\b",
+    r"\b(?:co-?operative|limited|private|pvt\.?|ltd\.?|industries|enterprises|company|agro|industries)\b",
     r"^\s*[\d\s.,%+/()-]+$",
     r"\b(?:contains|ingredients|nutrition|allergen|coa|product|packed|net|mrp)\b",
     r"\b\d{6,}\b",

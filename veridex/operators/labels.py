@@ -57,7 +57,8 @@ def nutrition_confidence(texts: DataFrame) -> DataFrame:
     """
     basis = F.col("text").rlike(P.java(P.BASIS))
     names = F.array_distinct(F.transform(T.nutrition_values(F.col("text")), lambda v: v["nutrient"]))
-    rows = texts.select("doc_id", basis.alias("b"), names.alias("names")).filter("size(names) > 0")
+    # through a generator, or the filter would read all lines a second time
+    rows = texts.select("doc_id", F.inline(F.array(F.struct(basis.alias("b"), names.alias("names"))))).filter("size(names) > 0")
     n, energy = F.size("names"), F.array_contains("names", "energy")
     score = F.when(F.col("b"), 1.0).otherwise(0.5) * 0.2 + F.least(F.lit(1.0), n / 8.0) * 0.3 + F.when(energy, 1.0).otherwise(0.4) * 0.2 + F.lit(0.5 * 0.3)
     return rows.select("doc_id", n.cast("bigint").alias("n"), F.round(fixed(score) * 1000).cast("int").alias("confidence"))
@@ -97,20 +98,37 @@ def whole(section: Column) -> Column:
 # --- ingredients and product ---
 
 
+def _with_list(read: DataFrame) -> DataFrame:
+    """Adds the ingredient section, its text and where in it a statement of cross-contamination begins."""
+    read = read.withColumn("ingredient_section", F.coalesce(of_kind("ingredients"), of_kind("ingredients_continued")))
+    read = read.withColumn("_text", I.section_text(whole(F.col("ingredient_section"))))
+    return read.withColumn("_start", I.statement_start(F.col("_text")))
+
+
 def with_ingredients(read: DataFrame) -> DataFrame:
     """Adds the ingredient section, its items as a flat tree and a statement of cross-contamination."""
     ship(read.sparkSession)
-    read = read.withColumn("ingredient_section", F.coalesce(of_kind("ingredients"), of_kind("ingredients_continued")))
-    read = read.withColumn("_text", I.section_text(whole(F.col("ingredient_section"))))
-    read = read.withColumn("_start", I.statement_start(F.col("_text")))
+    read = _with_list(read)
     read = read.withColumn("_nodes", I.split_items(I.listed(F.col("_text"), F.col("_start"))))
     read = read.withColumns({"statement": I.statement(F.col("_text"), F.col("_start")), "items": I.read_items(F.col("_nodes"))})
     return read.drop("_text", "_start", "_nodes")
 
 
+def ingredient_rows(texts: DataFrame) -> DataFrame:
+    """doc_id, path, raw, head, heads and error of the items of every text's ingredient list, by the table function."""
+    ship(texts.sparkSession)
+    return I.item_rows(_with_list(repaired(texts)).select("doc_id", I.listed(F.col("_text"), F.col("_start")).alias("list")))
+
+
 def ingredient_items(texts: DataFrame) -> DataFrame:
-    """Ingredients as a flat tree: path holds the positions from the root, parents come before children."""
-    return _listed(with_ingredients(repaired(texts)), F.col("items"), "path")
+    """Ingredients as rows of a flat tree: path holds the positions from the root, parents come before children."""
+    rows = ingredient_rows(texts).filter("path is not null")
+    return rows.select("doc_id", "path", (F.size("path") - 1).alias("depth"), "raw", *[c.alias(k) for k, c in I.item_fields(F.col("raw"), F.col("heads")).items()])
+
+
+def ingredient_errors(texts: DataFrame) -> DataFrame:
+    """doc_id and error of the texts whose ingredient list could not be read whole."""
+    return ingredient_rows(texts).filter("error is not null").select("doc_id", "error")
 
 
 def ingredient_confidence(texts: DataFrame) -> DataFrame:
