@@ -1,6 +1,7 @@
 """Streams against folds, cache replay, files and raster kernels against plain loops."""
 
 import os
+import time
 
 import numpy as np
 import pytest
@@ -28,6 +29,30 @@ def test_stream_equals_fold(spark):
         assert (g.classification, g.kept, g.total_frames, g.last_value) == (kind, kept, state[k][0], state[k][2])
 
 
+def test_race_over_many_batches(spark, tmp_path, monkeypatch):
+    """A file a batch: the ring keeps its last latencies only, a long pause drops the state, frames of a batch may come in any order."""
+    frames = [("s", "e", k, 5_000 + 1_000 * k, ["a", "a", "b", None][k % 4], k % 7 == 6, float(k % 50)) for k in range(3000)]
+    frames += [("s", "e", 3000 + k, 40_000_000 + k, "z", False, 5.0) for k in range(20)] + [("t", "e", 1, 40_000_500, None, False, None)]
+    frames += [("u", "e", 1, 60_000_000, "x", False, 1.0), ("t", "e", 2, 60_000_050, "y", False, 1.0), ("s", "e", 4000, 60_000_100, "z", False, 2.0)]
+    schema = "session_id string, engine string, frame_number long, at long, value string, failed boolean, latency_ms double"
+    cuts = [0, 900, 1800, 3000, 3021, 3022, 3024]  # the batch of u moves the watermark past the others' timers
+    src = str(tmp_path / "in")
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        spark.createDataFrame(frames[a:b][::-1], schema).selectExpr("session_id", "engine", "frame_number", "timestamp_millis(at) AS ts", "value", "failed", "latency_ms").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files are taken in by their time
+    stream = spark.readStream.schema("session_id string, engine string, frame_number long, ts timestamp, value string, failed boolean, latency_ms double").option("maxFilesPerTrigger", 1).parquet(src)
+    got = {(r.session_id, r.frame_number): r for r in stream_queries._drained(spark, race.race(stream, "1 second")).collect()}
+    assert len(got) == len(frames) and "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    state = {}
+    for s, _, n, at, value, failed, ms in frames:
+        if n == 4000 or (s, n) == ("t", 2):
+            state.pop(s, None)  # idle for more than an hour of event time
+        state[s], kind, kept = race.step(state.get(s, (0, 0, None, [])), (value, failed, ms))
+        g, ranked = got[s, n], sorted(state[s][3])
+        assert (g.classification, g.kept, g.total_frames, g.detections, g.last_value, g.median_ms) == (kind, kept, *state[s][:3], ranked[min(len(ranked) - 1, len(ranked) // 2)] if ranked else None), n
+    assert len(state["s"][3]) == 1
+
+
 def test_step():
     s = (0, 0, None, [])
     s, kind, kept = race.step(s, ("a", False, 10.4))

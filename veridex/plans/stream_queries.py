@@ -16,7 +16,7 @@ def _frames(spark, sf_dir, stream: bool):
     e = spark.read.parquet(path)
     if stream:
         folder, name = path.rsplit("/", 1)
-        e = spark.readStream.schema(e.schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
+        e = spark.readStream.schema(e.schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(f"{folder}/{name}*")
     value = F.when(F.col("event_id") % 5 < 4, F.concat(F.lit("890"), ((F.col("event_id") % 7) * (F.col("user_id") % 3)).cast("string")))
     return e.select(F.concat(F.lit("session-"), (F.col("user_id") % 20).cast("string")).alias("session_id"), F.col("event_type").alias("engine"), F.col("event_id").alias("frame_number"), F.col("ts").cast("timestamp").alias("ts"), value.alias("value"), (F.col("event_id") % 11 == 0).alias("failed"), F.floor("value").cast("double").alias("latency_ms"))
 

@@ -12,12 +12,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 LATENCIES = 2000
 IDLE_MS = 3_600_000
 OUT = "session_id string, engine string, frame_number long, classification string, kept boolean, total_frames long, detections long, last_value string, median_ms long"
-STATE = "total_frames long, detections long, last_value string, latencies array<long>"
+#: Rows of a frame of output.
+OUT_ROWS = 10_000
 
 
 def step(state: tuple, frame: tuple, expected: str | None = None) -> tuple[tuple, str, bool]:
@@ -39,31 +40,69 @@ def step(state: tuple, frame: tuple, expected: str | None = None) -> tuple[tuple
     return (total + 1, hits, None, lat), "miss", True
 
 
-def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    now = state.get if state.exists else (0, 0, None, [])
-    now = (now[0], now[1], now[2], list(now[3]))
-    rows = pd.concat(list(frames)).sort_values("frame_number")
-    out, ranked = [], sorted(now[3])
-    for n, value, failed, ms in rows[["frame_number", "value", "failed", "latency_ms"]].itertuples(index=False):
-        had = now[3]
-        now, kind, kept = step(now, (value if isinstance(value, str) else None, bool(failed), ms))
-        if now[3] is not had:
-            insort(ranked, now[3][-1])
-            if len(ranked) > len(now[3]):
-                ranked.pop(bisect_left(ranked, had[0]))
-        out.append((*key, int(n), kind, kept, now[0], now[1], now[2], ranked[min(len(ranked) - 1, len(ranked) // 2)] if ranked else None))
-    state.update(now)
-    latest = int(pd.to_datetime(rows["ts"]).max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + IDLE_MS)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"median_ms": "Int64"})
+class Race(StatefulProcessor):
+    """Keeps a value (counts and last value) and a ring of the last LATENCIES latencies of a session's engine.
+
+    State is written once for each key and batch. Of a batch's frames of one key only the four fields that count are
+    held, to put them in order: as much as a trigger takes in (see `race`). A timer of event time drops the state
+    when no frame came for IDLE_MS.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "total_frames long, detections long, last_value string")
+        self.ring = handle.getListState("latencies", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        latest, frames = 0, []
+        for part in rows:
+            latest = max(latest, int(pd.to_datetime(part["ts"]).max().timestamp() * 1000))
+            frames += part[["frame_number", "value", "failed", "latency_ms"]].itertuples(index=False, name=None)
+        frames.sort(key=lambda f: f[0])
+        due = list(self.handle.listTimers())
+        if any(t <= timerValues.getCurrentWatermarkInMs() for t in due):  # frames come before timers of the same batch
+            self.now.clear()
+            self.ring.clear()
+        before = [x[0] for x in self.ring.get()]
+        state = (*(self.now.get() if self.now.exists() else (0, 0, None)), before)
+        out, ranked = [], sorted(before)
+        for n, value, failed, ms in frames:
+            had = state[3]
+            state, kind, kept = step(state, (value if isinstance(value, str) else None, bool(failed), ms))
+            if state[3] is not had:
+                insort(ranked, state[3][-1])
+                if len(ranked) > len(state[3]):
+                    ranked.pop(bisect_left(ranked, had[0]))
+            out.append((*key, int(n), kind, kept, *state[:3], ranked[min(len(ranked) - 1, len(ranked) // 2)] if ranked else None))
+        self.now.update(state[:3])
+        if state[3] is not before:
+            self.ring.put([(int(x),) for x in state[3]])
+        for t in due:
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + IDLE_MS)
+        names = [c.split()[0] for c in OUT.split(", ")]
+        for k in range(0, len(out), OUT_ROWS):
+            yield pd.DataFrame(out[k : k + OUT_ROWS], columns=names).astype({"median_ms": "Int64"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.now.clear()
+        self.ring.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def race(frames: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Stream of frames to classified frames with the running state of their session's engine."""
-    return frames.withWatermark("ts", late).groupBy("session_id", "engine").applyInPandasWithState(fold, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    """Stream of frames to classified frames with the running state of their session's engine.
+
+    State lives in RocksDB, which the session is set to unless it has another store already. Let the source take in
+    a bounded number of files or bytes at each trigger (maxFilesPerTrigger, maxBytesPerTrigger).
+    """
+    conf, store = frames.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    if "HDFSBacked" in conf.get(store, "HDFSBacked"):
+        conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return frames.withWatermark("ts", late).groupBy("session_id", "engine").transformWithStateInPandas(Race(), OUT, "Append", "EventTime")
 
 
 def limited(events: DataFrame, ts: str, client: Column, width: str, most: int, late: str = "10 minutes") -> DataFrame:
