@@ -100,6 +100,11 @@ def ip_reason(ip: Column) -> Column:
     return F.when(ip.contains(":"), let(ipv6_words(ip), rules)).otherwise(ipv4_reason(ipv4_number(ip)))
 
 
+def is_ip_literal(host: Column) -> Column:
+    """Whether a host is a bare address; false for null."""
+    return F.coalesce(F.when(host.contains(":"), ipv6_words(host).isNotNull()).otherwise(ipv4_number(host).isNotNull()), F.lit(False))
+
+
 def url_parts(url: Column) -> dict[str, Column]:
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
     host = F.regexp_replace(F.regexp_replace(rest, "^.*@", ""), r":\d*$", "")

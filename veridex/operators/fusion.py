@@ -222,3 +222,22 @@ def accuracy(primaries: DataFrame, truth: DataFrame) -> DataFrame:
     """How often the primary candidate is the expected payload; truth: image_id, expected."""
     j = truth.join(primaries, "image_id", "left")
     return j.agg(F.count("*").alias("images"), F.count_if(F.col("value") == F.col("expected")).alias("correct"), F.count_if(F.col("value").isNull()).alias("missed"))
+
+
+def without_2d(obs: DataFrame, side: str = "server") -> DataFrame:
+    """Observations that are no two-dimensional codes; the browser's rule keeps PDF417, the server's does not."""
+    return obs.filter(~F.col("format").isin({"server": dims.TWO_D_FORMATS, "browser": dims.FUSION_2D_FORMATS}[side]))
+
+
+def places(obs: DataFrame) -> DataFrame:
+    """image_id, class, payload, points and box of each candidate: of its first observation that has points; null if none has."""
+    o = obs.withColumn("payload", F.trim("value")).filter("payload <> ''").withColumn("class", F.when(F.col("format").isin(dims.FUSION_2D_FORMATS), "2D").otherwise("1D"))
+    first = F.min_by("points", F.when(F.size("points") > 0, F.col("ord")))
+    g = o.groupBy("image_id", "class", "payload").agg(first.alias("points"))
+    return g.withColumn("box", fmt.bounding_box(F.col("points")))
+
+
+def pick_agreement(k: DataFrame) -> DataFrame:
+    """image_id, picked, served, agrees: the candidate that a client looks up (`primary`) and the one that the service ranks first."""
+    served = k.groupBy("image_id").agg(F.min_by("value", "position").alias("served"))
+    return primary(k).select("image_id", F.col("value").alias("picked")).join(served, "image_id").withColumn("agrees", F.col("picked") == F.col("served"))
