@@ -153,17 +153,17 @@ def _block_links(depth: int, threshold: float):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (64 bits of the text's digest), bytes, labels of every row; null reads as empty text."""
+    """doc_id, node and check (60 and 64 bits of the text's digest), bytes, labels of every row; null reads as empty text."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", node_of(text).alias("node"), F.octet_length(text).alias("bytes"), text.alias("text"))
+    rows = docs.select("doc_id", node_of(text).alias("node"), check_of(text).alias("check"), F.octet_length(text).alias("bytes"), text.alias("text"))
 
     def run(batches):
         for b in slices(batches, "text"):
             made = lists(pa.array(labels_of(b.column("text")).ravel()), np.full(b.num_rows, TREES))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), b.column("bytes"), made], names=["doc_id", "node", "bytes", "labels"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "node", "check", "bytes")], made], names=["doc_id", "node", "check", "bytes", "labels"])
 
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("bytes", T.IntegerType()), T.StructField("labels", T.ArrayType(T.LongType()))])
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("bytes", T.IntegerType()), T.StructField("labels", T.ArrayType(T.LongType()))])
     return rows.mapInArrow(run, schema)
 
 
@@ -171,6 +171,11 @@ def node_of(text):
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
 
+def check_of(text):
+    """Other bits of the digest than node_of's: texts of one node that differ here are different."""
+    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 17, 16), 16, -10).cast("long")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose exact similarity reaches the threshold, with it."""
     t = texts.select("node", "text")
@@ -193,25 +198,29 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     class_id is the least doc_id among the documents that links connect; n_links counts the different texts with
     a similarity of at least `threshold` on five-word shingles (lower-cased words), n_copies the rows of equal
     text. Null reads as empty text; a text of fewer than five words has one shingle; texts without words link to
-    equal ones only. Null doc_ids count as the greatest. An empty table gives no rows.
+    equal ones only. Null doc_ids count as the greatest. An empty table gives no rows. Of different texts whose
+    digests begin alike by chance only that of the least doc_id is joined; the others are classes of their own.
     """
     sig, nodes = _grouped(docs, threshold, recall)
-    return sig.select("doc_id", "node").join(nodes.select("node", "class_id", "n_links", "n_copies"), "node").select("doc_id", "class_id", "n_links", "n_copies")
+    same = F.col("check") == F.col("own_check")
+    only = lambda c, otherwise: F.when(same, F.col(c)).otherwise(otherwise).alias(c)
+    zero, one = (F.lit(n).cast("bigint") for n in (0, 1))
+    return sig.join(nodes.select("node", "own_check", "class_id", "n_links", "n_copies"), "node").select("doc_id", only("class_id", F.col("doc_id")), only("n_links", zero), only("n_copies", one))
 
 
 def _grouped(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, node), and of every node: rep (its least doc_id), component, class_id, n_links, n_copies."""
+    """Rows (doc_id, node, check), and of every node: rep (its least doc_id), own_check (of that row's text), component, class_id, n_links, n_copies."""
     spark = docs.sparkSession
     sig = written(signatures(docs), "signatures")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bytes", "labels"))
-    reps = written(sig.groupBy("node").agg(best.alias("r"), F.count("*").alias("copies")).select("node", F.col("r.doc_id").alias("rep"), "copies", F.col("r.bytes").alias("bytes"), F.col("r.labels").alias("labels")), "texts")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check", "bytes", "labels"))
+    reps = written(sig.groupBy("node").agg(best.alias("r"), F.count("*").alias("copies")).select("node", F.col("r.doc_id").alias("rep"), F.col("r.check").alias("own_check"), "copies", F.col("r.bytes").alias("bytes"), F.col("r.labels").alias("labels")), "texts")
     edges, per = _links_at(docs, reps, depth_for(threshold, recall), threshold)
     labels = components(edges)
     per = per.groupBy("node").agg(F.sum("links").alias("n_links"))
-    nodes = reps.select("node", "rep", "copies").join(labels, "node", "left").join(per, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = reps.select("node", "rep", "own_check", "copies").join(labels, "node", "left").join(per, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.filter("n_links > 0").groupBy("component").agg(F.min("rep").alias("class_id"))
-    nodes = dealt_join(nodes, "component", least, F.col("node"), "left").select("node", "rep", "component", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
-    return sig.select("doc_id", "node"), nodes
+    nodes = dealt_join(nodes, "component", least, F.col("node"), "left").select("node", "rep", "own_check", "component", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
+    return sig.select("doc_id", "node", "check"), nodes
 
 
 def _links_at(docs: DataFrame, reps: DataFrame, depth: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -223,10 +232,10 @@ def _links_at(docs: DataFrame, reps: DataFrame, depth: int, threshold: float) ->
     members = written(entries.drop("bytes").join(full, ["tree", "prefix"]), "members")  # few of the entries
 
     involved = members.select("node").distinct()
-    some_reps = written(reps.join(involved, "node", "left_semi").select("node", "rep", "labels"), "involved")
+    some_reps = written(reps.join(involved, "node", "left_semi").select("node", "rep", "own_check", "labels"), "involved")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").alias("rep"), node_of(text).alias("node"), text.alias("text"))
-    some = rows.alias("x").join(some_reps.select("node", "rep").alias("y"), (F.col("x.node") == F.col("y.node")) & F.col("x.rep").eqNullSafe(F.col("y.rep")), "left_semi")
+    rows = docs.select(F.col("doc_id").alias("rep"), node_of(text).alias("node"), check_of(text).alias("own_check"), text.alias("text"))
+    some = rows.alias("x").join(some_reps.select("node", "rep", "own_check").alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.own_check") == F.col("y.own_check")) & F.col("x.rep").eqNullSafe(F.col("y.rep")), "left_semi")
     texts = written(some.groupBy("node").agg(F.first("text").alias("text")), "texts")
     labels = some_reps.select("node", "labels")
 
@@ -259,18 +268,19 @@ def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
     spark = docs.sparkSession
     sig, nodes = _grouped(docs.select("doc_id", "text"), threshold, RECALL)
     first = nodes.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("first"))
-    stays = F.col("node").eqNullSafe(F.col("first.node")) & F.col("doc_id").eqNullSafe(F.col("first.rep"))
-    rows = sig.join(nodes.select("node", "component", "n_copies").join(first, "component"), "node").select("doc_id", "node", "n_copies", stays.alias("stays"))
-    found = written(rows.filter("not stays or n_copies > 1").groupBy("doc_id", "node").agg(F.bool_and("stays").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "classes")
+    alone = F.col("check") != F.col("own_check")  # another text, whatever its node says: it stays
+    stays = alone | (F.col("node").eqNullSafe(F.col("first.node")) & F.col("doc_id").eqNullSafe(F.col("first.rep")))
+    rows = sig.join(nodes.select("node", "own_check", "component", "n_copies").join(first, "component"), "node").select("doc_id", "node", "check", "n_copies", stays.alias("stays"))
+    found = written(rows.filter("not stays or n_copies > 1").groupBy("doc_id", "node", "check").agg(F.bool_and("stays").alias("stays"), F.count("*").alias("n")).filter("not stays or n > 1"), "classes")
     removed(spark, rows)
-    bloom = built(found.select(F.xxhash64("doc_id", "node").alias("row")), "row", MOST_BLOCKS)
-    aside = {"id": "_id_of_row", "node": "_node_of_row"}
-    named = docs.select("*", F.col("doc_id").alias(aside["id"]), node_of(F.coalesce("text", F.lit(""))).alias(aside["node"]))
-    key = F.xxhash64(*aside.values())
-    named = named.withColumn("_may_go", passes(spark, bloom, key))
-    gone = found.filter("not stays").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node"))
-    left = named.filter("_may_go").join(gone.hint("shuffle_hash"), F.col(aside["id"]).eqNullSafe(F.col("_gone_id")) & (F.col(aside["node"]) == F.col("_gone_node")), "left_anti")
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    bloom = built(found.select(F.xxhash64("doc_id", "node", "check").alias("row")), "row", MOST_BLOCKS)
+    text = F.coalesce("text", F.lit(""))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # one column, so that no name of theirs meets one of ours
     order = F.struct(F.lit(0), *[F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != "text" and not isinstance(f.dataType, (T.MapType, T.VariantType))])
-    once = left.groupBy(*aside.values()).agg(F.min_by(F.struct(*own), order).alias("_row"))
-    return named.filter("not _may_go").select(*own).unionAll(once.select(*[F.col(f"_row.`{c}`") for c in docs.columns]))
+    named = docs.select(own.alias("row"), order.alias("order"), F.col("doc_id").alias("id"), node_of(text).alias("node"), check_of(text).alias("check"))
+    named = named.withColumn("may_go", passes(spark, bloom, F.xxhash64("id", "node", "check")))
+    gone = found.filter("not stays").select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node"), F.col("check").alias("gone_check"))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("node") == F.col("gone_node")) & (F.col("check") == F.col("gone_check"))
+    left = named.filter("may_go").join(gone.hint("shuffle_hash"), same, "left_anti")
+    once = left.groupBy("id", "node", "check").agg(F.min_by("row", "order").alias("row"))
+    return named.filter("not may_go").select("row").unionAll(once.select("row")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
