@@ -113,18 +113,18 @@ def judged(pages: DataFrame, listed: DataFrame, rules: list[Rule], most_blocks:
     listed: a column `key` of canonical URLs (nulls and repeats do no harm). Beyond some two million of them for
     each MOST_BLOCKS, raise most_blocks (32 bytes each are broadcast), or more URLs go to the join. A rule's verdict wins; without one a
     listed URL is blocked, others are allowed. Null or malformed URLs have empty host and path, match no rule and
-    are allowed unless the empty key is listed. Other columns stay.
+    are allowed unless the empty key is listed. Columns named like the four are replaced, all others stay.
     """
     host, path = host_and_path()
     ship(pages.sparkSession)
-    rows = pages.drop("host", "path", "rule", "verdict", "_key", "_rule").withColumns({"host": host, "path": path})
+    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     h, p = F.col("host"), F.col("path")
-    rows = rows.withColumns({"_key": canonical(h, p), "rule": rule_of(h, p, rules, lambda r: F.lit(r.name)), "_rule": rule_of(h, p, rules, lambda r: F.lit(r.verdict))})
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), host.alias("host"), path.alias("path"))  # one column, so that no name of theirs meets one of ours
+    rows = rows.withColumns({"key": canonical(h, p), "rule": rule_of(h, p, rules, lambda r: F.lit(r.name)), "told": rule_of(h, p, rules, lambda r: F.lit(r.verdict))})
     keys = listed.select("key").filter("key is not null")
-    bloom = built(keys, "key", most_blocks)
-    seen = rows.withColumn("_possible", passes(pages.sparkSession, bloom, F.col("_key")))
-    exact = keys.select(F.col("key").alias("_list_key")).distinct().withColumn("_listed", F.lit(True))
-    hits = seen.filter("_possible").join(exact.hint("shuffle_hash"), F.col("_key") == F.col("_list_key"), "left").drop("_list_key")
-    rest = seen.filter("not _possible").withColumn("_listed", F.lit(None).cast("boolean"))
-    verdict = F.coalesce(F.col("_rule"), F.when(F.col("_listed"), "block").otherwise("allow"))
-    return hits.unionByName(rest).withColumn("verdict", verdict).drop("_key", "_rule", "_possible", "_listed")
+    seen = rows.withColumn("possible", passes(pages.sparkSession, built(keys, "key", most_blocks), F.col("key")))
+    exact = keys.select(F.col("key").alias("list_key")).distinct().withColumn("listed", F.lit(True))
+    hits = seen.filter("possible").join(exact.hint("shuffle_hash"), F.col("key") == F.col("list_key"), "left").drop("list_key")
+    rest = seen.filter("not possible").withColumn("listed", F.lit(None).cast("boolean"))
+    verdict = F.coalesce(F.col("told"), F.when(F.col("listed"), "block").otherwise("allow"))
+    return hits.unionByName(rest).select(*[F.col(f"row.`{c}`") for c in own], "host", "path", "rule", verdict.alias("verdict"))
