@@ -193,13 +193,13 @@ def places(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
 def range_cuts(docs: DataFrame, vocabulary: str, parts: int) -> np.ndarray:
     """Rising places that cut the curve into `parts` ranges of about equal numbers of tokens.
 
-    They decide the balance of tasks only. Found from SAMPLE_PER_PART documents for each part, those of least hash;
-    every document is packed.
+    They decide the balance of tasks only. Found from SAMPLE_PER_PART documents for each part, those of least hash of
+    id and text; of more, as where many rows are equal, twice that number is taken. Every document is packed.
     """
     one_in = 1 << 40
     share = min(1.0, SAMPLE_PER_PART * parts / max(1, docs.count()))
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(one_in)) < int(share * one_in)).select("doc_id", "text")
-    got = tokenised(some, vocabulary).select("key", "tie", F.octet_length("ids").alias("n")).toPandas()
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(one_in)) < int(share * one_in)).select("doc_id", "text")
+    got = tokenised(some, vocabulary).select("key", "tie", F.octet_length("ids").alias("n")).orderBy(F.xxhash64("key", "tie"), "n").limit(2 * SAMPLE_PER_PART * parts).toPandas()
     if not len(got):
         return np.zeros(0, np.int64)
     at = places(got["key"].to_numpy(np.int64), got["tie"].to_numpy(np.int64))
