@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,12 +107,17 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str, bins: int = BINS, bit
     return mapped(df, fn, T.StructType([T.StructField(out, T.DoubleType())]), a)
 
 
-def _bounds(keys: DataFrame, key: str, segments: int) -> list:
+def _measure(df: DataFrame, key: str) -> Column:
+    """The key as what segments compare: moments as numbers, as Python and Arrow read their zones differently."""
+    return F.unix_micros(F.col(key)) if isinstance(df.schema[key].dataType, T.TimestampType) else F.col(key)
+
+
+def _bounds(keys: DataFrame, key: Column, segments: int) -> list:
     """Rising values of the key that cut its range into about so many equal parts; they decide balance only.
 
     Taken from the rows of least hash, PER_SEGMENT for each part.
     """
-    some = keys.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(PER_SEGMENT * segments)
+    some = keys.select(key.alias("k")).filter("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(PER_SEGMENT * segments)
     found = sorted(r[0] for r in some.collect())
     return found[PER_SEGMENT::PER_SEGMENT]
 
@@ -142,14 +147,15 @@ def with_next(df: DataFrame, keys: DataFrame, key: str, columns: dict[str, str],
     """
     spark = df.sparkSession
     ship(spark)
-    segment = _segments(_bounds(keys, key, 4 * partitions(spark)))
-    firsts = sorted((r[0], r[1]) for r in keys.select(segment(F.col(key)).alias("_seg"), key).groupBy("_seg").agg(F.max(key)).collect())  # a row each segment
+    measure = _measure(df, key)
+    segment = _segments(_bounds(keys, measure, 4 * partitions(spark)))
+    firsts = sorted((r[0], r[1]) for r in keys.select(segment(measure).alias("_seg"), key).groupBy("_seg").agg(F.max(key)).collect())  # a row each segment
     if not firsts:
         return df.select("*", *[F.col(c).alias(n) for n, c in columns.items()])
     above = [firsts[(i + 1) % len(firsts)][0] for i in range(len(firsts))]
     small = spark.createDataFrame([(s, m, t) for (s, m), t in zip(firsts, above)], T.StructType([T.StructField("_seg", T.IntegerType()), T.StructField("_max", df.schema[key].dataType), T.StructField("_to", T.IntegerType())]))
     place = lambda s, g: F.struct(F.col(s).alias("_at"), F.lit(g).alias("_guest"))
-    rows = df.withColumn("_seg", segment(F.col(key))).join(F.broadcast(small), "_seg").withColumn("_place", F.explode(F.when(F.col(key).eqNullSafe(F.col("_max")), F.array(place("_seg", 0), place("_to", 1))).otherwise(F.array(place("_seg", 0)))))
+    rows = df.withColumn("_seg", segment(measure)).join(F.broadcast(small), "_seg").withColumn("_place", F.explode(F.when(F.col(key).eqNullSafe(F.col("_max")), F.array(place("_seg", 0), place("_to", 1))).otherwise(F.array(place("_seg", 0)))))
     over = Window.partitionBy("_place._at").orderBy(F.col("_place._guest"), F.col(key).desc_nulls_last(), *[F.col(c) for c in tie])
     return rows.select(*df.columns, "_place", *[F.lead(c).over(over).alias(n) for n, c in columns.items()]).filter("_place._guest = 0").drop("_place")
 
