@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veridex.llm import chat_preference, components, decontamination_cgk, fingerprints, html_gbt, sharding, toxicity_crf, url_bloom, warc
+from veridex.llm import chat_preference, components, decontamination_cgk, fingerprints, hilbert_packing, html_gbt, jaccard_forest, sharding, toxicity_crf, url_bloom, warc
 from veridex.llm.common import Words
 
 from .test_operators import AWKWARD, frame, prose
@@ -192,8 +192,8 @@ def test_other_layouts():
     assert html_gbt.extracted(pages, model) == [plain] * len(pages)
 
 
-def test_stored_trees_are_the_trained_ones():
-    """The same trees come out of a small part of the training, so that file and code don't drift apart."""
+def test_stored_trees_fit_the_code():
+    """The stored trees have the shapes and features that the code has, and read deep and empty pages."""
     a, y, _ = html_gbt.labelled([html_gbt.Generator(77).page() for _ in range(1)])
     model = html_gbt.stored()
     assert model.feature.shape == (50, 15) and model.leaf.shape == (50, 16) and a.features().shape[1] > model.feature.max()
@@ -201,20 +201,68 @@ def test_stored_trees_are_the_trained_ones():
     assert html_gbt.extracted([deep, None or ""], model)[1] == ""
 
 
-def test_shipped_code_hides_nothing(tmp_path):
-    """Away from the repository, core queries find their modules on the workers after an llm operator has run."""
+def test_shipped_code_hides_nothing(spark, tmp_path):
+    """The shipped archive alone, in another process and folder, has every module of the package."""
+    from veridex import shipping
+
+    shipping._shipped.clear()
+    sent = []
+    monkey = spark.sparkContext.addPyFile
+    try:
+        spark.sparkContext.addPyFile = sent.append
+        shipping.ship(spark)
+    finally:
+        spark.sparkContext.addPyFile = monkey
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    names = sorted(f"veridex.{os.path.relpath(os.path.join(d, f), root + '/veridex')[:-3].replace(os.sep, '.')}".removesuffix(".__init__") for d, _, files in os.walk(root + "/veridex") for f in files if f.endswith(".py"))
     script = f"""
-import sys; sys.path.insert(0, {root!r})
-from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,2,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/s").getOrCreate()
-spark.sparkContext.setLogLevel("OFF")
-import __spark_entry__
-q = __spark_entry__.queries()
-for name in ("op4_url_filter", "sections", "ingredient_tree", "raster_quality", "early_stop_prefix"):
-    print(name, q[name](spark, "/root/testdata/sf0.001").count(), flush=True)
-spark.stop()
+import importlib, sys
+sys.path.insert(0, {sent[0]!r})
+for name in {names!r}:
+    m = importlib.import_module(name)
+    assert m.__file__.startswith({sent[0]!r}), m.__file__
+print(len({names!r}))
 """
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYSPARK_PYTHON": sys.executable, "SPARK_SCALA_VERSION": "2.13"}
-    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
-    assert done.returncode == 0 and done.stdout.count("\n") == 5, done.stderr[-2000:]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and done.stdout.split()[0] == str(len(names)), done.stderr[-2000:]
+
+
+def test_urls_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://bad.org/a", "x", 2), (2, "http://good.org/b", "y", 3)], "page_id int, url string, _listed string, key int").withColumns({"row": F.lit("r"), "possible": F.lit(0), "told": F.lit(1.5), "Host": F.lit("old"), "_key": F.lit("k")})
+    got = url_bloom.judged(pages, spark.createDataFrame([("bad.org/a",)], "key string"), [])
+    assert got.columns == ["page_id", "url", "_listed", "key", "row", "possible", "told", "_key", "host", "path", "rule", "verdict"]
+    assert sorted((r.page_id, r.verdict, r._listed, r.key, r.row, r.host) for r in got.collect()) == [(1, "block", "x", 2, "r", "bad.org"), (2, "allow", "y", 3, "r", "good.org")]
+
+
+def test_texts_of_one_node_are_not_lost(spark, monkeypatch):
+    """Short nodes that meet: different texts all stay, equal ones go, and columns keep their values whatever their names."""
+    monkeypatch.setattr(jaccard_forest, "node_of", lambda text: F.pmod(F.xxhash64(text), F.lit(5)))
+    rng = np.random.default_rng(4)
+    texts = [prose(rng, 40) for _ in range(60)]
+    rows = [*enumerate(texts), (100, texts[7]), (101, texts[7]), (None, texts[9]), (3, "another text of three")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("_may_go", "may_go", "row", "node", "check", "id", "_id_of_row", "_node_of_row")})
+    kept = jaccard_forest.without_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert Counter(r.text for r in got) >= Counter([*texts, "another text of three"]) and all(r["_may_go"] == (r.doc_id is not None and f"_may_go{r.doc_id}" or None) for r in got)
+    assert jaccard_forest.jaccard_classes(docs).count() == len(rows)
+
+
+def test_fingerprints_of_moments(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), prose(rng, 20)) for k in rng.permutation(200)]
+    text = dict(rows)
+    for kind in ("timestamp_seconds(k * 1000)", "cast(date_add(date'2020-01-01', cast(k as int)) as date)", "cast(timestamp_seconds(k) as timestamp_ntz)"):
+        got = fingerprints.edited_pairs(spark.createDataFrame(rows, "k bigint, text string").selectExpr(f"{kind} AS doc_id", "text")).orderBy("doc_id").collect()
+        for k, r in enumerate(got):
+            t, nxt = text[k], text[(k - 1) % 200]
+            assert r.edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()
+
+
+def test_packing_sample_is_bounded(spark):
+    """Null and repeated ids don't come into the driver's sample together."""
+    rng = np.random.default_rng(8)
+    rows = [(None, prose(rng, 12)) for _ in range(3000)] + [(1, "the same text")] * 3000
+    cuts = hilbert_packing.range_cuts(spark.createDataFrame(rows, "doc_id bigint, text string"), hilbert_packing.default_vocabulary(), 4)
+    assert len(cuts) <= 3

@@ -564,7 +564,8 @@ def main_texts(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """pages with text and n_chars (code points) of the main content of `html`.
 
     Null and empty html, and pages without an article, give an empty text. Broken markup is read as far as it can
-    be. Whole pages are read, whatever their length; repeated rows are judged alike. Other columns stay.
+    be. Whole pages are read, whatever their length; repeated rows are judged alike. Columns named text or n_chars are
+    replaced, others stay.
     """
     spark = pages.sparkSession
     ship(spark)
