@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veridex.functions import net
 from veridex.operators import fusion, metrics, samples
+from veridex.sources import fetch
 from veridex.sources.store import KeyedStore
 
 SCHEMA = "id string, timestamp bigint, v string"
@@ -94,3 +95,22 @@ def test_places_and_picks(spark):
     assert {side: fusion.without_2d(spark.createDataFrame([("PDF417",), ("Aztec",), ("EAN-8",)], "format string"), side).count() for side in ("server", "browser")} == {"server": 1, "browser": 2}
     hosts = spark.createDataFrame([("1.2.3.4",), ("1.2.3",), ("::1",), ("a:b",), (None,)], "h string").select(net.is_ip_literal(F.col("h"))).collect()
     assert [r[0] for r in hosts] == [True, False, True, False, False]
+
+
+def test_fetched(spark, tmp_path):
+    png, gif = bytes.fromhex("89504E470D0A1A0A") + b"x" * 20, b"GIF89a" + b"y" * 10
+    rows = [(1, png), (2, gif), (3, b"plain"), (4, b"z" * 200), (5, None), (6, png)]
+    places = fetch.payload_files(spark.createDataFrame(rows, "id int, b binary").repartition(2), "id", "b")
+    assert places.count() == 6 and places.select("location").distinct().count() <= 2
+    urls = {1: ("https://a.example/1", None), 2: ("https://a.example/2", ["https://b.example/"]), 3: ("https://a.example/3", []), 4: ("https://a.example/4", None), 5: ("ftp://a.example/5", None), 6: ("https://a.example/6", ["https://10.0.0.8/"])}
+    more = [("7", "https://a.example/7", ["https://x.example/"] * 4, "file:///nowhere", 0, 5), ("8", "https://a.example/8", None, f"file://{tmp_path}/gone", 0, 5), ("9", "https://a.example/9", None, None, 0, 100_000)]
+    lookup = spark.createDataFrame([(k, u, h) for k, (u, h) in urls.items()], "key int, url string, hops array<string>")
+    listed = places.join(lookup, "key").selectExpr("string(key) AS key", "url", "hops", "location", "offset", "length").unionByName(spark.createDataFrame(more, "key string, url string, hops array<string>, location string, offset bigint, length bigint"))
+    got = {r.key: r for r in fetch.fetched(listed, most_bytes=100).collect()}
+    assert len(got) == 9 and bytes(got["1"].content) == png and bytes(got["2"].content) == gif and bytes(got["3"].content) == b"plain"
+    assert (got["1"].image_type, got["2"].image_type, got["3"].image_type) == ("png", "gif", None)
+    errors = {k: r.error for k, r in got.items() if r.error}
+    assert errors.pop("8").startswith("DOWNLOAD_FAILED") and errors == {"4": "DOWNLOAD_TOO_LARGE", "5": "UNSUPPORTED_SCHEME", "6": "BLOCKED_URL", "7": "DOWNLOAD_FAILED", "9": "DOWNLOAD_TOO_LARGE"}
+    only = {r.key: (r.error, r.content is None) for r in fetch.fetched(listed, most_bytes=100, kinds=["png"]).collect()}
+    assert only["1"] == (None, False) and only["2"] == only["3"] == ("UNSUPPORTED_MEDIA_TYPE", True) and only["6"][0] == "BLOCKED_URL"
+    assert fetch.fetched(listed.limit(0)).count() == 0

@@ -117,8 +117,12 @@ def url_parts(url: Column) -> dict[str, Column]:
 
 
 def url_verdict(url: str, allow_http: bool = False, ports: tuple[int, ...] = (443,), hosts: tuple[str, ...] = ()) -> Column:
-    """The error code of the first rule that a URL breaks; null if it may be fetched."""
-    u = F.trim(F.col(url))
+    """The error code of the first rule that the URL in a column breaks; null if it may be fetched."""
+    return verdict(F.col(url), allow_http, ports, hosts)
+
+
+def verdict(url: Column, allow_http: bool = False, ports: tuple[int, ...] = (443,), hosts: tuple[str, ...] = ()) -> Column:
+    u = F.trim(url)
     p = url_parts(u)
     host, port = p["host"], p["port"]
     suspicious = F.lit(False)
@@ -127,7 +131,7 @@ def url_verdict(url: str, allow_http: bool = False, ports: tuple[int, ...] = (44
     number = F.when(port != "", port.cast("int")).otherwise(F.when(p["scheme"] == "http", 80).otherwise(443))
     default = ((p["scheme"] == "http") & (number == 80)) | ((p["scheme"] == "https") & (number == 443))
     out = (
-        F.when(F.col(url).isNull() | (u == ""), "VALIDATION_ERROR")
+        F.when(url.isNull() | (u == ""), "VALIDATION_ERROR")
         .when((F.char_length(u) > dims.MAX_URL_LENGTH) | (p["scheme"] == ""), "INVALID_URL")
         .when(~p["scheme"].isin("http", "https"), "UNSUPPORTED_SCHEME")
         .when((p["credentials"] != "") | (host == ""), "INVALID_URL")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veridex import dims
 from veridex.plans.registry import query
-from veridex.raster import frames
+from veridex.raster import frames, pixels
 
 
 def _rasters(spark, sf_dir):
@@ -37,10 +37,67 @@ def raster_variants(spark, sf_dir):
     return out.select("image_id", "variant", "width", "height", F.crc32("data").alias("crc32"))
 
 
-@query()
+#: Pixels of the same rasters, and windows of 31 by 31 over them as plain sums.
+_PX = """px AS (SELECT e.vec_id AS image_id, (c.k // 8) * 8 + i.i AS y, (c.k % 8) * 8 + j.j AS x, CAST(floor(abs(e.embedding[c.k + 1]::DOUBLE) * 255) AS BIGINT) % 256 AS v FROM embeddings e, range(64) c(k), range(8) i(i), range(8) j(j)),
+bx AS (SELECT *, sum(v) OVER w AS hs, sum(v * v) OVER w AS hq, count(*) OVER w AS hn FROM px WINDOW w AS (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)),
+b AS (SELECT image_id, y, x, v, CAST(sum(hs) OVER w AS BIGINT) AS total, CAST(sum(hq) OVER w AS BIGINT) AS squares, CAST(sum(hn) OVER w AS BIGINT) AS n FROM bx WINDOW w AS (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)),
+m AS (SELECT *, total::DOUBLE / n AS mean, sqrt(greatest(0e0, squares::DOUBLE / n - total::DOUBLE / n * (total::DOUBLE / n))) AS sd FROM b)"""
+
+
+def _digest_sql(white: str) -> str:
+    return f"WITH {_PX} SELECT image_id, sha256(unhex(string_agg(CASE WHEN {white} THEN 'FFFFFFFF' ELSE '000000FF' END, '' ORDER BY y, x))) AS digest FROM m GROUP BY image_id"
+
+
+def _digest(shown):
+    return pixels.raster(shown).select("image_id", F.sha2("data", 256).alias("digest"))
+
+
+@query(_digest_sql("v > total::DOUBLE / n - 10e0"))
 def raster_adaptive(spark, sf_dir):
-    out = frames.with_variants(_rasters(spark, sf_dir), ["adaptive_threshold"])
-    return out.select("image_id", F.sha2("data", 256).alias("digest"))
+    return _digest(pixels.adaptive_threshold(pixels.pixels(_rasters(spark, sf_dir))))
+
+
+@query(_digest_sql("v > mean * (1 + 0.2e0 * (sd / 128e0 - 1))"))
+def raster_sauvola(spark, sf_dir):
+    return _digest(pixels.sauvola(pixels.pixels(_rasters(spark, sf_dir))))
+
+
+@query(_digest_sql("v > mean + -0.2e0 * sd"))
+def raster_niblack(spark, sf_dir):
+    return _digest(pixels.niblack(pixels.pixels(_rasters(spark, sf_dir))))
+
+
+_TALL = "g AS (SELECT e.vec_id AS image_id, c.k // 8 AS cy, c.k % 8 AS x, CAST(floor(abs(e.embedding[c.k + 1]::DOUBLE) * {scale}) AS BIGINT) % 256 AS v FROM embeddings e, range(64) c(k))"
+
+
+def _tall(spark, sf_dir, scale: int):
+    """Tall images: 8 columns, and 40 rows for each 8 values of a vector."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.posexplode(F.slice("embedding", 1, 64)).alias("k", "e"))
+    v = F.floor(F.abs(F.col("e").cast("double")) * scale) % 256
+    rows = e.select("image_id", F.floor(F.col("k") / 8).alias("cy"), (F.col("k") % 8).cast("int").alias("x"), v.cast("int").alias("v"))
+    return rows.select("image_id", F.explode(F.sequence(F.col("cy") * 40, F.col("cy") * 40 + 39)).alias("y"), "x", "v")
+
+
+@query(
+    f"""WITH {_TALL.format(scale=1200)}, r AS (SELECT image_id, cy * 40 + i.i AS y, count(*) FILTER (v < 128) AS d FROM g, range(40) i(i) GROUP BY ALL),
+s AS (SELECT image_id, y, count(*) OVER w AS n, 20 * sum(d * d) OVER w - sum(d) OVER w * sum(d) OVER w AS spread FROM r WINDOW w AS (PARTITION BY image_id ORDER BY y ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+t AS (SELECT image_id, arg_max(y, (spread, -y)) AS a FROM s WHERE n = 20 GROUP BY image_id)
+SELECT image_id, CAST(CASE WHEN least(320, a + 26) - greatest(0, a - 6) < 32 THEN 0 ELSE greatest(0, a - 6) END AS INT) AS top, CAST(CASE WHEN least(320, a + 26) - greatest(0, a - 6) < 32 THEN 320 ELSE least(320, a + 26) END AS INT) AS bottom FROM t"""
+)
+def raster_roi_bands(spark, sf_dir):
+    """The rows in which dark pixels vary most; at 320 rows a band of 20 and 6 more at both sides."""
+    return pixels.roi_bands(_tall(spark, sf_dir, 1200))
+
+
+@query(
+    f"""WITH {_TALL.format(scale=8)}, c AS (SELECT a.image_id, a.cy, a.x // 2 AS cx, CAST(a.v <> b.v AS INT) AS n FROM g a JOIN g b ON b.image_id = a.image_id AND b.cy = a.cy AND b.x = a.x + 1 WHERE a.x % 2 = 0),
+r AS (SELECT image_id, cy * 20 + i.i AS y, cx, n FROM c, range(20) i(i)), h AS (SELECT image_id, list_sort(list(n))[CAST(floor(count(*) * 0.9) AS BIGINT) + 1] AS high FROM r GROUP BY 1),
+a AS (SELECT DISTINCT image_id, y FROM r JOIN h USING (image_id) WHERE high > 0 AND n >= high), i AS (SELECT image_id, y, y - row_number() OVER (PARTITION BY image_id ORDER BY y) AS g FROM a),
+b AS (SELECT image_id, min(y) AS y, count(*) AS n FROM i GROUP BY image_id, g HAVING count(*) >= 2), k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y) AS k FROM b)
+SELECT image_id, CAST(k AS INT) AS k, 0 AS x, CAST(y * 2 AS INT) AS y, 8 AS width, CAST(n * 2 AS INT) AS height FROM k WHERE k <= 4"""
+)
+def raster_text_regions(spark, sf_dir):
+    return pixels.text_regions(_tall(spark, sf_dir, 8), cell=2)
 
 
 @query("SELECT vec_id, count(*) AS n, CAST(sum(t) AS BIGINT) AS total, CAST(sum(t * t) AS BIGINT) AS squares FROM (SELECT vec_id, unnest(list_transform(embedding, lambda v: CAST(floor(abs(v::DOUBLE) * 100) AS BIGINT))) AS t FROM embeddings) GROUP BY vec_id")

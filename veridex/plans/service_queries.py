@@ -14,6 +14,7 @@ from veridex.plans.code_queries import _CONF, _GTIN, _SCORE, _TIER, _groups, _in
 from veridex.plans.registry import query
 from veridex.plans.stream_queries import _drained
 from veridex.shipping import shared_dir
+from veridex.sources import fetch
 from veridex.sources.store import KeyedStore
 from veridex.sources.views import view
 
@@ -185,3 +186,23 @@ def ip_literals(spark, sf_dir):
     hosts = F.array(F.lit("example.com"), F.concat(F.lit("10.0.0."), (k % 300).cast("string")), F.lit("::ffff:1.2.3.4"), F.concat(F.lit("fe80::"), (k % 10).cast("string")), F.lit("1.2.3"), F.lit("01.2.3.4"), F.lit("[::1]"), F.lit(""))
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.get(hosts, (k % 8).cast("int")).alias("host"))
     return c.withColumn("literal", net.is_ip_literal(F.col("host")))
+
+
+# --- payloads ---
+
+@query(
+    """WITH u AS (SELECT page_id, strlen(coalesce(html, '')) AS n, coalesce(html, '') AS html, CASE WHEN url IS NULL OR trim(url) = '' THEN 'VALIDATION_ERROR' WHEN length(trim(url)) > 2048 OR NOT regexp_matches(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'INVALID_URL'
+  WHEN NOT regexp_matches(trim(url), '^https?:', 'i') THEN 'UNSUPPORTED_SCHEME' WHEN regexp_extract(trim(url), '^[A-Za-z]+://([^/?#]*)', 1) = '' THEN 'INVALID_URL' END AS bad FROM pages),
+e AS (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN page_id % 7 < 2 THEN 'BLOCKED_URL' WHEN page_id % 7 = 2 THEN 'DOWNLOAD_FAILED' WHEN n > 3000 THEN 'DOWNLOAD_TOO_LARGE' END AS error FROM u)
+SELECT page_id, CASE WHEN error IS NULL THEN n::BIGINT END AS bytes, CASE WHEN error IS NULL THEN sha256(html) END AS digest, error FROM e"""
+)
+def fetched_pages(spark, sf_dir):
+    """Payloads of pages, written as files and read back through their list: addresses and redirects judged, 3,000 bytes at most."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    urls = lambda *u: F.array(*[F.lit(x) for x in u])
+    k = F.col("page_id") % 7
+    hops = F.when(k == 0, urls("http://169.254.169.254/latest")).when(k == 1, urls("https://example.org/a", "http://[::1]/")).when(k == 2, urls(*[f"https://a.example/{i}" for i in (1, 2, 3, 4)]))
+    places = fetch.payload_files(pages.select("page_id", "html"), "page_id", "html")
+    listed = places.join(pages.select(F.col("page_id").alias("key"), "url", hops.alias("hops")), "key")
+    got = fetch.fetched(listed, most_bytes=3000, allow_http=True)
+    return got.select(F.col("key").cast("bigint").alias("page_id"), "bytes", F.sha2("content", 256).alias("digest"), "error")

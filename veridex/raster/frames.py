@@ -71,13 +71,26 @@ def observations(rasters: DataFrame, decoders: dict | None = None, key: str = "i
     return rasters.mapInPandas(run, f"{key} {kind}, engine string, value string, format string, error string")
 
 
+def levels(rasters: DataFrame, key: str = "image_id") -> DataFrame:
+    """key, t, n: how many pixels of a raster have each grey level; levels without pixels don't come out."""
+    kind = rasters.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for k, img in zip(b.column(key), _rasters(b)):
+                n = np.bincount(kernels.clamp(kernels.luminance(img)).ravel(), minlength=256)
+                t = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(t), b.column(key).type), pa.array(t.astype(np.int32)), pa.array(n[t])], names=[key, "t", "n"])
+
+    ship(rasters.sparkSession)
+    return rasters.select(key, "width", "height", "data").mapInArrow(run, f"{key} {kind}, t int, n bigint")
+
+
 def otsu_levels(rasters: DataFrame, key: str = "image_id") -> DataFrame:
-    """The threshold of each (small) grey raster in SQL: histogram, running sums, the best between-class variance."""
+    """The threshold of each raster in SQL over its counts of levels: running sums, the best between-class variance."""
     from pyspark.sql import Window
 
-    level = F.conv(F.hex(F.substring("data", F.col("p") * 4 + 1, 1)), 16, 10).cast("int")
-    pixels = rasters.select(key, "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("p")).select(key, level.alias("t"))
-    hist = pixels.groupBy(key, "t").agg(F.count("*").alias("n"))
+    hist = levels(rasters, key)
     run = Window.partitionBy(key).orderBy("t")
     whole = Window.partitionBy(key)
     h = hist.select(key, "t", F.sum("n").over(run).alias("b"), F.sum(F.col("t") * F.col("n")).over(run).alias("m"), F.sum("n").over(whole).alias("all"), F.sum(F.col("t") * F.col("n")).over(whole).alias("mass"))
