@@ -57,6 +57,7 @@ TRACE = r"\b(trace|tr\.|nil|negligible|not\s+detected)\b"
 NUTRIENT_NAME_END = r"(?:\s*\(|\s*\d|\s*(?:trace|tr\.|nil|negligible|not\s+detected)\b|$)"
 QUALIFIER = r"^(?:(?:of\s+which|including|incl\.?|contains?|approx\.?|approximately|\*|total\s+amount\s+of)\s+){1,3}"
 BASIS = r"per\s+(\d+(?:[.,]\d+)?\s*(?:g|gm|ml|ml\b|serving|100\s*g|100\s*ml))"
+SERVING = r"\b(?:serving\s+size|serves?\s+about|approx\.?\s*per)\b[:\s]*([0-9]+\s*(?:g|gm|ml|piece|cup|slice|tbsp|tsp)?)"
 
 # --- fixed values: sections: kind, headings, what ends it, most lines ---
 SECTIONS = [

@@ -14,6 +14,7 @@ from veridex.functions import patterns as P
 from veridex.functions import product, sections
 from veridex.functions import text as T
 from veridex.functions.rates import fixed
+from veridex.functions.sections import trimmed
 from veridex.shipping import ship
 
 PRODUCT_SECTIONS = ["manufacturer", "mrp", "net_quantity", "fssai", "best_before"]
@@ -64,6 +65,34 @@ def nutrition_confidence(texts: DataFrame) -> DataFrame:
     return rows.select("doc_id", n.cast("bigint").alias("n"), F.round(fixed(score) * 1000).cast("int").alias("confidence"))
 
 
+def with_panel(read: DataFrame) -> DataFrame:
+    """Adds panel: of a nutrition section its basis and serving size as printed, the first reading of each nutrient, the
+    lines that nobody could read, and the confidence (thousandths, null without a value); null without the section.
+    """
+    read = read.withColumn("_section", whole(of_kind("nutrition")))
+    first = lambda p, group: F.nullif(trimmed(F.regexp_extract("_section", P.java(p), group)), F.lit(""))
+    # through a generator, or every use would read all lines again
+    read = read.select("*", F.inline(F.array(F.struct(first(P.BASIS, 0).alias("_basis"), first(P.SERVING, 1).alias("_serving"), T.nutrition_lines(F.col("_section")).alias("_lines")))))
+
+    def once(values: Column) -> Column:
+        names = F.array_distinct(F.transform(values, lambda v: v["nutrient"]))
+        return F.transform(names, lambda n: F.get(F.filter(values, lambda v: v["nutrient"] == n), 0))
+
+    read_ = F.filter("_lines", lambda v: v["nutrient"].isNotNull() & (v["value"].isNotNull() | v["traced"]))
+    lost = F.filter("_lines", lambda v: v["nutrient"].isNull() | (v["value"].isNull() & ~v["traced"]))
+    n, energy = F.size("_values"), F.exists("_values", lambda v: v["nutrient"] == "energy")
+    score = F.when(F.col("_basis").isNotNull(), 1.0).otherwise(0.5) * 0.2 + F.least(F.lit(1.0), n / 8.0) * 0.3 + F.when(energy, 1.0).otherwise(0.4) * 0.2 + F.lit(0.5 * 0.3)
+    read = read.select("*", F.inline(F.array(F.struct(once(read_).alias("_values"), F.transform(lost, lambda v: v["line"]).alias("_lost")))))
+    panel = F.struct(F.col("_basis").alias("basis"), F.col("_serving").alias("serving_size"), F.col("_values").alias("values"), F.col("_lost").alias("undeciphered_lines"), F.when(n > 0, F.round(fixed(score) * 1000).cast("int")).alias("confidence"))
+    return read.withColumn("panel", F.when(F.col("_section").isNotNull(), panel)).drop("_section", "_basis", "_serving", "_lines", "_values", "_lost")
+
+
+def panels(texts: DataFrame) -> DataFrame:
+    """doc_id, basis, serving_size, values, undeciphered_lines, confidence of the texts that have a nutrition section."""
+    ship(texts.sparkSession)
+    return with_panel(repaired(texts)).filter("panel is not null").select("doc_id", "panel.*")
+
+
 # --- repaired text and sections ---
 
 
@@ -78,9 +107,9 @@ def found_sections(texts: DataFrame) -> DataFrame:
     return _listed(texts.select("doc_id", sections.sections(F.col("text")).alias("s")), F.col("s"), "kind")
 
 
-def repaired(texts: DataFrame) -> DataFrame:
-    """doc_id, the repaired text, its lines and its sections by kind."""
-    t = texts.select("doc_id", T.normalised(F.coalesce("text", F.lit(""))).alias("normalized_text"))
+def repaired(texts: DataFrame, also: list[str] = ()) -> DataFrame:
+    """doc_id, the columns named in `also`, the repaired text, its lines and its sections by kind."""
+    t = texts.select("doc_id", *also, T.normalised(F.coalesce("text", F.lit(""))).alias("normalized_text"))
     ship(texts.sparkSession)
     return t.select("*", sections.lines_of(F.col("normalized_text")).alias("lines"), sections.sections(F.col("normalized_text")).alias("sections"))
 

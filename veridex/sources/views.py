@@ -37,13 +37,27 @@ FROM (SELECT *, CAST((10 - (1 * (CAST(substr(body, 1, 1) AS INT) + CAST(substr(b
   || CASE WHEN p_partkey % 5 = 0 THEN 'Zzz qqq 1.2' ELSE 'Trans fat trace' END || chr(10) || 'Protein 9 g' || chr(10) || 'Net Qty: ' || CASE WHEN p_partkey % 6 = 0 THEN '4 x ' || CAST(p_size AS STRING) || ' g' ELSE CAST(p_size * 10 AS STRING) || ' g  ' END || chr(10)
   || 'MRP Rs. ' || CAST(10 + p_partkey % 200 AS STRING) || '.50' || chr(10) || 'FSSAI Lic. No. ' || CAST(10012051000000 + p_partkey AS STRING) || chr(10)
   || 'Best Before: ' || CAST(1 + p_partkey % 24 AS STRING) || ' months' || chr(10) || 'Made in India' AS text
+FROM {part}""",
+    ),
+    "requests": (
+        "part",
+        """SELECT p_partkey AS doc_id, p_partkey % 2 = 0 AS downscaled, p_partkey % 5 = 0 AS orientation_applied, CASE p_partkey % 3 WHEN 0 THEN 'good' WHEN 1 THEN 'fair' ELSE 'poor' END AS quality, p_partkey % 7 <> 0 AS run_barcode, p_partkey % 11 = 0 AS barcode_failed,
+  p_partkey % 13 <> 0 AS ocr, p_partkey % 17 <> 0 AS ocr_enabled, CAST(p_partkey % 19 * 400 AS BIGINT) AS ocr_left_ms, p_partkey % 23 = 0 AS ocr_cap_failed, p_partkey % 29 = 0 AS ocr_failed FROM {part}""",
+    ),
+    "rich_labels": (
+        "part",
+        """SELECT p_partkey AS doc_id, 'Sunrise Masala Chips' || chr(10) || 'Brand: Sunrise' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN 'Flavour: Chilli' WHEN 1 THEN 'Variant: Lime' ELSE 'Crisp ﬁne chips – a “snack”' END || chr(10)
+  || CASE WHEN p_partkey % 4 = 1 THEN '' ELSE 'Ingredients: Potato, Refined Oil (Palm Oil, Soybean Oil (Antioxidant (INS 319, INS 320))), Spices (Chilli, Salt' || CASE WHEN p_partkey % 4 = 2 THEN '' ELSE ')' END || chr(10) || chr(10) || chr(10) || 'Ingredients continued: Milk Powder' || chr(10) || chr(10) || chr(10) END
+  || 'Nutrition Facts per 30 g' || chr(10) || CASE WHEN p_partkey % 6 = 1 THEN 'qqq zzz' ELSE 'Energy ' || CAST(100 + p_partkey % 50 AS STRING) || ' kcal' || chr(10) || 'Protein 6.5 g' || chr(10) || 'Fat ' || CAST(p_partkey % 9 AS STRING) || ' g' || chr(10) || 'Protein 2 g' || chr(10) || 'Mystery 5' END || chr(10)
+  || CASE WHEN p_partkey % 2 = 0 THEN 'Serves about 4 piece' ELSE 'Vitamin trace' END || chr(10) || chr(10) || chr(10) || 'Allergen information: milk' || chr(10) || 'Contains: gluten' || chr(10) || 'Storage: keep in a cool place' || chr(10) || chr(10) || chr(10) || 'How to use: open and eat' || chr(10) || chr(10) || chr(10)
+  || 'Manufactured by: Golden Foods, Plot ' || CAST(p_partkey % 7 AS STRING) || chr(10) || 'FSSAI Lic. No. ' || CAST(10012051000000 + p_partkey AS STRING) || chr(10) || 'MRP Rs. 55.00' || chr(10) || 'Net Qty: 200 g' || chr(10) || 'Best Before: 6 months' || chr(10) || 'No added preservatives' AS text
 FROM {part}""",
     ),
 }
 
 
 #: Views whose rows take much work each.
-HEAVY = {"observations", "label_text"}
+HEAVY = {"observations", "label_text", "rich_labels"}
 
 
 def spread(df: DataFrame) -> DataFrame:
