@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -61,8 +62,15 @@ def partitions(spark: SparkSession) -> int:
 # --- Arrow -----------------------------------------------------------------------------------
 
 
+def released() -> None:
+    """Give freed memory back to the system, where its library can: a Python worker lives on, and other stages need it."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], *columns: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the named string columns hold about `most` bytes; a longer text stays whole."""
+    """Cut batches so that the named string columns hold about `most` bytes; a longer text stays whole. Memory is released at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -73,6 +81,7 @@ def slices(batches: Iterator[pa.RecordBatch], *columns: str, most: int = SLICE_B
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             yield batch.slice(a, b - a)
+    released()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
