@@ -86,6 +86,12 @@ def image_summary(records: DataFrame, variant: str | None = None) -> DataFrame:
     return g.select("engine", "total", rate_or_zero(F.col("detected"), F.col("total"), 100).alias("detection_rate"), rate(F.col("correct"), F.col("detected"), 100).alias("accuracy"), rounded(F.try_divide(F.col("ms"), F.col("detected"))).alias("avg_latency"))
 
 
+def sessions(records: DataFrame) -> DataFrame:
+    """When each session began and ended, and how many frames of it each kind of test saw; by the session's own id, not by gaps."""
+    kinds = ("live", "image", "angle")
+    return records.groupBy("session_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("frames"), *[F.count_if(F.col("test_type") == k).alias(f"{k}_frames") for k in kinds])
+
+
 def hits_by_image(records: DataFrame) -> DataFrame:
     """Engines that found something in an image variant, in the order of their first hit."""
     first = records.filter(hit()).groupBy("image_id", "variant", "engine").agg(F.min("id").alias("id"))

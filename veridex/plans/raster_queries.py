@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veridex import dims
@@ -114,9 +115,18 @@ def variant_plan(name: str, most: int) -> list[str]:
     return list(dict.fromkeys(some if "original" in some else ["original", *some]))
 
 
-def ocr_plan(most: int) -> tuple[list[str], list[int]]:
-    some = dims.OCR_PLAN[: max(1, most)]
-    return some, [3, 6] if len(some) > 1 else [3]
+def ocr_plan(most: Column) -> tuple[Column, Column]:
+    """The first `most` (at least one) variants to read text from, and the ways to segment pages that go with them."""
+    some = F.slice(F.array(*[F.lit(v) for v in dims.OCR_PLAN]), F.lit(1), F.greatest(F.lit(1), F.coalesce(most, F.lit(1))).cast("int"))
+    return some, F.when(F.size(some) > 1, F.array(F.lit(3), F.lit(6))).otherwise(F.array(F.lit(3)))
+
+
+@query("SELECT p_partkey AS doc_id, array_to_string((['gray_upscale2x', 'gray', 'clahe', 'adaptive', 'original'])[1:greatest(1, p_partkey % 8 - 1)], ',') AS variants, CASE WHEN p_partkey % 8 > 2 THEN '3,6' ELSE '3' END AS modes FROM part")
+def ocr_plans(spark, sf_dir):
+    """What is to be read from the image of each request, whose limit of variants goes from -1 to 6."""
+    variants, modes = ocr_plan(F.col("p_partkey") % 8 - 1)
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select(F.col("p_partkey").alias("doc_id"), F.array_join(variants, ",").alias("variants"), F.array_join(F.transform(modes, lambda m: m.cast("string")), ",").alias("modes"))
 
 
 _PLAN_SQL = ", ".join(f"('{n}', {i}, '{v}')" for n, p in dims.PLANS.items() for i, v in enumerate(p))

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from veridex import dims
 from veridex.functions import formats as fmt
 from veridex.functions import net
-from veridex.operators import fusion, metrics, samples
+from veridex.operators import fusion, metrics, records, samples
 from veridex.plans.code_queries import _CONF, _GTIN, _SCORE, _TIER, _groups, _in, _obs, _valid
 from veridex.plans.registry import query
 from veridex.plans.stream_queries import _drained
 from veridex.shipping import shared_dir
 from veridex.sources import fetch
+from veridex.sources.files import SIGNATURES, image_type
 from veridex.sources.store import KeyedStore
 from veridex.sources.views import view
 
@@ -59,6 +60,11 @@ def outcomes_of_image(spark, sf_dir):
     return _bench(spark, sf_dir).filter("image_id = 7 and variant = 'original' and test_type = 'image'").select("id", "engine", "classification")
 
 
+@query("SELECT session_id, min(ts) AS started, max(ts) AS ended, count(*) AS frames, " + ", ".join(f"count(*) FILTER (test_type = '{k}') AS {k}_frames" for k in ("live", "image", "angle")) + " FROM bench_records GROUP BY 1", B)
+def session_counters(spark, sf_dir):
+    return records.sessions(_bench(spark, sf_dir))
+
+
 # --- observed counters ---
 
 _COLUMNS = [
@@ -206,3 +212,16 @@ def fetched_pages(spark, sf_dir):
     listed = places.join(pages.select(F.col("page_id").alias("key"), "url", hops.alias("hops")), "key")
     got = fetch.fetched(listed, most_bytes=3000, allow_http=True)
     return got.select(F.col("key").cast("bigint").alias("page_id"), "bytes", F.sha2("content", 256).alias("digest"), "error")
+
+
+#: What begins a file of each kind, with any byte where the kind leaves it open.
+_BEGIN = [pattern.rstrip("%").replace("_", "0") for pattern, _ in SIGNATURES]
+
+
+@query("SELECT page_id, ['jpeg', 'png', 'webp', 'gif', 'bmp', 'avif', 'avif', 'heif', 'heif', 'heif', 'tiff', 'tiff', NULL][page_id % 13 + 1] AS kind FROM pages")
+def image_kinds(spark, sf_dir):
+    """The kinds that the first bytes of payloads tell; each thirteenth begins like no image."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    begin = F.get(F.array(*[F.lit(b) for b in _BEGIN], F.lit("00")), (F.col("page_id") % 13).cast("int"))
+    payload = F.concat(F.unhex(begin), F.coalesce("html", F.lit("")).cast("binary"))
+    return p.select("page_id", payload.alias("content")).select("page_id", image_type("content").alias("kind"))
