@@ -57,6 +57,15 @@ def test_many_ranges_without_nested_loops(spark):
     assert got.count() == 20_000 and got.filter("range is null").count() < 20_000
 
 
+def test_looks_are_not_broadcast(spark):
+    """An address looks once for each length: what is made of a small table is joined by a shuffle."""
+    rows, known = spark.createDataFrame([("10.1.2.3",)], "ip string"), spark.createDataFrame([("10.1.2.0/24", 1), ("10.0.0.0/9", 2)], "cidr string, id int")
+    for order, best in ((None, 1), ("id", 1)):
+        got = ranges.range_join(rows, "ip", known, order)
+        assert got._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 2
+        assert [r.range.id for r in got.collect()] == [best]
+
+
 def test_trees(spark):
     rnd = random.Random(1)
     parent = {i: None if i % 500 == 0 else rnd.randrange(max(0, i - 4), i) for i in range(1000)}  # deep: some 400 levels

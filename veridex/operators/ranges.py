@@ -4,7 +4,8 @@ An address is 128 bits in two bigints (IPv4 is ::ffff:0:0/96), a range its maske
 looks for itself, masked, once for each length that occurs: equality joins, never a comparison of ranges. Only
 different addresses look, so a repeated one costs one look. Ranges of up to 16 bits (of either family) are at most
 2 * 131,071, and are broadcast; longer ones are joined by shuffling, where a prefix that holds very many different
-addresses is split by adaptive execution.
+addresses is split by adaptive execution. That they are is said by a hint, as Spark takes the looks for as few as
+the addresses and would broadcast them.
 """
 
 from __future__ import annotations
@@ -37,12 +38,18 @@ def masked(key: Column, bits: Column) -> Column:
     return F.struct(_kept(key["hi"], bits).alias("hi"), _kept(key["lo"], bits - 64).alias("lo"), bits.cast("int").alias("bits"))
 
 
-def range_key(cidr: Column) -> Column:
-    """struct(hi, lo, bits) of 'address/length'; null if malformed. Bits of the address beyond the length don't count."""
-    base, bits = F.substring_index(cidr, "/", 1), F.regexp_extract(cidr, r"/(\d{1,3})$", 1)
+def range_bits(cidr: Column) -> Column:
+    """The length of 'address/length' in 128 bits, without a look at the address; null if malformed."""
+    bits = F.regexp_extract(cidr, r"/(\d{1,3})$", 1)
     most = F.when(cidr.contains(":"), 128).otherwise(32)
     n = F.when(bits != "", bits.cast("int"))
-    return let(address_key(base), lambda k: F.when(k.isNotNull() & (n <= most), masked(k, n + 128 - most)))
+    return F.when(n <= most, n + 128 - most)
+
+
+def range_key(cidr: Column) -> Column:
+    """struct(hi, lo, bits) of 'address/length'; null if malformed. Bits of the address beyond the length don't count."""
+    bits = range_bits(cidr)
+    return let(address_key(F.substring_index(cidr, "/", 1)), lambda k: F.when(k.isNotNull() & bits.isNotNull(), masked(k, bits)))
 
 
 def range_join(rows: DataFrame, address: str, ranges: DataFrame, order: str | None = None) -> DataFrame:
@@ -54,18 +61,19 @@ def range_join(rows: DataFrame, address: str, ranges: DataFrame, order: str | No
     replaced.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in ranges.columns])
-    known = ranges.select(range_key(F.col("cidr")).alias("key"), (F.col(f"`{order}`") if order else F.lit(0)).alias("rank"), whole.alias("range")).filter("key is not null")
+    row = F.struct(range_key(F.col("cidr")).alias("key"), (F.col(f"`{order}`") if order else F.lit(0)).alias("rank"), whole.alias("range"))
+    known = ranges.select(F.inline(F.array(row))).filter("key is not null")  # through a generator, or the filter would read every range again
     known = known.groupBy("key").agg(F.min(F.struct("rank", "range")).alias("best")).select("key.*", "best.*")
-    lengths = sorted(r["bits"] for r in known.select("bits").distinct().collect())  # 129 at most
+    lengths = sorted(r["bits"] for r in ranges.select(range_bits(F.col("cidr")).alias("bits")).distinct().collect() if r["bits"] is not None)  # 129 at most
     rows = rows.drop("range")
     if not lengths:
         return rows.withColumn("range", F.lit(None).cast(ranges.schema))
     own = F.col(f"`{address}`")
-    asked = rows.select(own.alias("address"), address_key(own).alias("key")).distinct().filter("key is not null")  # read before the shuffle, once a row
+    asked = rows.select(F.inline(F.array(F.struct(own.alias("address"), address_key(own).alias("key"))))).filter("key is not null").distinct()  # read before the shuffle, once a row
     looks = asked.select("address", F.explode(F.array(*[masked(F.col("key"), F.lit(n)) for n in lengths])).alias("look")).select("address", "look.*")
     mapped = (F.col("hi") == 0) & (F.shiftright("lo", 32) == 0xFFFF)
     short = (F.col("bits") <= SHORT_BITS) | (mapped & F.col("bits").between(96, 96 + SHORT_BITS))
-    found = [looks.filter(short).join(F.broadcast(known.filter(short)), ["hi", "lo", "bits"]), looks.filter(~short).join(known.filter(~short), ["hi", "lo", "bits"])]
+    found = [looks.filter(short).join(F.broadcast(known.filter(short)), ["hi", "lo", "bits"]), looks.filter(~short).hint("merge").join(known.filter(~short), ["hi", "lo", "bits"])]
     rank = F.struct("rank", "range") if order else F.struct(-F.col("bits"), "range")
     best = found[0].unionByName(found[1]).groupBy("address").agg(F.min_by("range", rank).alias("range"))
-    return rows.join(best.withColumnRenamed("address", "_address"), own == F.col("_address"), "left").drop("_address")
+    return rows.join(best.withColumnRenamed("address", "_address").hint("merge"), own == F.col("_address"), "left").drop("_address")
