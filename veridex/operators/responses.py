@@ -47,12 +47,14 @@ def responses(requests: DataFrame, texts: DataFrame, codes: DataFrame) -> DataFr
 
     requests: doc_id and the columns of `warnings`; texts: doc_id, text; codes: doc_id, codes (see `barcodes`). Text
     that was not read is empty; codes of requests that ran no engines, or whose engines failed, are none.
+
+    Texts are joined by a shuffle: the size of a table of short rows says nothing of texts made from it, which would be
+    broadcast whole. Codes come before the reading, as what is read of a text is many times as wide.
     """
-    asked = requests.join(texts, "doc_id", "left").withColumn("text", F.when(text_was_read(), F.col("text")).otherwise(""))
+    asked = requests.join(texts.hint("merge"), "doc_id", "left").join(codes, "doc_id", "left").withColumn("text", F.when(text_was_read(), F.col("text")).otherwise(""))
     own = [c for c in requests.columns if c != "doc_id"]
-    held = asked.select("doc_id", "text", F.struct(*own).alias("request"))
-    read = L.with_panel(L.with_product(L.with_ingredients(L.repaired(held, ["request"]))))
-    read = read.join(codes, "doc_id", "left").select("*", "request.*")
+    held = asked.select("doc_id", "text", F.struct(*own).alias("request"), "codes")
+    read = L.with_panel(L.with_product(L.with_ingredients(L.repaired(held, ["request", "codes"])))).select("*", "request.*")
     looked = F.col("run_barcode") & ~F.col("barcode_failed")
     found = F.when(looked, F.col("codes"))
     detected = looked & F.col("codes").isNotNull()
