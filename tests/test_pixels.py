@@ -60,3 +60,12 @@ def test_regions(spark):
             got.setdefault(r.image_id, []).append((r.x, r.y, r.width, r.height))
         want = {k: b for k, p in enumerate(planes) if (b := kernels.text_regions(kernels.from_plane(p), cell))}
         assert got == want and want
+
+
+def test_batches_of_rasters_are_small(spark):
+    """What a step builds at once doesn't grow with the rows of a batch."""
+    df = spark.range(1000).selectExpr("id AS vec_id", "array_repeat(0.5D, 64) AS embedding").coalesce(1)
+    sizes = frames.grey_from_vectors(df).select("image_id", "data")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000"
+    assert max(b.num_rows for b in frames._cut(sizes.toArrow().to_batches())) <= frames.AT_ONCE
+    assert sizes.count() == 1000

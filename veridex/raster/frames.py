@@ -15,6 +15,17 @@ RASTER = "width int, height int, data binary"
 DECODERS: dict = {}
 
 
+#: Images that a step builds at once, so that its memory doesn't grow with the rows of a batch.
+AT_ONCE = 64
+
+
+def _cut(batches, rows: int = AT_ONCE):
+    """The batches in slices of so many rows; a slice copies nothing."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _rasters(batch: pa.RecordBatch):
     for w, h, d in zip(batch.column("width").to_pylist(), batch.column("height").to_pylist(), batch.column("data")):
         yield np.frombuffer(d.as_buffer(), np.uint8).reshape(h, w, 4)
@@ -40,8 +51,7 @@ def with_quality(rasters: DataFrame, key: str = "image_id") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [kernels.quality(i) for i in _rasters(b)]
-            cols = list(zip(*rows)) or [[]] * 6
+            cols = list(zip(*(kernels.quality(i) for i in _rasters(b)))) or [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(cols[0], pa.string()), *[pa.array(c, pa.float64()) for c in cols[1:5]], pa.array(cols[5], pa.list_(pa.string()))], names=[key, "quality", "score", "brightness", "sharpness", "overexposure", "reasons"])
 
     ship(rasters.sparkSession)
@@ -105,7 +115,7 @@ def grey_from_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "em
     kind = vectors.schema[key].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in _cut(batches):
             out = []
             for v in b.column(column).to_pylist():
                 if len(v) != side * side:

@@ -15,8 +15,11 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send the whole package to the executors once per application, so that no part of it hides another.
 
-    A package that was itself loaded from an archive is on the executors already.
+    A package that was itself loaded from an archive is on the executors already. Batches for Python are kept small for
+    the rest of the session where their size has its default, which suits narrow rows but not texts and rasters.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     app = spark.sparkContext.applicationId
     here = os.path.dirname(os.path.abspath(__file__))
     if app in _shipped or not os.path.isdir(here):
