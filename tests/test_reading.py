@@ -129,3 +129,11 @@ def test_urls(spark):
     got = {r.u: (r.e, r.r) for r in df.collect()}
     assert {u: e for u, (e, _) in got.items()} == cases
     assert got["https://example.com/a?x=1"][1] == "https://example.com/a"
+
+
+def test_labels_make_more_tasks_as_they_grow(spark, tmp_path):
+    from veridex.sources.views import HEAVY, view
+
+    n = 10 * HEAVY["label_text"]
+    spark.range(n).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert view(spark, str(tmp_path), "label_text").rdd.getNumPartitions() == 10

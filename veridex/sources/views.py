@@ -56,20 +56,20 @@ FROM {part}""",
 }
 
 
-#: Views whose rows take much work each.
-HEAVY = {"observations", "label_text", "rich_labels"}
+#: Views whose rows take much work each, and how many rows make a task of it.
+HEAVY = {"observations": 1_000_000, "label_text": 5_000, "rich_labels": 5_000}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out if the files make fewer tasks than there are cores; tables of many files stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Deal rows out if the files make fewer tasks than there are cores, or than their rows need at `rows` a task."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))  # Parquet counts from its footers
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, sql = VIEWS[name]
     base = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spark.sql(sql, **{table: spread(base) if name in HEAVY else base})
+    return spark.sql(sql, **{table: spread(base, HEAVY[name]) if name in HEAVY else base})
 
 
 def with_views(sql: str, *names: str) -> str:
