@@ -54,10 +54,12 @@ def _name(lines: Column, brand: Column) -> Column:
         return ~n.rlike(P.java(P.NO_NAME_STARTS, False)) & ~n.rlike(P.java(P.NO_NAME_WORDS, False)) & (F.size(F.split(n, " ")) <= 12) & n.rlike(r"\p{L}")
 
     def pick(all_: Column) -> Column:
-        best = F.get(F.filter(all_, lambda s: let(ingredient_name(s), named)), 0)
-        same = ingredient_name(best) == ingredient_name(brand["value"])
-        sure = F.when(F.array_position(all_, best) <= 3, 0.45).otherwise(0.35)
-        return F.when(best.isNotNull() & ~F.coalesce(same, F.lit(False)), F.struct(best.alias("value"), sure.alias("confidence"), best.alias("evidence")))
+        def told(best: Column) -> Column:
+            same = ingredient_name(best) == ingredient_name(brand["value"])
+            sure = F.when(F.array_position(all_, best) <= 3, 0.45).otherwise(0.35)
+            return F.when(best.isNotNull() & ~F.coalesce(same, F.lit(False)), F.struct(best.alias("value"), sure.alias("confidence"), best.alias("evidence")))
+
+        return let(F.get(F.filter(all_, lambda s: let(ingredient_name(s), named)), 0), told)  # or each use would judge all lines again
 
     return let(plausible, pick)
 
