@@ -66,6 +66,16 @@ def test_looks_are_not_broadcast(spark):
         assert [r.range.id for r in got.collect()] == [best]
 
 
+def test_ranges_are_read_once(spark):
+    """Both sides of the join, of short and of long ranges, use the same shuffled ranges."""
+    rows = spark.createDataFrame([("10.1.2.3",), ("2001:db8::1",), ("256.1.1.1",)], "ip string")
+    known = spark.createDataFrame([("10.1.2.0/24", 1), ("10.0.0.0/9", 2), ("2001:db8::/32", 3), ("10.1.2.3/33", 4)], "cidr string, id int")
+    got = ranges.range_join(rows, "ip", known)
+    assert {r.ip: r.range and r.range.id for r in got.collect()} == {"10.1.2.3": 1, "2001:db8::1": 3, "256.1.1.1": None}
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert any("ReusedExchange" in line and "min" in line for line in plan.splitlines())
+
+
 def test_trees(spark):
     rnd = random.Random(1)
     parent = {i: None if i % 500 == 0 else rnd.randrange(max(0, i - 4), i) for i in range(1000)}  # deep: some 400 levels

@@ -13,12 +13,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+_PART = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+
+def is_ipv4(ip: Column) -> Column:
+    """Four parts of 0 to 255 without leading zeros."""
+    return ip.rlike(rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$")
+
+
+def ipv4_value(ip: Column) -> Column:
+    """What is_ipv4 found, as a bigint; without a lambda, as Spark compiles those not."""
+    one = lambda k: F.split_part(ip, F.lit("."), F.lit(k)).cast("bigint")
+    return ((one(1) * 256 + one(2)) * 256 + one(3)) * 256 + one(4)
+
+
 def ipv4_number(ip: Column) -> Column:
-    """The address as a bigint; null unless four parts of 0 to 255 without leading zeros."""
-    part = r"(0|[1-9]\d{0,2})"
-    ok = ip.rlike(rf"^{part}\.{part}\.{part}\.{part}$")
-    numbers = F.transform(F.split(F.when(ok, ip), r"\."), lambda p: p.cast("bigint"))
-    return let(numbers, lambda v: F.when(F.forall(v, lambda n: n <= 255), F.aggregate(v, F.lit(0).cast("bigint"), lambda a, n: a * 256 + n)))
+    """The address as a bigint; null unless is_ipv4."""
+    return F.when(is_ipv4(ip), ipv4_value(ip))
 
 
 def _block(cidr: str) -> tuple[int, int]:

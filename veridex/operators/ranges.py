@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridex.functions.net import ipv4_number, ipv6_words, let
+from veridex.functions.net import ipv4_value, ipv6_words, is_ipv4, let
 
 _MAPPED = 0xFFFF << 32
 SHORT_BITS = 16
@@ -23,8 +23,8 @@ def address_key(ip: Column) -> Column:
     """struct(hi, lo) of an address, null if it is malformed."""
     half = lambda w, at: F.aggregate(F.slice(w, at, 4), F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 16).bitwiseOR(x.cast("bigint")))
     six = let(ipv6_words(ip), lambda w: F.when(w.isNotNull(), F.struct(half(w, 1).alias("hi"), half(w, 5).alias("lo"))))
-    four = let(ipv4_number(ip), lambda n: F.when(n.isNotNull(), F.struct(F.lit(0).cast("bigint").alias("hi"), (n + F.lit(_MAPPED)).alias("lo"))))
-    return F.when(ip.contains(":"), six).otherwise(four)
+    four = F.struct(F.lit(0).cast("bigint").alias("hi"), (ipv4_value(ip) + F.lit(_MAPPED)).alias("lo"))
+    return F.when(ip.contains(":"), six).when(is_ipv4(ip), four)
 
 
 def _kept(word: Column, bits: Column) -> Column:
@@ -40,18 +40,12 @@ def masked(key: Column, bits: Column) -> Column:
 
 def range_bits(cidr: Column) -> Column:
     """The length of 'address/length' in 128 bits, without a look at the address; null if malformed."""
-    bits = F.regexp_extract(cidr, r"/(\d{1,3})$", 1)
     most = F.when(cidr.contains(":"), 128).otherwise(32)
-    n = F.when(bits != "", bits.cast("int"))
+    last = F.substring_index(cidr, "/", -1)
+    n = F.when(cidr.contains("/") & last.rlike(r"^\d{1,3}$"), last.try_cast("int"))
     return F.when(n <= most, n + 128 - most)
 
 
-def range_key(cidr: Column) -> Column:
-    """struct(hi, lo, bits) of 'address/length'; null if malformed. Bits of the address beyond the length don't count."""
-    bits = range_bits(cidr)
-    return let(address_key(F.substring_index(cidr, "/", 1)), lambda k: F.when(k.isNotNull() & bits.isNotNull(), masked(k, bits)))
-
-
 def range_join(rows: DataFrame, address: str, ranges: DataFrame, order: str | None = None) -> DataFrame:
     """rows with a struct column `range`: the row of ranges (cidr, ...) that decides about the address; null if none holds it.
 
@@ -61,9 +55,11 @@ def range_join(rows: DataFrame, address: str, ranges: DataFrame, order: str | No
     replaced.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in ranges.columns])
-    row = F.struct(range_key(F.col("cidr")).alias("key"), (F.col(f"`{order}`") if order else F.lit(0)).alias("rank"), whole.alias("range"))
-    known = ranges.select(F.inline(F.array(row))).filter("key is not null")  # through a generator, or the filter would read every range again
-    known = known.groupBy("key").agg(F.min(F.struct("rank", "range")).alias("best")).select("key.*", "best.*")
+    row = ranges.select(address_key(F.substring_index(F.col("cidr"), "/", 1)).alias("key"), range_bits(F.col("cidr")).alias("length"), (F.col(f"`{order}`") if order else F.lit(0)).alias("rank"), whole.alias("range"))
+    held = F.when(F.col("key").isNotNull() & F.col("length").isNotNull(), masked(F.col("key"), F.col("length")))
+    known = row.select(held.alias("held"), "rank", "range").select("held.*", "rank", "range").groupBy("hi", "lo", "bits")
+    # keys come out as aggregates: a filter of a group's own key goes below the shuffle, and every range would be read once more for each
+    known = known.agg(*[F.max(c).alias(f"held_{c}") for c in ("hi", "lo", "bits")], F.min(F.struct("rank", "range")).alias("best")).select(*[F.col(f"held_{c}").alias(c) for c in ("hi", "lo", "bits")], "best.*")
     lengths = sorted(r["bits"] for r in ranges.select(range_bits(F.col("cidr")).alias("bits")).distinct().collect() if r["bits"] is not None)  # 129 at most
     rows = rows.drop("range")
     if not lengths:
