@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veridex.operators import ranges, trees
 from veridex.plans.code_queries import _IP
 from veridex.plans.registry import query
+from veridex.sources.views import spread
 
 #: A range for each order: its length goes from 8 to 32.
 _CIDR = "CAST(o_orderkey * 37 % 256 AS STRING) || '.' || CAST(o_orderkey * 11 % 256 AS STRING) || '.' || CAST(o_orderkey % 7 AS STRING) || '.' || CAST(o_orderkey % 200 AS STRING) || '/' || CAST(8 + o_orderkey % 25 AS STRING)"
@@ -15,12 +16,20 @@ r AS (SELECT o_orderkey AS id, {_CIDR} AS cidr, 8 + o_orderkey % 25 AS bits, (o_
 m AS (SELECT c_custkey, r.* FROM c JOIN r ON c.n >> (32 - bits) = base >> (32 - bits))"""
 
 
+#: Rows of a task that reads addresses or ranges: a file of few bytes may hold very many.
+ROWS = 200_000
+
+
+def _table(spark, sf_dir, name: str):
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), ROWS)
+
+
 def _addresses(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", f"{_IP} AS ip")
+    return _table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_IP} AS ip")
 
 
 def _ranges(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(f"{_CIDR} AS cidr", "o_orderkey AS id")
+    return _table(spark, sf_dir, "orders").selectExpr(f"{_CIDR} AS cidr", "o_orderkey AS id")
 
 
 @query(f"WITH {_NUMBERS}, b AS (SELECT c_custkey, arg_min(cidr, (-bits, cidr, id)) AS cidr, arg_min(id, (-bits, cidr, id)) AS range_id FROM m GROUP BY 1) SELECT c.c_custkey, c.ip, b.cidr, b.range_id FROM c LEFT JOIN b USING (c_custkey)")
@@ -52,8 +61,8 @@ b AS (SELECT c_custkey, arg_min(id, (-bits, cidr, id)) AS range_id, max(bits) AS
 SELECT c.c_custkey, c.ip, b.range_id, CAST(b.bits AS INT) AS bits FROM c LEFT JOIN b USING (c_custkey)"""
 )
 def ipv6_longest_range(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", f"{_IP6} AS ip")
-    r = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(f"{_CIDR6} AS cidr", "p_partkey AS id", "CAST(30 + p_partkey % 35 AS INT) AS bits")
+    c = _table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_IP6} AS ip")
+    r = _table(spark, sf_dir, "part").selectExpr(f"{_CIDR6} AS cidr", "p_partkey AS id", "CAST(30 + p_partkey % 35 AS INT) AS bits")
     return ranges.range_join(c, "ip", r).select("c_custkey", "ip", F.col("range.id").alias("range_id"), "range.bits")
 
 
