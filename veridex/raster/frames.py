@@ -17,6 +17,12 @@ DECODERS: dict = {}
 
 #: Images that a step builds at once, so that its memory doesn't grow with the rows of a batch.
 AT_ONCE = 64
+#: Bytes of rasters that make a batch; as rows come one by one, each would cost a batch of its own.
+HELD_BYTES = 1 << 20
+
+
+def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def _cut(batches, rows: int = AT_ONCE):
@@ -32,15 +38,22 @@ def _rasters(batch: pa.RecordBatch):
 
 
 def with_variants(rasters: DataFrame, names: list[str], key: str = "image_id") -> DataFrame:
-    """One row per image and variant; one variant is held at a time."""
+    """One row per image and variant; variants are held until they make a megabyte."""
     kind = rasters.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            for k, img in zip(b.column(key), _rasters(b)):
+            rows, size = [], 0
+            for k, img in zip(b.column(key).to_pylist(), _rasters(b)):
                 for n in names:
                     out = kernels.variant(img, n)
-                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], b.column(key).type), pa.array([n]), pa.array([out.shape[1]], pa.int32()), pa.array([out.shape[0]], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=[key, "variant", "width", "height", "data"])
+                    rows.append((k, n, out.shape[1], out.shape[0], out.tobytes()))
+                    size += out.nbytes
+                    if size >= HELD_BYTES:
+                        yield _batch(rows, [b.column(key).type, pa.string(), pa.int32(), pa.int32(), pa.binary()], [key, "variant", "width", "height", "data"])
+                        rows, size = [], 0
+            if rows:
+                yield _batch(rows, [b.column(key).type, pa.string(), pa.int32(), pa.int32(), pa.binary()], [key, "variant", "width", "height", "data"])
 
     ship(rasters.sparkSession)
     return rasters.select(key, "width", "height", "data").mapInArrow(run, f"{key} {kind}, variant string, {RASTER}")
