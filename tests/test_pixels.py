@@ -69,3 +69,21 @@ def test_batches_of_rasters_are_small(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000"
     assert max(b.num_rows for b in frames._cut(sizes.toArrow().to_batches())) <= frames.AT_ONCE
     assert sizes.count() == 1000
+
+
+def test_pixels_are_not_shuffled(spark):
+    """Local thresholds make no row for a pixel; tall images are dealt once, as vectors, and their pixels stay where they are."""
+    from tests.conftest import DATA
+    from veridex.plans import catalog
+
+    plan = lambda q: catalog.queries()[q](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    for q in ("raster_adaptive", "raster_sauvola", "raster_niblack"):
+        assert "Window" not in plan(q) and "hashpartitioning" not in plan(q), q
+    assert plan("raster_text_regions").count("hashpartitioning") == 1
+
+
+def test_variants_come_in_batches(spark):
+    df = images(spark, *[np.zeros((8, 8), np.uint8)] * 3)
+    many = frames.with_variants(df.coalesce(1), ["original", "otsu"])
+    sizes = many.mapInArrow(lambda bs: (b.slice(0, 1) for b in bs), many.schema)
+    assert many.count() == 6 and sizes.count() == 1

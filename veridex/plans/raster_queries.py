@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from veridex import dims
 from veridex.plans.registry import query
 from veridex.raster import frames, pixels
+from veridex.sources.views import spread
+
+#: Images of a task: a file of few bytes may hold very many.
+ROWS = 1_000
 
 
 def _rasters(spark, sf_dir):
-    return frames.grey_from_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return frames.grey_from_vectors(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), ROWS))
 
 
 _G = "g AS (SELECT vec_id AS image_id, unnest(list_transform(embedding[1:64], lambda v: CAST(floor(abs(v::DOUBLE) * 255) AS BIGINT) % 256)) AS t FROM embeddings)"
@@ -49,31 +53,33 @@ def _digest_sql(white: str) -> str:
     return f"WITH {_PX} SELECT image_id, sha256(unhex(string_agg(CASE WHEN {white} THEN 'FFFFFFFF' ELSE '000000FF' END, '' ORDER BY y, x))) AS digest FROM m GROUP BY image_id"
 
 
-def _digest(shown):
-    return pixels.raster(shown).select("image_id", F.sha2("data", 256).alias("digest"))
+def _digest(rasters, name: str):
+    """Of images that fit a task, by the kernel of whole images; the windows over rows of pixels give the same, at a row for each pixel."""
+    return frames.with_variants(rasters, [name]).select("image_id", F.sha2("data", 256).alias("digest"))
 
 
 @query(_digest_sql("v > total::DOUBLE / n - 10e0"))
 def raster_adaptive(spark, sf_dir):
-    return _digest(pixels.adaptive_threshold(pixels.pixels(_rasters(spark, sf_dir))))
+    return _digest(_rasters(spark, sf_dir), "adaptive_threshold")
 
 
 @query(_digest_sql("v > mean * (1 + 0.2e0 * (sd / 128e0 - 1))"))
 def raster_sauvola(spark, sf_dir):
-    return _digest(pixels.sauvola(pixels.pixels(_rasters(spark, sf_dir))))
+    return _digest(_rasters(spark, sf_dir), "sauvola")
 
 
 @query(_digest_sql("v > mean + -0.2e0 * sd"))
 def raster_niblack(spark, sf_dir):
-    return _digest(pixels.niblack(pixels.pixels(_rasters(spark, sf_dir))))
+    return _digest(_rasters(spark, sf_dir), "niblack")
 
 
 _TALL = "g AS (SELECT e.vec_id AS image_id, c.k // 8 AS cy, c.k % 8 AS x, CAST(floor(abs(e.embedding[c.k + 1]::DOUBLE) * {scale}) AS BIGINT) % 256 AS v FROM embeddings e, range(64) c(k))"
 
 
 def _tall(spark, sf_dir, scale: int):
-    """Tall images: 8 columns, and 40 rows for each 8 values of a vector."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.posexplode(F.slice("embedding", 1, 64)).alias("k", "e"))
+    """Tall images: 8 columns, and 40 rows for each 8 values of a vector. Vectors are dealt by image, so that their pixels need no shuffle."""
+    e = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "embedding"), ROWS // 2, "image_id")
+    e = e.select("image_id", F.posexplode(F.slice("embedding", 1, 64)).alias("k", "e"))
     v = F.floor(F.abs(F.col("e").cast("double")) * scale) % 256
     rows = e.select("image_id", F.floor(F.col("k") / 8).alias("cy"), (F.col("k") % 8).cast("int").alias("x"), v.cast("int").alias("v"))
     return rows.select("image_id", F.explode(F.sequence(F.col("cy") * 40, F.col("cy") * 40 + 39)).alias("y"), "x", "v")

@@ -60,9 +60,11 @@ FROM {part}""",
 HEAVY = {"observations": 1_000_000, "label_text": 5_000, "rich_labels": 5_000}
 
 
-def spread(df: DataFrame, rows: int) -> DataFrame:
-    """Deal rows out if the files make fewer tasks than there are cores, or than their rows need at `rows` a task."""
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal rows out if the files make fewer tasks than there are cores, or than their rows need at `rows` a task; by keys if there are any."""
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))  # Parquet counts from its footers
+    if keys:
+        return df.repartition(tasks, *keys)
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
