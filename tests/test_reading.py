@@ -54,6 +54,17 @@ def test_sections(spark):
     assert got[3, "ingredients_continued"][1] == "x" + "\nz" * 10 and (3, "nutrition") not in got and not any(i == 2 for i, _ in got)
 
 
+def test_values_are_made_once(spark):
+    """What makes an observation's value isn't worked out again by the filter on payloads, at each place that names it."""
+    from veridex.sources.views import view
+
+    for read in (fusion.groups, fusion.engine_scores):
+        o = view(spark, "/root/testdata/sf0.001", "observations").withColumn("engine_confidence", F.lit(1.0))
+        assert read(o)._jdf.queryExecution().optimizedPlan().toString().count("lpad(") == 1
+    o = spark.createDataFrame([(1, k, v) for k, v in enumerate(["  ", None, " a ", "a", ""])], "image_id int, ord int, value string").withColumns({"format": F.lit("QR Code"), "engine": F.lit("e"), "variant": F.lit("v"), "decode_ms": F.lit(1)})
+    assert [(g.payload, g.value, g.observations) for g in fusion.groups(o).collect()] == [("a", " a ", 2)]
+
+
 def test_fixed(spark):
     """Rounding by the exact binary value, as the fixed values' own rule does."""
     from veridex import dims

@@ -24,12 +24,20 @@ def _weight() -> Column:
     return F.when(F.col("format") != "UNKNOWN", one)
 
 
+def _paid(obs: DataFrame) -> DataFrame:
+    """Adds the trimmed payload and drops observations without one.
+
+    Through a generator, or Spark would put all that makes a value into the filter as often as the value's expression
+    names it, in code too long for the JVM to compile.
+    """
+    return obs.drop("payload").select("*", F.inline(F.array(F.struct(F.trim("value").alias("payload"))))).filter("payload <> ''")
+
+
 def groups(obs: DataFrame) -> DataFrame:
     """One row per image, class of code and trimmed payload, with what its observations say."""
     if "engine_confidence" not in obs.columns:
         obs = obs.withColumn("engine_confidence", F.lit(None).cast("double"))
-    o = obs.withColumn("payload", F.trim("value")).filter("payload <> ''")
-    o = o.withColumn("class", F.when(F.col("format").isin(dims.FUSION_2D_FORMATS), "2D").otherwise("1D"))
+    o = _paid(obs).withColumn("class", F.when(F.col("format").isin(dims.FUSION_2D_FORMATS), "2D").otherwise("1D"))
     # fixed-width buffers first, so that rows are combined in hash maps before the one list of each payload is made
     per = o.groupBy("image_id", "class", "payload", "value", "format", "engine", "variant").agg(F.min("ord").alias("first"), F.count("*").alias("n"), F.min("decode_ms").alias("fastest"), F.max("engine_confidence").alias("own"))
     per = per.withColumn("w", _weight() * F.col("n"))  # depends on value and format only
@@ -193,7 +201,7 @@ def engine_attempts(obs: DataFrame) -> DataFrame:
 
 def engine_scores(obs: DataFrame) -> DataFrame:
     """image_id, payload, scores: every engine that saw a candidate with its own best score, null where it gives none."""
-    per = obs.withColumn("payload", F.trim("value")).filter("payload <> ''").groupBy("image_id", "payload", "engine").agg(F.max("engine_confidence").alias("confidence"))
+    per = _paid(obs).groupBy("image_id", "payload", "engine").agg(F.max("engine_confidence").alias("confidence"))
     return per.groupBy("image_id", "payload").agg(F.array_sort(F.collect_list(F.struct("engine", "confidence"))).alias("scores"))
 
 
@@ -232,7 +240,7 @@ def without_2d(obs: DataFrame, side: str = "server") -> DataFrame:
 
 def places(obs: DataFrame) -> DataFrame:
     """image_id, class, payload, points and box of each candidate: of its first observation that has points; null if none has."""
-    o = obs.withColumn("payload", F.trim("value")).filter("payload <> ''").withColumn("class", F.when(F.col("format").isin(dims.FUSION_2D_FORMATS), "2D").otherwise("1D"))
+    o = _paid(obs).withColumn("class", F.when(F.col("format").isin(dims.FUSION_2D_FORMATS), "2D").otherwise("1D"))
     first = F.min_by("points", F.when(F.size("points") > 0, F.col("ord")))
     g = o.groupBy("image_id", "class", "payload").agg(first.alias("points"))
     return g.withColumn("box", fmt.bounding_box(F.col("points")))
