@@ -44,6 +44,13 @@ def test_texts_are_not_broadcast(spark):
     assert plan.count("SortMergeJoin") >= 1 and done.count() == 1
 
 
+def test_texts_are_read_by_all_cores(spark):
+    """Short texts are dealt over tasks by their number; by their bytes all of them would be read by one."""
+    asked = spark.createDataFrame([(k, False, False, "good", True, False, True, True, 9000, False, False) for k in range(40)], REQUEST)
+    done = responses.responses(asked, spark.createDataFrame([(k, TEXT) for k in range(40)], "doc_id int, text string"), spark.createDataFrame([], CODES))
+    assert done.select(F.spark_partition_id()).distinct().count() > 1 and "REPARTITION_BY_NUM" in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_repair_is_worked_out_once(spark):
     """The confidence of a log names the log once, and no list of matches stands inside the work on one of them."""
     t = spark.createDataFrame([("INS62I and SUG4R  \nP4LM 0IL",), ("plain",), (None,)], "text string")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from veridex.operators import labels as L
 
 OCR_LEAST_MS = 1000
+#: Texts of a task that reads them.
+TEXTS = 5_000
 
 
 def text_was_read() -> Column:
@@ -49,11 +51,14 @@ def responses(requests: DataFrame, texts: DataFrame, codes: DataFrame) -> DataFr
     that was not read is empty; codes of requests that ran no engines, or whose engines failed, are none.
 
     Texts are joined by a shuffle: the size of a table of short rows says nothing of texts made from it, which would be
-    broadcast whole. Codes come before the reading, as what is read of a text is many times as wide.
+    broadcast whole. Codes come before the reading, as what is read of a text is many times as wide. Then texts are
+    dealt out by number, as adaptive execution would put some hundred thousand short ones into one task; without a
+    key, as Spark drops a dealing by the join's key into as many parts as the join has.
     """
+    tasks = max(requests.sparkSession.sparkContext.defaultParallelism, -(-requests.count() // TEXTS))
     asked = requests.join(texts.hint("merge"), "doc_id", "left").join(codes, "doc_id", "left").withColumn("text", F.when(text_was_read(), F.col("text")).otherwise(""))
     own = [c for c in requests.columns if c != "doc_id"]
-    held = asked.select("doc_id", "text", F.struct(*own).alias("request"), "codes")
+    held = asked.select("doc_id", "text", F.struct(*own).alias("request"), "codes").repartition(tasks)
     read = L.with_panel(L.with_product(L.with_ingredients(L.repaired(held, ["request", "codes"])))).select("*", "request.*")
     looked = F.col("run_barcode") & ~F.col("barcode_failed")
     found = F.when(looked, F.col("codes"))
