@@ -2,6 +2,7 @@
 
 import ipaddress
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -95,3 +96,14 @@ def test_trees(spark):
     twice = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2), (4, 3), (2, 4)], "id int, parent int")  # two parents, and a way back
     assert sorted(tuple(r.path) for r in trees.paths(twice).collect()) == [(1,), (1, 2), (1, 2, 4), (1, 3), (1, 3, 4), (1, 3, 4, 2)]
     assert trees.paths(df.limit(0)).count() == 0
+
+
+def test_paths_are_dealt_out_before_they_are_climbed(spark, monkeypatch):
+    """The tasks that hold all pairs of nodes and ancestors grow in number with the nodes; pairs aren't shuffled to be told apart."""
+    monkeypatch.setattr(trees, "NODES", 4)
+    nodes = spark.createDataFrame([(k, (k - 1) // 2 if k else None, 1) for k in range(31)] + [(30, 0, 1)], "id bigint, parent bigint, v bigint")
+    got = trees.rolled_up(nodes, {"v": "v"})
+    rows = {r.id: (r.depth, r.below, r.children, r.v) for r in got.collect()}
+    assert len(rows) == 31 and rows[0] == (0, 31, 3, 34) and rows[14] == (3, 2, 2, 4) and rows[30] == (1, 0, 0, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("8), REPARTITION_BY_NUM") >= 2 and "hashpartitioning(ancestor#" in plan and not re.search(r"hashpartitioning\(ancestor#\w+, depth#", plan)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_LEVELS = 1000
+#: Nodes of a task that climbs from them to all their ancestors.
+NODES = 20_000
 
 
 def paths(nodes: DataFrame, id: str = "id", parent: str = "parent", most_levels: int = MOST_LEVELS) -> DataFrame:
@@ -40,8 +42,11 @@ def rolled_up(nodes: DataFrame, values: dict[str, str], id: str = "id", parent:
     """For each node: depth, children, below (nodes under it), and each of `values` (name: column) summed over it and all below.
 
     Sums are pre-aggregated before the shuffle, so that a root that has everything below it costs no more than others.
+    Paths are dealt out by id before they are climbed: the deepest levels have most nodes in few tasks, and all pairs of
+    an id then stand together for what follows.
     """
-    own = nodes.groupBy(F.col(f"`{id}`").alias("id")).agg(*[F.sum(F.col(f"`{c}`")).alias(k) for k, c in values.items()])
-    under = pairs_below(paths(nodes, id, parent)).distinct().join(own, "id")
+    tasks = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // NODES))
+    own = nodes.repartition(tasks, F.col(f"`{id}`")).groupBy(F.col(f"`{id}`").alias("id")).agg(*[F.sum(F.col(f"`{c}`")).alias(k) for k, c in values.items()])
+    under = pairs_below(paths(nodes, id, parent).repartition(tasks, "id")).distinct().join(own, "id")
     count = lambda c: F.count_if(F.expr(c))
     return under.groupBy(F.col("ancestor").alias("id")).agg(F.min("depth").alias("depth"), count("distance > 0").alias("below"), count("distance = 1").alias("children"), *[F.sum(k).alias(k) for k in values])
