@@ -65,6 +65,15 @@ def test_values_are_made_once(spark):
     assert [(g.payload, g.value, g.observations) for g in fusion.groups(o).collect()] == [("a", " a ", 2)]
 
 
+def test_word_classes(spark):
+    """Boundaries and tokens are those of ASCII words, in classes that are looked up at once instead of range by range."""
+    from veridex.functions import patterns
+
+    assert "A-Z" not in patterns.java(patterns.BRAND) + patterns.any_of(patterns.LEGAL_NOISE) + T.allergen_pattern(["milk"]) + T.TOKEN
+    got = texts(spark, "é1a_b.c/ß-é Z9'", "xbrand: aa", "ébrand: bb", "_brand: cc").select(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0)), F.regexp_extract("text", patterns.java(patterns.BRAND), 1)).collect()
+    assert got[0][0] == ["1a", "b.c/", "Z9'"] and [r[1] for r in got[1:]] == ["", "bb", ""]
+
+
 def test_fixed(spark):
     """Rounding by the exact binary value, as the fixed values' own rule does."""
     from veridex import dims

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 
-_LEFT, _RIGHT = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-_EITHER = rf"(?:(?<=[A-Za-z0-9_]){_RIGHT}|{_LEFT}(?=[A-Za-z0-9_]))"
+#: Spark's \w is that of ASCII, and is looked up at once; a class of ranges tries one after the other.
+_LEFT, _RIGHT = r"(?<!\w)", r"(?!\w)"
+_EITHER = rf"(?:(?<=\w){_RIGHT}|{_LEFT}(?=\w))"
 
 # --- fixed values: product fields; the value is the first group ---
 NET = r"\bnet\s*(?:qty\.?|quantity|weight|wt\.?|content|volume)\b[^0-9]{0,20}(\d+(?:[.,]\d+)?\s*(?:kg|kgs|g\b|gm|gms|ml\b|m\.?l|l\b|ltr|litre|liter|oz|mg|mcg|µg)|[0-9]+\s*(?:x|×)\s*[0-9]+\s*\w+)"
