@@ -1,6 +1,7 @@
 """Windows over pixel rows against the kernels that work on whole images."""
 
 import numpy as np
+import pytest
 
 from veridex.raster import frames, kernels, pixels
 
@@ -87,3 +88,48 @@ def test_variants_come_in_batches(spark):
     many = frames.with_variants(df.coalesce(1), ["original", "otsu"])
     sizes = many.mapInArrow(lambda bs: (b.slice(0, 1) for b in bs), many.schema)
     assert many.count() == 6 and sizes.count() == 1
+
+
+def test_digests_of_variants(spark):
+    """Digests are made where the pixels are; they are those of the pixels that with_variants gives."""
+    rng = np.random.default_rng(7)
+    df, names = images(spark, noisy(rng, 20, 33), noisy(rng, 1, 1)), ["original", "rotate_90", "sauvola", "upscale2x"]
+    want = frames.with_variants(df, names).selectExpr("image_id", "variant", "width", "height", "sha2(data, 256) AS sha256", "crc32(data) AS crc32").orderBy("image_id", "variant").collect()
+    for digest in ("sha256", "crc32"):
+        got = frames.variant_digests(df, names, digest).orderBy("image_id", "variant").collect()
+        assert [tuple(r) for r in got] == [(r.image_id, r.variant, r.width, r.height, r[digest]) for r in want]
+    assert frames.variant_digests(df.limit(0), names, "crc32").count() == 0
+
+
+def test_one_python_step_for_rasters(spark):
+    """Rasters are made by expressions, so that executors hold Python workers for one step only, and pixels don't come back from it."""
+    from tests.conftest import DATA
+    from veridex.plans import catalog
+
+    for q in ("raster_adaptive", "raster_sauvola", "raster_niblack", "raster_variants"):
+        plan = catalog.queries()[q](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "sha2(" not in plan and "crc32(" not in plan, q
+
+
+def test_rasters_of_vectors(spark):
+    vectors = np.random.default_rng(8).normal(0, 2, (3, 6))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id int, embedding array<double>")
+    assert [f.dataType.simpleString() for f in frames.grey_from_vectors(df, side=2).schema] == ["int", "int", "int", "binary"]
+    for r in frames.grey_from_vectors(df.selectExpr("vec_id", "slice(embedding, 1, 4) AS embedding"), side=2, scale=3).collect():
+        g = (np.abs(vectors[r.image_id][:4]) * 255).astype(np.int64) % 256
+        assert (r.width, r.height) == (6, 6) and bytes(r.data) == kernels.upscale(kernels.from_plane(g.reshape(2, 2)), 3).tobytes()
+    with pytest.raises(Exception, match="a vector of 6 values"):
+        frames.grey_from_vectors(df, side=2).collect()
+
+
+def test_grey_pixels_and_windows():
+    """Values are clamped and rounded to even whatever their type, and windows are cut at the border."""
+    for p in (np.array([[-3.0, 0.5, 1.5, 300]]), np.array([[-3, 0, 2, 300]]), np.array([[0, 0, 2, 255]], np.uint8)):
+        assert kernels.from_plane(p).tolist() == [[[0, 0, 0, 255], [0, 0, 0, 255], [2, 2, 2, 255], [255, 255, 255, 255]]]
+    for h, w, half in ((40, 9, 15), (3, 50, 2), (1, 1, 15)):
+        p = np.random.default_rng(9).integers(0, 256, (h, w)).astype(float)
+        total, n = kernels.window_sums(p, half)
+        for y in range(h):
+            for x in range(w):
+                part = p[max(0, y - half) : y + half + 1, max(0, x - half) : x + half + 1]
+                assert (total[y, x], n[y, x]) == (part.sum(), part.size)

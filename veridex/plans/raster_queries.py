@@ -38,8 +38,7 @@ def raster_quality(spark, sf_dir):
 
 @query()
 def raster_variants(spark, sf_dir):
-    out = frames.with_variants(_rasters(spark, sf_dir), dims.VARIANTS)
-    return out.select("image_id", "variant", "width", "height", F.crc32("data").alias("crc32"))
+    return frames.variant_digests(_rasters(spark, sf_dir), dims.VARIANTS, "crc32")
 
 
 #: Pixels of the same rasters, and windows of 31 by 31 over them as plain sums.
@@ -55,7 +54,7 @@ def _digest_sql(white: str) -> str:
 
 def _digest(rasters, name: str):
     """Of images that fit a task, by the kernel of whole images; the windows over rows of pixels give the same, at a row for each pixel."""
-    return frames.with_variants(rasters, [name]).select("image_id", F.sha2("data", 256).alias("digest"))
+    return frames.variant_digests(rasters, [name], "sha256").select("image_id", F.col("sha256").alias("digest"))
 
 
 @query(_digest_sql("v > total::DOUBLE / n - 10e0"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridex.functions.net import let
 from veridex.raster import kernels
 from veridex.shipping import ship
 
@@ -59,6 +63,25 @@ def with_variants(rasters: DataFrame, names: list[str], key: str = "image_id") -
     return rasters.select(key, "width", "height", "data").mapInArrow(run, f"{key} {kind}, variant string, {RASTER}")
 
 
+#: Digests of pixels: how each is worked out, and the types of its column.
+DIGESTS = {"sha256": (lambda data: hashlib.sha256(data).hexdigest(), "string", pa.string()), "crc32": (zlib.crc32, "bigint", pa.int64())}
+
+
+def variant_digests(rasters: DataFrame, names: list[str], digest: str, key: str = "image_id") -> DataFrame:
+    """One row per image and variant: its size and the digest of its pixels, which stay where they are made."""
+    kind = rasters.schema[key].dataType.simpleString()
+    of, column, arrow = DIGESTS[digest]
+
+    def run(batches):
+        for b in _cut(batches):
+            rows = [(k, n, out.shape[1], out.shape[0], of(np.ascontiguousarray(out))) for k, img in zip(b.column(key).to_pylist(), _rasters(b)) for n in names for out in [kernels.variant(img, n)]]
+            if rows:
+                yield _batch(rows, [b.column(key).type, pa.string(), pa.int32(), pa.int32(), arrow], [key, "variant", "width", "height", digest])
+
+    ship(rasters.sparkSession)
+    return rasters.select(key, "width", "height", "data").mapInArrow(run, f"{key} {kind}, variant string, width int, height int, {digest} {column}")
+
+
 def with_quality(rasters: DataFrame, key: str = "image_id") -> DataFrame:
     kind = rasters.schema[key].dataType.simpleString()
 
@@ -124,19 +147,17 @@ def otsu_levels(rasters: DataFrame, key: str = "image_id") -> DataFrame:
 
 
 def grey_from_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", side: int = 8, scale: int = 8) -> DataFrame:
-    """Test rasters: a vector's values as grey cells of scale x scale pixels."""
-    kind = vectors.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for b in _cut(batches):
-            out = []
-            for v in b.column(column).to_pylist():
-                if len(v) != side * side:
-                    raise ValueError(f"a vector of {len(v)} values doesn't fill {side} x {side} cells")
-                g = (np.abs(np.array(v)) * 255).astype(np.int64) % 256
-                out.append(kernels.upscale(kernels.from_plane(g.reshape(side, side)), scale).tobytes())
-            n = pa.array([side * scale] * b.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(key), n, n, pa.array(out, pa.binary())], names=["image_id", "width", "height", "data"])
+    """Test rasters: a vector's values as grey cells of scale x scale pixels.
 
+    Made by expressions, so that the step over the rasters is the only one for which executors need Python.
+    """
     ship(vectors.sparkSession)
-    return vectors.select(key, column).mapInArrow(run, f"image_id {kind}, {RASTER}")
+    v = F.col(column)
+    line = side * scale * 8  # hexadecimal digits of a row of pixels
+    pixel = F.transform(v, lambda x: F.lpad(F.hex(F.floor(F.abs(x.cast("double")) * 255) % 256), 2, "0"))
+    cells = F.array_join(F.transform(pixel, lambda p: F.repeat(F.concat(p, p, p, F.lit("FF")), scale)), "")
+    data = F.unhex(let(cells, lambda c: F.concat(*[F.repeat(F.substr(c, F.lit(k * line + 1), F.lit(line)), scale) for k in range(side)])))
+    full = (F.size(v) == side * side) & ~F.exists(v, lambda x: x.isNull())
+    wrong = F.raise_error(F.concat(F.lit("a vector of "), F.coalesce(F.size(F.array_compact(v)), F.lit(0)), F.lit(f" values doesn't fill {side} x {side} cells"))).cast("binary")
+    n = F.lit(side * scale)
+    return vectors.select(F.col(key).alias("image_id"), n.alias("width"), n.alias("height"), F.when(full, data).otherwise(wrong).alias("data"))
