@@ -133,3 +133,23 @@ def test_grey_pixels_and_windows():
             for x in range(w):
                 part = p[max(0, y - half) : y + half + 1, max(0, x - half) : x + half + 1]
                 assert (total[y, x], n[y, x]) == (part.sum(), part.size)
+
+
+def test_pixels_are_ordered_once(spark):
+    """What a task holds of its pixels: one sort; sizes of images, densities and bands are found from cells."""
+    shown = pixels.pixels(images(spark, np.zeros((8, 8), np.uint8))).repartition(2, "image_id")
+    plan = pixels.cell_edges(shown, 2)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("HashAggregate") :]
+    assert below.count("Sort [") == 1 and below.count("Window") == 1
+
+
+def test_edges_of_whole_cells(spark):
+    """Cells cut by the border don't count; those without a pixel in an even row and column, as odd ones of cells of one pixel, don't come out."""
+    p = np.random.default_rng(10).integers(0, 3, (7, 5)).astype(np.uint8)
+    differs = np.append(p.ravel()[1:] != p.ravel()[:-1], False).reshape(p.shape)
+    for cell in (1, 2, 3, 4):
+        want = {}
+        for y in range(0, 7 // cell * cell, 2):
+            for x in range(0, 5 // cell * cell, 2):
+                want[y // cell, x // cell] = want.get((y // cell, x // cell), 0) + int(differs[y, x])
+        assert {(r.cy, r.cx): r.n for r in pixels.cell_edges(pixels.pixels(images(spark, p)), cell).collect()} == want

@@ -77,7 +77,7 @@ _TALL = "g AS (SELECT e.vec_id AS image_id, c.k // 8 AS cy, c.k % 8 AS x, CAST(f
 
 def _tall(spark, sf_dir, scale: int):
     """Tall images: 8 columns, and 40 rows for each 8 values of a vector. Vectors are dealt by image, so that their pixels need no shuffle."""
-    e = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "embedding"), ROWS // 2, "image_id")
+    e = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "embedding"), ROWS // 4, "image_id")
     e = e.select("image_id", F.posexplode(F.slice("embedding", 1, 64)).alias("k", "e"))
     v = F.floor(F.abs(F.col("e").cast("double")) * scale) % 256
     rows = e.select("image_id", F.floor(F.col("k") / 8).alias("cy"), (F.col("k") % 8).cast("int").alias("x"), v.cast("int").alias("v"))

@@ -116,18 +116,19 @@ def roi_bands(shown: DataFrame, key: str = "image_id") -> DataFrame:
 
 
 def cell_edges(shown: DataFrame, cell: int, key: str = "image_id") -> DataFrame:
-    """key, cy, cx, n, rows, cols: of each whole cell how many of its pixels in even rows and columns differ from the pixel after them.
+    """key, cy, cx, n, w: of each whole cell how many of its pixels in even rows and columns differ from the pixel after them; the image's width.
 
-    The pixel after a row's last one is the next row's first one.
+    The pixel after a row's last one is the next row's first one. Pixels are put in order once; the size of an image
+    is found from its cells.
     """
-    size = Window.partitionBy(key)
-    shown = shown.select(key, "y", "x", "v", (F.max("y").over(size) + 1).alias("h"), (F.max("x").over(size) + 1).alias("w"))
+    at = lambda c: F.floor(F.col(c) / cell).cast("int")
     following = F.lead("v").over(Window.partitionBy(key).orderBy("y", "x"))
-    seen = shown.select(key, "y", "x", "h", "w", F.coalesce(following != F.col("v"), F.lit(False)).alias("differs")).filter("y % 2 = 0 and x % 2 = 0")
-    whole = lambda c, most: (F.floor(F.col(c) / cell) < F.floor(F.col(most) / cell))
-    return seen.filter(whole("y", "h") & whole("x", "w")).groupBy(
-        key, F.floor(F.col("y") / cell).cast("int").alias("cy"), F.floor(F.col("x") / cell).cast("int").alias("cx")
-    ).agg(F.count_if("differs").alias("n"), F.max("w").alias("w"))
+    seen = shown.select(key, "y", "x", F.coalesce(following != F.col("v"), F.lit(False)).alias("differs"))
+    counts = F.count_if((F.col("y") % 2 == 0) & (F.col("x") % 2 == 0)).alias("looked_at"), F.count_if((F.col("y") % 2 == 0) & (F.col("x") % 2 == 0) & F.col("differs")).alias("n")
+    cells = seen.groupBy(key, at("y").alias("cy"), at("x").alias("cx")).agg(*counts, F.max("y").alias("y"), F.max("x").alias("x"))
+    size = Window.partitionBy(key)
+    cells = cells.select(key, "cy", "cx", "n", "looked_at", (F.max("y").over(size) + 1).alias("h"), (F.max("x").over(size) + 1).alias("w"))
+    return cells.filter((F.col("looked_at") > 0) & (F.col("cy") < at("h")) & (F.col("cx") < at("w"))).select(key, "cy", "cx", "n", "w")
 
 
 def text_regions(shown: DataFrame, cell: int = 32, most: int = 4, key: str = "image_id") -> DataFrame:
