@@ -178,3 +178,22 @@ def test_lines_are_looked_through_once():
     hits = sections._kept_rests.cache_info().hits
     sections.found("Ingredients: salt\nMRP Rs. 5")
     assert sections._kept_rests.cache_info().hits == hits + 2
+
+
+def test_kept_lines_take_little_memory():
+    """What a worker keeps of lines doesn't grow with a table of lines that all differ, and is small for lines without headings."""
+    import tracemalloc
+
+    from veridex.functions import sections
+
+    sections._kept_rests.cache_clear(), sections._kept_stops.cache_clear()
+    tracemalloc.start()
+    try:
+        for k in range(10_000):
+            line = f"{k} plain words"
+            sections._kept_rests(line), sections._kept_stops(line)
+        assert tracemalloc.get_traced_memory()[0] < 4_500_000
+    finally:
+        tracemalloc.stop()
+    assert sections._kept_rests("plain words") == () and sections._kept_stops("plain words") == 0
+    assert sections._kept_rests.cache_info().currsize <= sections.KEPT_LINES < 10_000
