@@ -30,6 +30,24 @@ def test_normalise(spark, raw, want):
     assert all(raw[e.start : e.end] == e.raw for e in got.log if e.stage == 2)
 
 
+def test_every_folded_letter(spark):
+    """unicode_edits has each letter that the fold replaces, not a text's first alone; offsets count characters."""
+    from veridex.plans import catalog
+    from veridex.sources.views import view
+
+    typed, data = "\u00a0‘’“”–—ﬀﬁﬂ", "/root/testdata/sf0.001"
+    got = [tuple(r) for r in catalog.queries()["unicode_edits"](spark, data).collect()]
+    want = [(r.doc_id, c, k) for r in view(spark, data, "rich_labels").collect() for k, c in enumerate(r.text) if c in typed]
+    assert want and sorted(got) == sorted(want)
+    odd = ["\U0001f600 ﬁ’’", typed + "\n" + typed[::-1], "plain ﬃ - 'a' \"b\"", "", "–", "“" * 20000, None]
+    listed = L.folded_letters(texts(spark, *odd)).collect()
+    assert sorted((r.doc_id, r.raw, r.start, r.end) for r in listed) == sorted((i, c, k, k + 1) for i, t in enumerate(odd) for k, c in enumerate(t or "") if c in typed)
+    folded = {r.doc_id: r.text for r in texts(spark, *odd).select("doc_id", T.unicode_fold(F.col("text")).alias("text")).collect()}
+    for i, t in enumerate(odd[:-1]):
+        made = {r.start: r.corrected for r in listed if r.doc_id == i}
+        assert "".join(made.get(k, c) for k, c in enumerate(t)) == folded[i]
+
+
 def test_codes(spark):
     got = texts(spark, "Sugar, INS 621, INS 330, INS 211", "INS 998", "none").select(T.ins_codes(F.col("text"))).collect()
     assert [[(c.code, c.name) for c in r[0]] for r in got] == [[("INS 621", "monosodium glutamate"), ("INS 330", "citric acid"), ("INS 211", "sodium benzoate")], [("INS 998", None)], []]

@@ -41,6 +41,7 @@ CORN RICE CHICORY INULIN OLIGOSACCHARIDE TOCOPHEROL ASCORBIC PHOSPHORIC GUAR GUM
 GARLIC SPICE SPICES RED PEPPER PAPRIKA TURMERIC CORIANDER CUMIN BLACK GINGER MUSTARD WATER SODA CARBONATED ACIDULANTS PRESERVATIVES NO ADDED
 FLAVOURS CONTAINS ALLERGENS INGREDIENTS""".split()
 LETTER_CONFUSIONS = {"QIL": "OIL", "Qil": "Oil", "Qll": "OIL", "QII": "OIL", "GHiE": "GHEE", "GHIE": "GHEE", "Ghie": "Ghee", "Sodiurn": "Sodium", "S0dium": "Sodium"}
+TYPOGRAPHY = {"\u00a0": " ", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl"}
 DIGIT_TO_LETTER = ("01458", "OIASB")
 INS_DIGITS = ("OoIliSsB", "00111558")
 INS_NAMES = {

@@ -101,6 +101,11 @@ def corrections(texts: DataFrame) -> DataFrame:
     return _listed(texts, T.corrections(F.col("text")), "stage")
 
 
+def folded_letters(texts: DataFrame) -> DataFrame:
+    """Every typographic letter that the repair replaces: raw, corrected, start, end. The edit log has but the first of a text."""
+    return _listed(texts, T.folded_letters(F.col("text")), "raw")
+
+
 def found_sections(texts: DataFrame) -> DataFrame:
     """The first region of each kind: heading, body, first and last line."""
     ship(texts.sparkSession)

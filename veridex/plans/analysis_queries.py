@@ -75,10 +75,10 @@ def nutrition_panels(spark, sf_dir):
     return p.select("doc_id", "basis", "serving_size", readings.alias("readings"), F.array_join("undeciphered_lines", "|").alias("lost"), "confidence")
 
 
-@query("SELECT p_partkey AS doc_id, 'ﬁ' AS raw, 42 AS start FROM part WHERE p_partkey % 3 = 2")
+@query("SELECT p_partkey AS doc_id, raw, start FROM part, (VALUES ('ﬁ', 42), ('–', 52), ('“', 56), ('”', 62)) v(raw, start) WHERE p_partkey % 3 = 2")
 def unicode_edits(spark, sf_dir):
-    """Typographic letters that the repair replaced."""
-    return labels.corrections(_rich(spark, sf_dir)).filter("kind = 'unicode'").select("doc_id", "raw", "start")
+    """Typographic letters that the repair replaced, all of a label."""
+    return labels.folded_letters(_rich(spark, sf_dir)).select("doc_id", "raw", "start")
 
 
 def _responses(spark, sf_dir):
